@@ -67,7 +67,7 @@ def _channel(emb: Column, shift: int) -> Column:
 
 
 def pixel_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image_id, grp, y, x, b, g, r`` -- 64 pixels per embedding row."""
+    """``image_id, grp, y, x, height, width, b, g, r`` -- 64 pixels per embedding row."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     exploded = emb.select("vec_id", "label", "embedding",
                           F.posexplode(F.col("embedding")).alias("p", "v"))
@@ -77,6 +77,8 @@ def pixel_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").alias("grp"),
         F.floor(F.col("p") / GRID).cast("int").alias("y"),
         (F.col("p") % GRID).cast("int").alias("x"),
+        F.lit(GRID).alias("height"),
+        F.lit(GRID).alias("width"),
         _channel(e, 0).alias("b"),
         _channel(e, 1).alias("g"),
         _channel(e, 2).alias("r"),
@@ -89,7 +91,7 @@ def pixel_truth(pixels: DataFrame) -> DataFrame:
         "label", F.when(F.lit(2) * F.col("g") > F.col("b") + F.col("r"), 1).otherwise(0))
 
 
-def image_names(pixels_or_ids: DataFrame) -> DataFrame:
+def image_names(pixels_or_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Image and mask file names for the pairing operators.
 
     Masks of every 50th image are left out so the unmatched check finds rows.
