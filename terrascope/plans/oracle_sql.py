@@ -96,7 +96,14 @@ RECENT = f"""
 SELECT * FROM ({ANNUAL}) a WHERE Year >= (SELECT max(Year) FROM ({ANNUAL}) b) - 30
 """
 
-SLOPE = f"SELECT coalesce(regr_slope(LandAverageTemperature, CAST(Year AS DOUBLE)), 0.0) AS temperature_change_rate FROM ({RECENT}) r"
+def slope_sql(y: str, x: str) -> str:
+    """Least-squares slope, NULL when ``x`` has no spread (DuckDB's own
+    regr_slope yields NaN there; Spark yields NULL)."""
+    return f"CASE WHEN var_pop({x}) > 0 THEN regr_slope({y}, {x}) END"
+
+
+SLOPE = (f"SELECT coalesce({slope_sql('LandAverageTemperature', 'CAST(Year AS DOUBLE)')}, 0.0) "
+         f"AS temperature_change_rate FROM ({RECENT}) r")
 
 EXTREMES = f"""
 SELECT max(LandAverageTemperature) AS max_temperature, min(LandAverageTemperature) AS min_temperature,
@@ -118,7 +125,7 @@ SELECT (SELECT Month_Name FROM ({SEASONAL}) s ORDER BY Avg_Temperature DESC, Mon
 """
 
 TRENDS = f"""
-SELECT Country AS country, regr_slope(AverageTemperature, CAST(year(dt) AS DOUBLE)) AS trend,
+SELECT Country AS country, {slope_sql('AverageTemperature', 'CAST(year(dt) AS DOUBLE)')} AS trend,
        avg(AverageTemperature) AS avg_temp, count(*) AS data_points
 FROM ({OBS}) o WHERE Country IS NOT NULL AND dt >= DATE '2000-01-01'
 GROUP BY Country HAVING count(*) > 5
@@ -129,7 +136,7 @@ MATCHED = f"SELECT * FROM ({OBS}) o WHERE coalesce(regexp_matches(Country, '(?i)
 
 COUNTRY_STATS = f"""
 SELECT '{PATTERN}' AS country_name, avg(AverageTemperature) AS avg_temperature, count(*) AS data_points,
-       (SELECT coalesce(regr_slope(a, CAST(Year AS DOUBLE)), 0.0)
+       (SELECT coalesce({slope_sql('a', 'CAST(Year AS DOUBLE)')}, 0.0)
         FROM (SELECT Year, avg(AverageTemperature) AS a FROM ({MATCHED}) m GROUP BY Year) y) AS temperature_trend
 FROM ({MATCHED}) m
 """
