@@ -63,11 +63,11 @@ def calendar_lag(df: DataFrame, value: str, months: int = 12, series_key=None,
 
 
 def years_since_start(df: DataFrame, series_key=None) -> Column:
-    """F2s: ``Year - min(Year)`` (per series when keyed)."""
-    keys = _keys(series_key)
-    if keys:
-        return F.col("Year") - F.min("Year").over(Window.partitionBy(*keys))
-    return F.col("Year") - scalar(df, F.min("Year"))
+    """F2s: ``Year - min(Year)`` (per series when keyed).  Unkeyed input is a
+    calendar series (see module note), already in one window partition."""
+    # Same partitioning as the lag / moving-mean windows, so it shares their
+    # exchange (no extra scan, no scalar subquery over the raw data).
+    return F.col("Year") - F.min("Year").over(Window.partitionBy(*_keys(series_key)))
 
 
 def month_cycle(month: str = "Month") -> tuple[Column, Column]:
