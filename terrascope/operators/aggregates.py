@@ -99,10 +99,12 @@ def top_warming(trends: DataFrame, k: int = 10) -> DataFrame:
     return trends.orderBy(F.col("trend").desc_nulls_last(), F.col("country")).limit(k)
 
 
-def country_count(df: DataFrame, key: str = "Country") -> DataFrame:
-    """Number of distinct keys; NULL counts as one value."""
-    return df.agg((F.count_distinct(key) + F.max(F.col(key).isNull().cast("int")))
-                  .cast("long").alias("total_countries"))
+def country_count(df: DataFrame, key: str = "Country", approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Number of distinct keys; NULL counts as one value.
+    ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``): fixed
+    memory per task however many keys there are."""
+    distinct = F.approx_count_distinct(key, rsd) if approx else F.count_distinct(key)
+    return df.agg((distinct + F.max(F.col(key).isNull().cast("int"))).cast("long").alias("total_countries"))
 
 
 def country_annual(obs: DataFrame, pattern: str, key: str = "Country",

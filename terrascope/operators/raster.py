@@ -346,6 +346,28 @@ def ellipse_label(pixels: DataFrame, patches: Sequence[tuple[float, float, float
     return joined.withColumn(out, F.coalesce(F.col("_in"), F.lit(0))).drop("_cy", "_cx", "_in")
 
 
+def ellipse_label_per_image(pixels: DataFrame, patches: DataFrame, out: str = "label") -> DataFrame:
+    """J6, general form: ``patches`` is a table ``image_id, cx, cy, w, h``
+    (any number of patches per image, growing with the data).
+
+    Each patch explodes to the integer cells of its bounding box (bounded by
+    the patch size), keeps the cells inside the ellipse, and the distinct
+    inside cells left-join the pixels on the full coordinate
+    ``(image_id, y, x)`` -- an equi-join, no pixel x patch pairs.
+    """
+    ys = F.sequence(F.floor(F.col("cy") - F.col("h")).cast("int"), F.ceil(F.col("cy") + F.col("h")).cast("int"))
+    xs = F.sequence(F.floor(F.col("cx") - F.col("w")).cast("int"), F.ceil(F.col("cx") + F.col("w")).cast("int"))
+    cells = (patches.select("image_id", "cx", "cy", "w", "h", F.explode(ys).alias("_cy"))
+             .select("image_id", "cx", "cy", "w", "h", "_cy", F.explode(xs).alias("_cx"))
+             .filter(((F.col("_cx") - F.col("cx")) / F.col("w")) ** 2
+                     + ((F.col("_cy") - F.col("cy")) / F.col("h")) ** 2 <= 1)
+             .select(F.col("image_id").alias("_img"), "_cy", "_cx").distinct()
+             .withColumn("_in", F.lit(1)))
+    cond = (F.col("image_id") == F.col("_img")) & (F.col("y") == F.col("_cy")) & (F.col("x") == F.col("_cx"))
+    return (pixels.join(cells, cond, "left")
+            .withColumn(out, F.coalesce(F.col("_in"), F.lit(0))).drop("_img", "_cy", "_cx", "_in"))
+
+
 # --- packing: R10, S10 ------------------------------------------------------------
 
 def grid_pack(pixels: DataFrame, value: str = "label") -> DataFrame:

@@ -221,10 +221,10 @@ WITH p AS ({_PRED}),
                   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM c),
      f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM m)
 SELECT name AS class, precision, recall, f1_score, support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM f
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1_score * support) / sum(support), sum(support) FROM f
+                 sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f
 """
 
 SQL = {

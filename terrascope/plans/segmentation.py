@@ -22,6 +22,7 @@ from terrascope.operators import metrics as MET
 from terrascope.operators import raster as RA
 from terrascope.operators.pairing import pixel_label_join
 from terrascope.operators.sampling import sample_per_image, stratified_split
+from terrascope.session import materialize
 
 FEATURE_COLS = ["b", "g", "r", "yn", "xn"]
 
@@ -50,8 +51,11 @@ def training_pixels(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
 def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_samples: int = 500,
                     seed: int = 42, test_fraction: float = 0.2, **rf_params):
     """Q8: returns ``(model, report_df, test_predictions)``."""
-    data = stratified_split(training_pixels(images, masks, size, max_samples, seed),
-                            test_fraction=test_fraction, seed=seed).cache()
+    # The training table feeds one pass per tree level: checkpoint it to the
+    # shared folder so a lost executor re-reads it instead of re-running the
+    # resize / join / sample plan.
+    data = materialize(stratified_split(training_pixels(images, masks, size, max_samples, seed),
+                                        test_fraction=test_fraction, seed=seed), "segmenter_training")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="features"),
                             classifier(**rf_params)])
     model = pipe.fit(data.filter("is_train"))

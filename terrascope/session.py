@@ -64,3 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` as a parquet table under the shared
+    checkpoint folder and read it back (never ``localCheckpoint``).  A lost
+    executor then re-reads the table instead of recomputing the plan.
+
+    A written table rather than ``Dataset.checkpoint()``: the latter fails
+    with "Task not serializable" once the session has used ``observe()``.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -55,6 +55,18 @@ def write_pixels(pixels: DataFrame, path: str) -> None:
 
 def observed(df: DataFrame, name: str = "rows", *extra) -> tuple[DataFrame, Observation]:
     """K8: row counts (and more) collected by the next action on ``df``
-    itself -- no extra job."""
+    itself -- no extra job.
+
+    Caveat (Spark 4.1): once a session has run an ``observe``, later MLlib
+    ``transform`` + aggregate plans in that session fail with "Task not
+    serializable".  Use it on a session of its own (``spark.newSession()``)
+    or use ``counted`` instead.
+    """
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows"), *extra), obs
+
+
+def counted(df: DataFrame, *extra) -> dict:
+    """K8 without ``observe``: one aggregate job returning ``rows`` and the
+    ``extra`` aggregates as a dict."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), *extra).first().asDict()

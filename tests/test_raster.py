@@ -149,3 +149,16 @@ def test_hsv_known_colours(spark):
     h, s, v = RA.hsv()
     out = [(r.h, r.s, r.v) for r in df.select(h.alias("h"), s.alias("s"), v.alias("v")).collect()]
     assert out == [(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 10)]
+
+
+def test_ellipse_label_per_image(spark):
+    a = np.zeros((8, 8))
+    px = _grid(spark, a, image_id=1).unionByName(_grid(spark, a, image_id=2))
+    patches = spark.createDataFrame([(1, 2.0, 2.0, 2.0, 1.0), (1, 5.0, 5.0, 1.0, 2.0), (2, 6.0, 1.0, 1.5, 1.5)],
+                                    "image_id long, cx double, cy double, w double, h double")
+    got = {(r.image_id, r.y, r.x): r.label for r in RA.ellipse_label_per_image(px, patches).collect()}
+    per = {1: [(2, 2, 2, 1), (5, 5, 1, 2)], 2: [(6, 1, 1.5, 1.5)]}
+    for (img, y, x), v in got.items():
+        exp = int(any(((x - cx) / w) ** 2 + ((y - cy) / h) ** 2 <= 1 for cx, cy, w, h in per[img]))
+        assert v == exp
+    assert len(got) == 128
