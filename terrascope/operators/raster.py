@@ -139,9 +139,11 @@ def overlay(df: DataFrame, alpha: float = 0.7, beta: float = 0.3) -> DataFrame:
 # --- focal (neighbourhood) operators: R3, R4, R5 -----------------------------
 
 def _axis_targets(s: Column, n: Column, radius: int, border: str) -> Column:
-    """Array of ``struct(t, d)``: output coordinates ``t`` whose neighbour at
-    offset ``d`` reads source coordinate ``s`` (``border`` 'cut' or
-    'reflect101', i.e. reflection without repeating the edge)."""
+    """Array of ``struct(t, d)`` (NULL where invalid): output coordinates
+    ``t`` whose neighbour at offset ``d`` reads source coordinate ``s``
+    (``border`` 'cut' or 'reflect101', i.e. reflection without repeating the
+    edge).  Plain array + explode + null filter: no lambda, so it stays in
+    generated code."""
     cands = []
     for d in range(-radius, radius + 1):
         t = s - F.lit(d)
@@ -153,7 +155,7 @@ def _axis_targets(s: Column, n: Column, radius: int, border: str) -> Column:
             t_hi = F.lit(2) * (n - 1) - s - F.lit(d)   # t + d >= n reflects to 2(n-1) - (t + d)
             cands.append(F.when((t_hi >= 0) & (t_hi < n) & (t_hi + F.lit(d) >= n) & (s < n - 1),
                                 F.struct(t_hi.alias("t"), F.lit(d).alias("d"))))
-    return F.filter(F.array(*cands), lambda e: e.isNotNull())
+    return F.array(*cands)
 
 
 def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border: str = "cut",
@@ -166,9 +168,11 @@ def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border:
     """
     ys = _axis_targets(F.col("y"), F.col("height"), radius, border)
     # two explodes: rows -> y targets -> x targets
-    step1 = pixels.select("image_id", "height", "width", "x", *values, F.explode(ys).alias("_ty"))
-    step2 = step1.select("image_id", "height", "width", *values, "_ty",
-                         F.explode(_axis_targets(F.col("x"), F.col("width"), radius, border)).alias("_tx"))
+    step1 = (pixels.select("image_id", "height", "width", "x", *values, F.explode(ys).alias("_ty"))
+             .filter(F.col("_ty").isNotNull()))
+    step2 = (step1.select("image_id", "height", "width", *values, "_ty",
+                          F.explode(_axis_targets(F.col("x"), F.col("width"), radius, border)).alias("_tx"))
+             .filter(F.col("_tx").isNotNull()))
     dy, dx = F.col("_ty.d"), F.col("_tx.d")
     if kernel is None:
         weight = F.lit(1.0)
@@ -276,44 +280,56 @@ def resize_nearest(pixels: DataFrame, out_h: int | str, out_w: int | str, values
                         *carry, *values)
 
 
-def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[str] = ("b", "g", "r"),
-                    dims: DataFrame | None = None) -> DataFrame:
+def _bilinear_axis(t: Column, n: Column, o: int) -> tuple[Column, Column, Column]:
+    """Output coordinate ``t`` -> ``(s0, s1, frac)``: source position
+    ``(t + 0.5) * n / o - 0.5``, clamped at both edges (weight 0 beyond)."""
+    f = (t + F.lit(0.5)) * n / F.lit(float(o)) - F.lit(0.5)
+    s0 = F.floor(f)
+    frac = F.when((s0 < 0) | (s0 >= n - 1), F.lit(0.0)).otherwise(f - s0)
+    s0c = F.when(s0 < 0, F.lit(0)).when(s0 >= n - 1, n - 1).otherwise(s0).cast("int")
+    return s0c, F.least(s0c + 1, n - 1), frac
+
+
+def _bilinear_range(s: Column, n: Column, o: int) -> Column:
+    """Candidate output coordinates whose corners may include source ``s``
+    (a superset; exact weights filter it)."""
+    lo = F.greatest(F.lit(0), (F.floor((s - F.lit(1)) * F.lit(o) / n) - F.lit(1)).cast("int"))
+    hi = F.least(F.lit(o - 1), (F.ceil((s + F.lit(2)) * F.lit(o) / n) + F.lit(1)).cast("int"))
+    return F.sequence(lo, hi)
+
+
+def _bilinear_weight(t: Column, s: Column, n: Column, o: int) -> Column:
+    """Weight of source ``s`` for output ``t`` on one axis (both corners may
+    be ``s`` at a clamped edge: the weights add up)."""
+    s0, s1, frac = _bilinear_axis(t, n, o)
+    return (F.when(s0 == s, F.lit(1.0) - frac).otherwise(F.lit(0.0))
+            + F.when(s1 == s, frac).otherwise(F.lit(0.0)))
+
+
+def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[str] = ("b", "g", "r")) -> DataFrame:
     """Bilinear resize with pixel-centre alignment: source position
     ``(t + 0.5) * n / out - 0.5``, clamped at the edges, four weighted
     neighbours, rounded to 8-bit.
 
-    Target-side form: the output grid (from the per-image dimensions) asks for
-    its four corners; an equi-join on the full source coordinate
-    ``(image_id, y, x)`` fetches them and a grouped sum combines them.  Both
-    shuffles hash on full coordinates, so no image sits in one task.
+    Source-side form: each source pixel explodes (map side) to the output
+    cells that use it as a corner, with its exact weight; one ``groupBy`` on
+    the output coordinate sums the weighted values (partial sums merge in the
+    map task).  One shuffle, no per-image dimension table, no join.
     """
-    if dims is None:
-        dims = pixels.groupBy("image_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
-
-    def axis(t, n, o):
-        f = (t + F.lit(0.5)) * n / F.lit(float(o)) - F.lit(0.5)
-        s0 = F.floor(f)
-        frac = f - s0
-        frac = F.when(s0 < 0, F.lit(0.0)).when(s0 >= n - 1, F.lit(0.0)).otherwise(frac)
-        s0 = F.when(s0 < 0, F.lit(0)).when(s0 >= n - 1, n - 1).otherwise(s0).cast("int")
-        s1 = F.least(s0 + 1, n - 1)
-        return F.array(F.struct(s0.alias("s"), (F.lit(1.0) - frac).alias("w")),
-                       F.struct(s1.alias("s"), frac.alias("w")))
-
-    grid = (dims.select("image_id", "height", "width",
-                        F.explode(F.sequence(F.lit(0), F.lit(out_h - 1))).alias("ty"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1))).alias("tx")))
-    corners = (grid.select("image_id", "ty", "tx",
-                           F.explode(axis(F.col("ty"), F.col("height"), out_h)).alias("_cy"),
-                           axis(F.col("tx"), F.col("width"), out_w).alias("_ax"))
-               .select("image_id", "ty", "tx", "_cy", F.explode("_ax").alias("_cx"))
-               .select("image_id", "ty", "tx", F.col("_cy.s").alias("y"), F.col("_cx.s").alias("x"),
-                       (F.col("_cy.w") * F.col("_cx.w")).alias("w"))
-               .filter(F.col("w") > 0))
-    src = pixels.select(*KEY, *values)
-    joined = corners.join(src, list(KEY))
+    step1 = pixels.select("image_id", "x", "width", *values,
+                          F.explode(_bilinear_range(F.col("y"), F.col("height"), out_h)).alias("_ty"),
+                          F.col("y").alias("_sy"), F.col("height").alias("_h"))
+    step1 = (step1.withColumn("_wy", _bilinear_weight(F.col("_ty"), F.col("_sy"), F.col("_h"), out_h))
+             .filter(F.col("_wy") > 0))
+    step2 = step1.select("image_id", "_ty", "_wy", *values,
+                         F.explode(_bilinear_range(F.col("x"), F.col("width"), out_w)).alias("_tx"),
+                         F.col("x").alias("_sx"), F.col("width").alias("_w"))
+    spread = (step2.withColumn("_wx", _bilinear_weight(F.col("_tx"), F.col("_sx"), F.col("_w"), out_w))
+              .filter(F.col("_wx") > 0)
+              .select("image_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"),
+                      (F.col("_wy") * F.col("_wx")).alias("w"), *values))
     aggs = [clip(F.floor(F.sum(F.col("w") * F.col(v)) + F.lit(0.5)), 0, 255).cast("int").alias(v) for v in values]
-    return (joined.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(*aggs)
+    return (spread.groupBy("image_id", "y", "x").agg(*aggs)
             .withColumn("height", F.lit(out_h)).withColumn("width", F.lit(out_w)))
 
 

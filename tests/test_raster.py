@@ -162,3 +162,35 @@ def test_ellipse_label_per_image(spark):
         exp = int(any(((x - cx) / w) ** 2 + ((y - cy) / h) ** 2 <= 1 for cx, cy, w, h in per[img]))
         assert v == exp
     assert len(got) == 128
+
+
+def _bilinear_np(a, oh, ow):
+    h, w = a.shape
+
+    def axis(t, n, o):
+        f = (t + 0.5) * n / o - 0.5
+        s0 = math.floor(f)
+        if s0 < 0 or s0 >= n - 1:
+            return min(max(s0, 0), n - 1), min(max(s0, 0), n - 1), 0.0
+        return s0, s0 + 1, f - s0
+
+    out = np.zeros((oh, ow), dtype=int)
+    for ty in range(oh):
+        y0, y1, fy = axis(ty, h, oh)
+        for tx in range(ow):
+            x0, x1, fx = axis(tx, w, ow)
+            v = ((1 - fy) * (1 - fx) * a[y0, x0] + (1 - fy) * fx * a[y0, x1]
+                 + fy * (1 - fx) * a[y1, x0] + fy * fx * a[y1, x1])
+            out[ty, tx] = min(255, max(0, math.floor(v + 0.5)))
+    return out
+
+
+def test_bilinear_matches_bruteforce_up_and_down(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (7, 5))
+    px = _grid(spark, a, name="b").withColumn("g", F.col("b")).withColumn("r", F.col("b"))
+    for oh, ow in ((16, 11), (3, 2), (7, 5), (10, 3)):
+        got = _to_np(RA.resize_bilinear(px, oh, ow), oh, ow, "b")
+        exp = _bilinear_np(a, oh, ow)
+        assert np.abs(got - exp).max() <= 1, (oh, ow)
+        assert (got == exp).mean() > 0.97, (oh, ow)
