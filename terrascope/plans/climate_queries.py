@@ -38,8 +38,13 @@ def _features(spark, sf):
 
 
 def _predictions(spark, sf):
-    model, pred = M.linear_predictions(spark, _features(spark, sf))
-    return model, pred
+    """Linear model (trained once per context and folder) and its
+    predictions table for the reports."""
+    from terrascope.plans.model_cache import cached_model
+    features = _features(spark, sf)
+    model = cached_model(spark, sf, "linear_regression",
+                         lambda: M.linear_predictions(spark, features)[0])
+    return model, M.predictions_dataset(model, features.cache()).cache()
 
 
 # --- sources / sinks -------------------------------------------------------
@@ -273,7 +278,7 @@ def q_standardize(spark, sf):
 
 
 def q_linear_regression(spark, sf):
-    _, pred = _predictions(spark, sf)
+    _, pred = M.linear_predictions(spark, _features(spark, sf))     # fit measured here
     return rounded(pred.select("dt", S.TARGET, "Predicted_Temperature"), overrides=PRED4)
 
 

@@ -153,7 +153,10 @@ def q_stratified_split(spark, sf):
 
 
 def _trained(spark, sf):
-    return SEG.train_segmenter(_px(spark, sf), _masks(spark, sf), size=MODEL_GRID, **SMALL_FOREST)
+    """Segmenter trained once per context and folder: ``(model, report, test_predictions)``."""
+    from terrascope.plans.model_cache import cached_model
+    return cached_model(spark, sf, "segmenter", lambda: SEG.train_segmenter(
+        _px(spark, sf), _masks(spark, sf), size=MODEL_GRID, **SMALL_FOREST))
 
 
 def q_pixel_classifier(spark, sf):
@@ -161,13 +164,17 @@ def q_pixel_classifier(spark, sf):
     return report
 
 
+def _model(spark, sf):
+    return _trained(spark, sf)[0]
+
+
 def q_score_images(spark, sf):
-    model, _, _ = _trained(spark, sf)
+    model = _model(spark, sf)
     return SEG.score_instances(model, RA.pack_instances(_px(spark, sf)), MODEL_GRID)
 
 
 def q_segment_images(spark, sf):
-    model, _, _ = _trained(spark, sf)
+    model = _model(spark, sf)
     return SEG.segment(model, _px(spark, sf), MODEL_GRID)["coverage"]
 
 

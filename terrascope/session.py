@@ -75,6 +75,14 @@ def materialize(df, name: str = "table"):
     with "Task not serializable" once the session has used ``observe()``.
     """
     import uuid
-    path = scratch_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}_{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = spark.read.parquet(path)
+    # A small table reads back as few splits (AQE coalesced its last shuffle);
+    # iterative consumers (MLlib) then leave cores idle.  Large tables already
+    # have many splits and are returned as read.
+    want = spark.sparkContext.defaultParallelism
+    if back.rdd.getNumPartitions() < want:
+        back = back.repartition(want)
+    return back
