@@ -59,6 +59,14 @@ def grey(b: str = "b", g: str = "g", r: str = "r") -> Column:
                    + F.lit(0.5)).cast("int")
 
 
+def decode_grey(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """Masks as one grey value ``v`` per pixel: one-channel images give
+    their value, colour images their luma (the weights sum to 1, so both
+    cases are ``grey(b, g, r)``)."""
+    px = decode_image(images, id_col, image_col)
+    return px.select("image_id", "y", "x", "height", "width", grey().alias("v"))
+
+
 def pixel_features(pixels: DataFrame) -> DataFrame:
     """R1/F11s: ``[b, g, r, y/h, x/w]`` per pixel."""
     return pixels.select(*KEY, "height", "width", "b", "g", "r",

@@ -55,8 +55,11 @@ def calendar_lag(df: DataFrame, value: str, months: int = 12, series_key=None,
     (no window, so it scales with any series length)."""
     keys = _keys(series_key)
     out = out or f"{value}_CalLag{months}"
-    prev = df.select(*[F.col(k).alias(f"_prev_{k}") for k in keys],
-                     F.col("dt").alias("_prev_dt"), F.col(value).alias(out))
+    # One row per (key, month) on the lookup side -- several rows of a month
+    # are averaged (partial aggregation) -- so no row ever meets more than one
+    # partner: the join cannot emit all pairs of a crowded month.
+    prev = (df.groupBy(*[F.col(k).alias(f"_prev_{k}") for k in keys], F.col("dt").alias("_prev_dt"))
+            .agg(F.avg(value).alias(out)))
     cond = [F.add_months(F.col("dt"), -months) == F.col("_prev_dt")] + \
         [F.col(k) == F.col(f"_prev_{k}") for k in keys]
     return df.join(prev, cond, "left").drop("_prev_dt", *[f"_prev_{k}" for k in keys])

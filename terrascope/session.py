@@ -55,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder every executor shares "
+                             "(a machine-local scratch folder is only used in local mode)")
         conf_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()

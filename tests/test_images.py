@@ -34,6 +34,9 @@ def test_decode_colour_and_grey(spark, tmpdir_run):
     assert px[(1, 1, 1)] == (30, 20, 10)
     assert px[(2, 0, 1)] == (128, 128, 128)      # one channel -> b = g = r
     assert len(px) == 8
+    grey = {(r.image_id, r.y, r.x): r.v for r in RA.decode_grey(imgs).collect()}
+    assert grey[(2, 1, 0)] == 255 and grey[(2, 1, 1)] == 7
+    assert grey[(1, 0, 0)] == round(0.299 * 255) and grey[(1, 1, 1)] == round(0.114 * 30 + 0.587 * 20 + 0.299 * 10)
 
 
 def test_invalid_file_dropped_or_flagged(spark, tmpdir_run):
@@ -54,8 +57,7 @@ def test_extension_rule(spark):
 def test_two_half_image_segmentation(spark, tmpdir_run):
     _write_set(tmpdir_run, n=4)
     images = RA.decode_image(IM.read_images(spark, f"{tmpdir_run}/images", glob="*.png"))
-    masks = RA.decode_image(IM.read_images(spark, f"{tmpdir_run}/masks")).select(
-        "image_id", "y", "x", "height", "width", F.col("b").alias("v"))
+    masks = RA.decode_grey(IM.read_images(spark, f"{tmpdir_run}/masks"))
     model, report, _ = SEG.train_segmenter(images, masks, size=8, max_samples=64, numTrees=5, maxDepth=5)
     acc = {r["class"]: r.f1_score for r in report.collect()}["accuracy"]
     assert acc > 0.95
