@@ -94,16 +94,26 @@ def _metrics_row(model: PipelineModel, train: DataFrame, test: DataFrame, label:
     return {**tr, **te}
 
 
-def cv_scores(train: DataFrame, kind: str, k: int = 5, label: str = TARGET, **params) -> DataFrame:
+def _parallel(fn, items, parallelism: int):
+    """Submit independent Spark jobs from a few driver threads (what MLlib's
+    ``CrossValidator(parallelism=n)`` does), so small fits share the cores."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
+def cv_scores(train: DataFrame, kind: str, k: int = 5, label: str = TARGET, parallelism: int = 5,
+              **params) -> DataFrame:
     """M6: k contiguous folds of the training part, R^2 per fold; returns
-    ``fold, r2``.  Each fit is a distributed MLlib job; only the k fold
-    scores come back."""
+    ``fold, r2``.  Each fit is a distributed MLlib job (folds fitted
+    concurrently); only the k fold scores come back."""
     folded = kfold_assign(train, k).cache()
-    scores = []
-    for f in range(k):
+
+    def one(f):
         m = fit(folded.filter(F.col("fold") != f), kind, label=label, **params)
-        r2 = regression_metrics(score(m, folded.filter(F.col("fold") == f)), label).first()["r2"]
-        scores.append((f, float(r2)))
+        return f, float(regression_metrics(score(m, folded.filter(F.col("fold") == f)), label).first()["r2"])
+
+    scores = _parallel(one, list(range(k)), parallelism)
     folded.unpersist()
     return train.sparkSession.createDataFrame(scores, "fold int, r2 double")
 
@@ -122,8 +132,9 @@ def train_and_select(features: DataFrame, kinds: Sequence[str] = MODEL_ORDER, la
     train = split.filter("is_train")
     test = split.filter(~F.col("is_train"))
     spark = features.sparkSession
-    models, rows = {}, []
-    for order, kind in enumerate(kinds):
+
+    def one(item):
+        order, kind = item
         p = params.get(kind, {})
         m = fit(train, kind, label=label, **p)
         row = _metrics_row(m, train, test, label)
@@ -133,8 +144,11 @@ def train_and_select(features: DataFrame, kinds: Sequence[str] = MODEL_ORDER, la
             row.update(cv_r2_mean=float(cv["m"]), cv_r2_std=float(cv["s"]))
         else:
             row.update(cv_r2_mean=None, cv_r2_std=None)
-        models[kind] = m
-        rows.append({"model": kind, "train_order": order, **row})
+        return kind, m, {"model": kind, "train_order": order, **row}
+
+    results = _parallel(one, list(enumerate(kinds)), len(kinds))
+    models = {kind: m for kind, m, _ in results}
+    rows = [row for _, _, row in results]
     split.unpersist()
     metrics = spark.createDataFrame(
         rows, "model string, train_order int, train_mse double, train_mae double, train_r2 double, "
