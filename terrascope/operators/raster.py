@@ -67,9 +67,9 @@ def decode_grey(images: DataFrame, id_col: str = "image_id", image_col: str = "i
     return px.select("image_id", "y", "x", "height", "width", grey().alias("v"))
 
 
-def pixel_features(pixels: DataFrame) -> DataFrame:
+def pixel_features(pixels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """R1/F11s: ``[b, g, r, y/h, x/w]`` per pixel."""
-    return pixels.select(*KEY, "height", "width", "b", "g", "r",
+    return pixels.select(*KEY, "height", "width", *carry, "b", "g", "r",
                          (F.col("y") / F.col("height")).alias("yn"),
                          (F.col("x") / F.col("width")).alias("xn"))
 
@@ -186,12 +186,12 @@ def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border:
         weight = F.lit(1.0)
         keep = F.lit(True)
     else:
-        weight = F.lit(0.0)
-        for (ky, kx), kw in kernel.items():
-            weight = F.when((dy == ky) & (dx == kx), F.lit(float(kw))).otherwise(weight)
-        keep = F.lit(False)
-        for (ky, kx) in kernel:
-            keep = keep | ((dy == ky) & (dx == kx))
+        # kernel as a literal (2r+1) x (2r+1) table, NULL outside the kernel:
+        # one array lookup per row instead of a chain of conditions
+        rows = [F.array(*[F.lit(float(kernel[(ky, kx)])) if (ky, kx) in kernel else F.lit(None).cast("double")
+                          for kx in range(-radius, radius + 1)]) for ky in range(-radius, radius + 1)]
+        weight = F.element_at(F.element_at(F.array(*rows), dy + F.lit(radius + 1)), dx + F.lit(radius + 1))
+        keep = weight.isNotNull()
     return step2.filter(keep).select(
         "image_id", F.col("_ty.t").alias("y"), F.col("_tx.t").alias("x"), "height", "width",
         weight.alias("w"), *values)
@@ -314,7 +314,8 @@ def _bilinear_weight(t: Column, s: Column, n: Column, o: int) -> Column:
             + F.when(s1 == s, frac).otherwise(F.lit(0.0)))
 
 
-def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[str] = ("b", "g", "r")) -> DataFrame:
+def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[str] = ("b", "g", "r"),
+                    keep_source_size: bool = False) -> DataFrame:
     """Bilinear resize with pixel-centre alignment: source position
     ``(t + 0.5) * n / out - 0.5``, clamped at the edges, four weighted
     neighbours, rounded to 8-bit.
@@ -323,20 +324,24 @@ def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[
     cells that use it as a corner, with its exact weight; one ``groupBy`` on
     the output coordinate sums the weighted values (partial sums merge in the
     map task).  One shuffle, no per-image dimension table, no join.
+    ``keep_source_size`` adds ``src_height`` / ``src_width`` from the same
+    aggregate, so a later resize back to the original size needs no join.
     """
     step1 = pixels.select("image_id", "x", "width", *values,
                           F.explode(_bilinear_range(F.col("y"), F.col("height"), out_h)).alias("_ty"),
-                          F.col("y").alias("_sy"), F.col("height").alias("_h"))
+                          F.col("y").alias("_sy"), F.col("height").alias("_h"), F.col("height").alias("_src_h"))
     step1 = (step1.withColumn("_wy", _bilinear_weight(F.col("_ty"), F.col("_sy"), F.col("_h"), out_h))
              .filter(F.col("_wy") > 0))
-    step2 = step1.select("image_id", "_ty", "_wy", *values,
+    step2 = step1.select("image_id", "_ty", "_wy", "_src_h", *values,
                          F.explode(_bilinear_range(F.col("x"), F.col("width"), out_w)).alias("_tx"),
-                         F.col("x").alias("_sx"), F.col("width").alias("_w"))
+                         F.col("x").alias("_sx"), F.col("width").alias("_w"), F.col("width").alias("_src_w"))
     spread = (step2.withColumn("_wx", _bilinear_weight(F.col("_tx"), F.col("_sx"), F.col("_w"), out_w))
               .filter(F.col("_wx") > 0)
               .select("image_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"),
-                      (F.col("_wy") * F.col("_wx")).alias("w"), *values))
+                      (F.col("_wy") * F.col("_wx")).alias("w"), "_src_h", "_src_w", *values))
     aggs = [clip(F.floor(F.sum(F.col("w") * F.col(v)) + F.lit(0.5)), 0, 255).cast("int").alias(v) for v in values]
+    if keep_source_size:
+        aggs += [F.max("_src_h").alias("src_height"), F.max("_src_w").alias("src_width")]
     return (spread.groupBy("image_id", "y", "x").agg(*aggs)
             .withColumn("height", F.lit(out_h)).withColumn("width", F.lit(out_w)))
 

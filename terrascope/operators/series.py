@@ -30,6 +30,17 @@ def _keys(series_key: str | Sequence[str] | None) -> list[str]:
     return [series_key] if isinstance(series_key, str) else list(series_key)
 
 
+def monthly_series(df: DataFrame, value: str, series_key=None, out: str | None = None,
+                   date_col: str = "dt") -> DataFrame:
+    """Raw observations -> one row per (series key, month) with the mean
+    value: the input shape of every window operator here.  A hash aggregate
+    with partial aggregation, so a key holding a third of all rows is reduced
+    inside each map task; the result is bounded by keys x months."""
+    keys = _keys(series_key)
+    return (df.groupBy(*keys, F.trunc(date_col, "month").alias("dt"))
+            .agg(F.avg(value).alias(out or value)))
+
+
 def series_window(series_key=None, order: Sequence[str] = ORDER):
     w = Window.orderBy(*order)
     keys = _keys(series_key)

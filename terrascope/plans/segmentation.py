@@ -65,19 +65,19 @@ def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
 
 def predict_pixels(model: PipelineModel, pixels: DataFrame, size: int = 128) -> DataFrame:
     """Resize to the model grid and classify every pixel: ``image_id, y, x,
-    height, width, label``."""
-    small = RA.resize_bilinear(pixels, size, size, ("b", "g", "r"))
-    scored = model.transform(RA.pixel_features(small))
-    return scored.select("image_id", "y", "x", "height", "width",
+    height, width, src_height, src_width, label``."""
+    small = RA.resize_bilinear(pixels, size, size, ("b", "g", "r"), keep_source_size=True)
+    feats = RA.pixel_features(small, carry=("src_height", "src_width"))
+    scored = model.transform(feats)
+    return scored.select("image_id", "y", "x", "height", "width", "src_height", "src_width",
                          F.col("prediction").cast("int").alias("label"))
 
 
 def segment(model: PipelineModel, pixels: DataFrame, size: int = 128) -> dict[str, DataFrame]:
     """Class grid scaled back to each image's own size (nearest),
     coverage per image (counted after the upscale), colour mask, overlay."""
-    dims = pixels.groupBy("image_id").agg(F.max("height").alias("orig_h"), F.max("width").alias("orig_w"))
-    grid = predict_pixels(model, pixels, size).join(dims, "image_id")
-    full = RA.resize_nearest(grid, "orig_h", "orig_w", ["label"]).drop("orig_h", "orig_w")
+    grid = predict_pixels(model, pixels, size)        # carries each image's source size
+    full = RA.resize_nearest(grid, "src_height", "src_width", ["label"]).drop("src_height", "src_width")
     colored = RA.color_mask(full)
     over = RA.overlay(pixels.select("image_id", "y", "x", "b", "g", "r")
                       .join(colored.select("image_id", "y", "x", "mb", "mg", "mr"), ["image_id", "y", "x"]))
@@ -88,4 +88,4 @@ def score_instances(model: PipelineModel, instances: DataFrame, size: int = 128)
     """Request instances (nested arrays) -> ``size x size`` class grid
     per instance."""
     px = RA.explode_instances(instances)
-    return RA.grid_pack(predict_pixels(model, px, size), "label")
+    return RA.grid_pack(predict_pixels(model, px, size).drop("src_height", "src_width"), "label")

@@ -48,16 +48,15 @@ def station_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def country_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1m: ``Country, dt, AverageTemperature`` -- mean per country and month."""
-    f1 = station_observations(spark, sf_dir)
-    return (f1.groupBy("Country", F.trunc("dt", "month").alias("dt"))
-            .agg(F.avg("AverageTemperature").alias("AverageTemperature")))
+    from terrascope.operators.series import monthly_series
+    return monthly_series(station_observations(spark, sf_dir), "AverageTemperature", "Country")
 
 
 def global_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``dt, LandAverageTemperature`` -- one row per month (80 rows)."""
-    f1 = station_observations(spark, sf_dir)
-    return (f1.groupBy(F.trunc("dt", "month").alias("dt"))
-            .agg(F.avg("AverageTemperature").alias("LandAverageTemperature")))
+    from terrascope.operators.series import monthly_series
+    return monthly_series(station_observations(spark, sf_dir), "AverageTemperature",
+                          out="LandAverageTemperature")
 
 
 def _channel(emb: Column, shift: int) -> Column:
