@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 ID_PATTERN = r"_(\d+)\."
 
 
-def name_id(col: str) -> F.Column:
+def id_from_name(c: F.Column) -> F.Column:
     """Numeric id in a file name such as ``satellite_0042.jpg`` -> 42."""
-    return F.regexp_extract(F.col(col), ID_PATTERN, 1).cast("long")
+    return F.regexp_extract(c, ID_PATTERN, 1).cast("long")
+
+
+def name_id(col: str) -> F.Column:
+    return id_from_name(F.col(col))
 
 
 def pair_by_id(images: DataFrame, masks: DataFrame, image_col: str = "image_name",

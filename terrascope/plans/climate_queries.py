@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import climate_status

@@ -5,7 +5,6 @@ a NaN double; the cleaning step (``na.drop``) removes both."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 GLOBAL_SCHEMA = "dt DATE, LandAverageTemperature DOUBLE"

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascope.operators.pairing import id_from_name
+
 
 
 # Accepted upload extensions (compared case-insensitively).
@@ -30,11 +32,7 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None, drop_in
         r = r.option("recursiveFileLookup", True)
     df = r.load(path)
     fname = F.regexp_extract(F.col("image.origin"), r"([^/]*)$", 1)
-    return df.select(name_id_from(fname).alias("image_id"), fname.alias("file_name"), "image")
-
-
-def name_id_from(col) -> F.Column:
-    return F.regexp_extract(col, r"_(\d+)\.", 1).cast("long")
+    return df.select(id_from_name(fname).alias("image_id"), fname.alias("file_name"), "image")
 
 
 def file_name(path_col: str) -> F.Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from terrascope.operators.pairing import id_from_name
 from terrascope.operators.raster import decode_image
 from terrascope.plans.segmentation import segment
 from terrascope.session import scratch_path
@@ -31,7 +32,7 @@ def image_stream(spark: SparkSession, folder: str, glob: str | None = None,
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.load(folder)
     fname = F.regexp_extract(F.col("image.origin"), r"([^/]*)$", 1)
-    return df.select(F.regexp_extract(fname, r"_(\d+)\.", 1).cast("long").alias("image_id"),
+    return df.select(id_from_name(fname).alias("image_id"),
                      fname.alias("file_name"), "image")
 
 
