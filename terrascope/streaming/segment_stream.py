@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terrascope.operators.pairing import id_from_name
-from terrascope.operators.raster import decode_image
+from terrascope.operators.raster import decode_image_arrow
 from terrascope.plans.segmentation import segment
 from terrascope.session import scratch_path
 
@@ -41,7 +41,7 @@ def coverage_sink(model: PipelineModel, out_path: str, size: int = 128):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         names = batch.select("image_id", "file_name")
-        cov = segment(model, decode_image(batch), size)["coverage"].join(names, "image_id")
+        cov = segment(model, decode_image_arrow(batch), size)["coverage"].join(names, "image_id")
         cov.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     return run

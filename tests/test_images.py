@@ -69,3 +69,12 @@ def test_two_half_image_segmentation(spark, tmpdir_run):
         assert abs(r.forest_percentage + r.deforested_percentage - 100.0) <= 0.01
         assert r.total_pixels == 144
     assert out["overlay"].count() == 4 * 144
+
+
+def test_arrow_decoder_equals_jvm_decoder(spark, tmpdir_run):
+    _write_set(tmpdir_run, n=3, size=9)
+    write_png(f"{tmpdir_run}/images/grey_0007.png", [[0, 128, 3], [255, 7, 9]], grey=True)
+    imgs = IM.read_images(spark, f"{tmpdir_run}/images", glob="*.png")
+    a, b = RA.decode_image(imgs), RA.decode_image_arrow(imgs)
+    assert a.count() == 3 * 81 + 6
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
