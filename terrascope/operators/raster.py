@@ -180,24 +180,31 @@ def overlay(df: DataFrame, alpha: float = 0.7, beta: float = 0.3) -> DataFrame:
 
 # --- focal (neighbourhood) operators: R3, R4, R5 -----------------------------
 
-def _axis_targets(s: Column, n: Column, radius: int, border: str) -> Column:
-    """Array of ``struct(t, d)`` (NULL where invalid): output coordinates
-    ``t`` whose neighbour at offset ``d`` reads source coordinate ``s``
-    (``border`` 'cut' or 'reflect101', i.e. reflection without repeating the
-    edge).  Plain array + explode + null filter: no lambda, so it stays in
-    generated code."""
-    cands = []
-    for d in range(-radius, radius + 1):
-        t = s - F.lit(d)
-        cands.append(F.when((t >= 0) & (t < n), F.struct(t.alias("t"), F.lit(d).alias("d"))))
-        if border == "reflect101":
-            t_lo = -s - F.lit(d)            # t + d < 0 reflects to -(t + d) = s
-            cands.append(F.when((t_lo >= 0) & (t_lo < n) & (t_lo + F.lit(d) < 0) & (s > 0),
-                                F.struct(t_lo.alias("t"), F.lit(d).alias("d"))))
-            t_hi = F.lit(2) * (n - 1) - s - F.lit(d)   # t + d >= n reflects to 2(n-1) - (t + d)
-            cands.append(F.when((t_hi >= 0) & (t_hi < n) & (t_hi + F.lit(d) >= n) & (s < n - 1),
-                                F.struct(t_hi.alias("t"), F.lit(d).alias("d"))))
-    return F.array(*cands)
+def _preimages(s: Column, n: Column, radius: int, border: str) -> Column:
+    """Positions ``q`` (in the padded range ``-radius .. n-1+radius``) that
+    read source coordinate ``s``: ``s`` itself and, for reflection without
+    repeating the edge, ``-s`` and ``2(n-1) - s``.  NULL where absent."""
+    if border == "cut":
+        return F.array(s)
+    lo = -s
+    hi = F.lit(2) * (n - 1) - s
+    return F.array(s,
+                   F.when((s > 0) & (lo >= -radius), lo),
+                   F.when((s < n - 1) & (hi <= n - 1 + radius), hi))
+
+
+def _spread_axis(df: DataFrame, coord: str, size: str, radius: int, border: str, tag: str) -> DataFrame:
+    """Explode ``coord`` to output coordinates ``_t{tag}`` with offset
+    ``_d{tag}`` such that output ``t`` reads this source at ``t + d``.
+    Plain explodes and filters (no lambda), so the step stays in generated
+    code; interior pixels have one preimage, so ~(2r+1) rows come out."""
+    q, d, t = f"_q{tag}", f"_d{tag}", f"_t{tag}"
+    rest = [c for c in df.columns if c != coord]
+    out = (df.select(*rest, F.col(coord), F.explode(_preimages(F.col(coord), F.col(size), radius, border)).alias(q))
+           .filter(F.col(q).isNotNull())
+           .select(*rest, q, F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias(d))
+           .withColumn(t, F.col(q) - F.col(d)))
+    return out.filter((F.col(t) >= 0) & (F.col(t) < F.col(size))).drop(q)
 
 
 def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border: str = "cut",
@@ -206,16 +213,13 @@ def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border:
 
     Returns ``image_id, y, x, height, width, w, <values>`` where ``(y, x)`` is
     the output cell and ``w`` the kernel weight of this contribution (1 when
-    no kernel is given); offsets outside ``kernel`` are dropped.
+    no kernel is given); offsets outside ``kernel`` are dropped.  Borders:
+    'cut' (outside neighbours ignored) or 'reflect101' (reflected without
+    repeating the edge).
     """
-    ys = _axis_targets(F.col("y"), F.col("height"), radius, border)
-    # two explodes: rows -> y targets -> x targets
-    step1 = (pixels.select("image_id", "height", "width", "x", *values, F.explode(ys).alias("_ty"))
-             .filter(F.col("_ty").isNotNull()))
-    step2 = (step1.select("image_id", "height", "width", *values, "_ty",
-                          F.explode(_axis_targets(F.col("x"), F.col("width"), radius, border)).alias("_tx"))
-             .filter(F.col("_tx").isNotNull()))
-    dy, dx = F.col("_ty.d"), F.col("_tx.d")
+    base = pixels.select("image_id", "y", "x", "height", "width", *values)
+    spread = _spread_axis(_spread_axis(base, "y", "height", radius, border, "y"), "x", "width", radius, border, "x")
+    dy, dx = F.col("_dy"), F.col("_dx")
     if kernel is None:
         weight = F.lit(1.0)
         keep = F.lit(True)
@@ -226,8 +230,8 @@ def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border:
                           for kx in range(-radius, radius + 1)]) for ky in range(-radius, radius + 1)]
         weight = F.element_at(F.element_at(F.array(*rows), dy + F.lit(radius + 1)), dx + F.lit(radius + 1))
         keep = weight.isNotNull()
-    return step2.filter(keep).select(
-        "image_id", F.col("_ty.t").alias("y"), F.col("_tx.t").alias("x"), "height", "width",
+    return spread.filter(keep).select(
+        "image_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"), "height", "width",
         weight.alias("w"), *values)
 
 
