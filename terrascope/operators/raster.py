@@ -386,6 +386,9 @@ def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[
 
 # --- theta join: J6 -------------------------------------------------------------
 
+MAX_BROADCAST_CELLS = 1_000_000   # ~16 MB of (y, x) pairs
+
+
 def ellipse_cells(patches: Sequence[tuple[float, float, float, float]]) -> list[tuple[int, int]]:
     """Integer cells inside any ellipse ``((x-cx)/w)^2 + ((y-cy)/h)^2 <= 1``.
     Enumerated over each patch's bounding box, so the list is bounded by the
@@ -408,8 +411,11 @@ def ellipse_label(pixels: DataFrame, patches: Sequence[tuple[float, float, float
     broadcast is size-proven) and pixels left-join them on ``(y, x)``.
     """
     spark = pixels.sparkSession
-    cells = spark.createDataFrame(ellipse_cells(patches), "_cy int, _cx int").withColumn("_in", F.lit(1))
-    joined = pixels.join(F.broadcast(cells), (F.col("y") == F.col("_cy")) & (F.col("x") == F.col("_cx")), "left")
+    inside = ellipse_cells(patches)
+    cells = spark.createDataFrame(inside, "_cy int, _cx int").withColumn("_in", F.lit(1))
+    if len(inside) <= MAX_BROADCAST_CELLS:      # size known before planning
+        cells = F.broadcast(cells)
+    joined = pixels.join(cells, (F.col("y") == F.col("_cy")) & (F.col("x") == F.col("_cx")), "left")
     return joined.withColumn(out, F.coalesce(F.col("_in"), F.lit(0))).drop("_cy", "_cx", "_in")
 
 
