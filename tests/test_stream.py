@@ -34,3 +34,21 @@ def test_stream_scores_each_image_once(spark, tmpdir_run):
     res = spark.read.parquet(out).collect()
     assert sorted(r.image_id for r in res) == [1, 2, 3, 4]
     assert all(abs(r.forest_percentage + r.deforested_percentage - 100) <= 0.01 for r in res)
+
+
+def test_replayed_batch_replaces_its_output(spark, tmpdir_run):
+    from terrascope.streaming.segment_stream import coverage_sink
+    folder = f"{tmpdir_run}/imgs"
+    os.makedirs(folder)
+    img = two_half_image(8, 8)
+    for i in (5, 6):
+        write_png(f"{folder}/upload_{i:04d}.png", img)
+    batch = IM.read_images(spark, folder)
+    px = RA.decode_image(batch)
+    masks = px.select("image_id", "y", "x", "height", "width",
+                      F.when(F.col("g") > F.col("r"), 255).otherwise(0).alias("v"))
+    model, _, _ = SEG.train_segmenter(px, masks, size=8, max_samples=64, numTrees=2, maxDepth=3)
+    sink = coverage_sink(model, f"{tmpdir_run}/out", size=8)
+    sink(batch, 7)
+    sink(batch, 7)           # the same micro-batch again (task / driver retry)
+    assert spark.read.parquet(f"{tmpdir_run}/out").count() == 2
