@@ -48,9 +48,25 @@ def training_pixels(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
     return sample_per_image(joined, max_samples, seed)
 
 
+def require_pairs(images: DataFrame, masks: DataFrame) -> None:
+    """J1 check: every image has a mask and every mask an image (the
+    original stops on unequal counts).  Compares distinct ids both ways with
+    ``left_anti`` joins; raises with a few offending ids."""
+    im = images.select("image_id").distinct()
+    mk = masks.select("image_id").distinct()
+    missing = (im.join(mk, "image_id", "left_anti").withColumn("missing", F.lit("mask"))
+               .unionByName(mk.join(im, "image_id", "left_anti").withColumn("missing", F.lit("image"))))
+    bad = missing.limit(5).collect()
+    if bad:
+        raise ValueError("images and masks do not pair: " + ", ".join(f"{r.image_id} has no {r.missing}" for r in bad))
+
+
 def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_samples: int = 500,
-                    seed: int = 42, test_fraction: float = 0.2, **rf_params):
-    """Q8: returns ``(model, report_df, test_predictions)``."""
+                    seed: int = 42, test_fraction: float = 0.2, strict: bool = True, **rf_params):
+    """Q8: returns ``(model, report_df, test_predictions)``.  ``strict``
+    requires every image to have a mask and vice versa."""
+    if strict:
+        require_pairs(images, masks)
     # The training table feeds one pass per tree level: checkpoint it to the
     # shared folder so a lost executor re-reads it instead of re-running the
     # resize / join / sample plan.

@@ -78,3 +78,13 @@ def test_arrow_decoder_equals_jvm_decoder(spark, tmpdir_run):
     a, b = RA.decode_image(imgs), RA.decode_image_arrow(imgs)
     assert a.count() == 3 * 81 + 6
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_unpaired_masks_are_an_error(spark, tmpdir_run):
+    import pytest
+    _write_set(tmpdir_run, n=2, size=6)
+    os.remove(f"{tmpdir_run}/masks/mask_0001.png")
+    images = RA.decode_image(IM.read_images(spark, f"{tmpdir_run}/images", glob="*.png"))
+    masks = RA.decode_grey(IM.read_images(spark, f"{tmpdir_run}/masks"))
+    with pytest.raises(ValueError, match="1 has no mask"):
+        SEG.train_segmenter(images, masks, size=4, numTrees=2, maxDepth=2)
