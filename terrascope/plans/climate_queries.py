@@ -51,13 +51,13 @@ def _predictions(spark, sf):
 def q_scan_global(spark, sf):
     path = scratch_path(spark, f"csv_global_{uuid.uuid4().hex}")
     FX.global_series(spark, sf).write.mode("overwrite").option("header", True).csv(path)
-    return rounded(CSV.read_global(spark, path))
+    return rounded(CSV.read_global(spark, path).select("dt", "LandAverageTemperature"))
 
 
 def q_scan_country(spark, sf):
     path = scratch_path(spark, f"csv_country_{uuid.uuid4().hex}")
     FX.country_monthly(spark, sf).write.mode("overwrite").option("header", True).csv(path)
-    return rounded(CSV.read_country(spark, path))
+    return rounded(CSV.read_country(spark, path).select("Country", "dt", "AverageTemperature"))
 
 
 def q_scan_city_capped(spark, sf):

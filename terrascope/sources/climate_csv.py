@@ -1,38 +1,58 @@
-"""Climate CSV sources (S1-S5) with declared schemas: one pass, no
-inference job, and ``''`` / ``NA`` read as NULL.  A literal ``NaN`` reads as
-a NaN double; the cleaning step (``na.drop``) removes both."""
+"""Climate CSV sources (S1-S5): read by header name in one pass, no
+inference job; ``''`` / ``NA`` read as NULL, a literal ``NaN`` as a NaN
+double -- the cleaning step (``na.drop``) removes both."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-GLOBAL_SCHEMA = "dt DATE, LandAverageTemperature DOUBLE"
-COUNTRY_SCHEMA = "Country STRING, dt DATE, AverageTemperature DOUBLE"
-CITY_SCHEMA = "obs_id BIGINT, dt DATE, AverageTemperature DOUBLE, Country STRING, City STRING"
+from pyspark.sql import functions as F
 
+# Columns the operators read, by name; every other column of a file is kept
+# as text and carried through (the original keeps unread columns too).
+GLOBAL_VALUE = "LandAverageTemperature"
+LOCAL_VALUE = "AverageTemperature"
+NUMERIC_HINTS = ("Temperature", "Uncertainty", "obs_id")
 
-def _reader(spark: SparkSession, schema: str):
-    return (spark.read.schema(schema).option("header", True)
-            .option("nullValue", "NA").option("nanValue", "NaN").option("mode", "PERMISSIVE"))
 
+def read_climate_csv(spark: SparkSession, path: str, value: str, numeric: tuple[str, ...] = ()) -> DataFrame:
+    """Read a climate CSV **by header name**: every field arrives as text (no
+    schema-inference pass, no positional schema), then ``dt`` becomes a DATE
+    (``try_to_date``) and ``value`` plus any column named in ``numeric`` or
+    looking numeric (temperature / uncertainty columns) a DOUBLE
+    (``try_cast``: ``''`` and ``NA`` -> NULL, ``NaN`` stays NaN for the
+    cleaning step).  Extra columns in any order are fine."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    cols = []
+    for c in raw.columns:
+        if c == "dt":
+            cols.append(F.coalesce(F.try_to_date(F.col(c), "yyyy-MM-dd"), F.try_to_date(F.col(c))).alias(c))
+        elif c == "obs_id":
+            cols.append(F.col(c).try_cast("long").alias(c))
+        elif c == value or c in numeric or any(h in c for h in NUMERIC_HINTS):
+            cols.append(F.col(c).try_cast("double").alias(c))
+        else:
+            cols.append(F.col(c))
+    return raw.select(*cols)
 
-def read_global(spark: SparkSession, path: str, schema: str = GLOBAL_SCHEMA) -> DataFrame:
-    """The global monthly series."""
-    return _reader(spark, schema).csv(path)
 
+def read_global(spark: SparkSession, path: str) -> DataFrame:
+    """The global monthly series (``dt, LandAverageTemperature, ...``)."""
+    return read_climate_csv(spark, path, GLOBAL_VALUE)
 
-def read_country(spark: SparkSession, path: str, schema: str = COUNTRY_SCHEMA) -> DataFrame:
-    """The country-by-month table."""
-    return _reader(spark, schema).csv(path)
 
+def read_country(spark: SparkSession, path: str) -> DataFrame:
+    """The country-by-month table (``dt, AverageTemperature, ..., Country``)."""
+    return read_climate_csv(spark, path, LOCAL_VALUE)
 
-def read_city(spark: SparkSession, path: str, schema: str = CITY_SCHEMA, row_cap: int | None = None,
+
+def read_city(spark: SparkSession, path: str, row_cap: int | None = None,
               order_by: str = "obs_id") -> DataFrame:
     """S3: the city table.  ``row_cap`` keeps the first ``n`` rows in
     ``order_by`` order (the original read only the first 100,000 lines of the
     file); default off."""
-    df = _reader(spark, schema).csv(path)
+    df = read_climate_csv(spark, path, LOCAL_VALUE)
     return df.orderBy(order_by).limit(row_cap) if row_cap else df
 
 

@@ -20,6 +20,19 @@ def test_nan_and_null_dropped(spark, tmpdir_run):
     assert [r.LandAverageTemperature for r in out] == [1.5]
 
 
+def test_csv_read_by_header_name(spark, tmpdir_run):
+    path = f"{tmpdir_run}/c.csv"
+    with open(path, "w") as f:
+        f.write("dt,AverageTemperature,AverageTemperatureUncertainty,Country\n"
+                "1899-12-01,1.0,0.1,Chad\n1900-01-01,,0.2,Chad\n1900-02-01,2.5,NA,Niger\nbad,3.0,0.3,Niger\n")
+    df = CSV.read_country(spark, path)
+    assert dict(df.dtypes) == {"dt": "date", "AverageTemperature": "double",
+                               "AverageTemperatureUncertainty": "double", "Country": "string"}
+    out = C.clean(df, "AverageTemperature").collect()
+    assert [(str(r.dt), r.AverageTemperature, r.Country, r.Year, r.Month) for r in out] == \
+        [("1900-02-01", 2.5, "Niger", 1900, 2)]
+
+
 def test_missing_optional_table_is_none(spark, tmpdir_run):
     assert CSV.read_optional(spark, f"{tmpdir_run}/does_not_exist") is None
 
