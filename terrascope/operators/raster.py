@@ -56,35 +56,39 @@ def decode_image(images: DataFrame, id_col: str = "image_id", image_col: str = "
 PIXEL_SCHEMA = "image_id long, y int, x int, height int, width int, b int, g int, r int"
 
 
-def _decode_batches(batches):
-    """mapInArrow body: one Arrow batch of images -> pixel batches, one per
-    image (bounded by that image's size)."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        ids = batch.column("image_id").to_pylist()
-        imgs = batch.column("image").to_pylist()
-        for image_id, im in zip(ids, imgs):
-            h, w, nc = im["height"], im["width"], im["nChannels"]
-            if h is None or h <= 0:
-                continue
-            px = np.frombuffer(im["data"], dtype=np.uint8).reshape(h * w, nc).astype(np.int32)
-            bgr = px[:, :3] if nc >= 3 else np.repeat(px[:, :1], 3, axis=1)
-            p = np.arange(h * w, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(h * w, image_id, dtype=np.int64)), pa.array(p // w), pa.array(p % w),
-                 pa.array(np.full(h * w, h, dtype=np.int32)), pa.array(np.full(h * w, w, dtype=np.int32)),
-                 pa.array(bgr[:, 0]), pa.array(bgr[:, 1]), pa.array(bgr[:, 2])],
-                names=["image_id", "y", "x", "height", "width", "b", "g", "r"])
-
-
 def decode_image_arrow(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
     """R1, vectorised: the same output as ``decode_image`` computed with numpy
     on Arrow batches (``mapInArrow``).  Spark still partitions the images;
     each task turns its images' bytes into pixel columns without per-byte
-    expressions -- the faster path for large images."""
-    return images.select(F.col(id_col).alias("image_id"), image_col).mapInArrow(_decode_batches, PIXEL_SCHEMA)
+    expressions -- the faster path for large images.
+
+    The batch function is defined here, not at module level, so it is
+    shipped to executors by value: they need numpy and pyarrow, not this
+    package."""
+
+    def decode_batches(batches):
+        """One Arrow batch of images -> pixel batches, one per image (bounded
+        by that image's size)."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column("image_id").to_pylist()
+            imgs = batch.column(image_col).to_pylist()
+            for image_id, im in zip(ids, imgs):
+                h, w, nc = im["height"], im["width"], im["nChannels"]
+                if h is None or h <= 0:
+                    continue
+                px = np.frombuffer(im["data"], dtype=np.uint8).reshape(h * w, nc).astype(np.int32)
+                bgr = px[:, :3] if nc >= 3 else np.repeat(px[:, :1], 3, axis=1)
+                p = np.arange(h * w, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(h * w, image_id, dtype=np.int64)), pa.array(p // w), pa.array(p % w),
+                     pa.array(np.full(h * w, h, dtype=np.int32)), pa.array(np.full(h * w, w, dtype=np.int32)),
+                     pa.array(bgr[:, 0]), pa.array(bgr[:, 1]), pa.array(bgr[:, 2])],
+                    names=["image_id", "y", "x", "height", "width", "b", "g", "r"])
+
+    return images.select(F.col(id_col).alias("image_id"), image_col).mapInArrow(decode_batches, PIXEL_SCHEMA)
 
 
 def grey(b: str = "b", g: str = "g", r: str = "r") -> Column:

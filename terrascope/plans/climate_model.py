@@ -130,6 +130,10 @@ def train_and_select(features: DataFrame, kinds: Sequence[str] = MODEL_ORDER, la
     params = params or {}
     split = time_split(features).cache()
     train = split.filter("is_train")
+    if train.limit(1).count() == 0:
+        split.unpersist()
+        raise ValueError("no complete feature rows to train on: every row has a missing value in some "
+                         "column (rows with a gap in any column are dropped, like the original)")
     test = split.filter(~F.col("is_train"))
     spark = features.sparkSession
 
