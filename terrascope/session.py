@@ -89,3 +89,37 @@ def materialize(df, name: str = "table"):
     if back.rdd.getNumPartitions() < want:
         back = back.repartition(want)
     return back
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized to the input volume so shuffle partitions fit in
+    executor memory: ~``target_partition_bytes`` per scan split and per
+    shuffle partition (AQE coalesces small ones and splits skewed ones at
+    run time, but only from a large enough starting count)."""
+    parts = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    size = f"{target_partition_bytes // (1024 * 1024)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * target_partition_bytes // (1024 * 1024)}m",
+    }
+
+
+def apply_scale_conf(spark: SparkSession, paths: list[str], **kw) -> dict[str, str]:
+    """Measure the input folders (Hadoop file system sizes, no data read) and
+    set ``scale_conf`` -- only keys the user has not set explicitly."""
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(hconf).getContentSummary(path).getLength()
+    applied = {}
+    explicit = dict(spark.sparkContext.getConf().getAll())
+    for k, v in scale_conf(total, **kw).items():
+        if k not in explicit:
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied

@@ -64,3 +64,17 @@ def test_blank_pattern_means_top_k(spark):
 def test_approx_country_count(spark):
     df = spark.range(1000).select((F.col("id") % 37).cast("string").alias("Country"))
     assert A.country_count(df, approx=True).first().total_countries in range(36, 39)
+
+
+def test_scale_conf_sizes_partitions(spark):
+    from terrascope.session import apply_scale_conf, scale_conf
+    c = scale_conf(100 * 1024 ** 4)                   # 100 TB
+    assert c["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
+    assert scale_conf(200 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "800"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = apply_scale_conf(spark, ["/root/testdata/sf0.01"])
+    assert "spark.sql.shuffle.partitions" not in applied   # set explicitly by the test session
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    for k, v in applied.items():
+        spark.conf.unset(k)
