@@ -161,6 +161,16 @@ def q_country_lags(spark, sf):
                             "Temp_MA12", "TempChange_1Month", "TempChange_1Year"))
 
 
+def q_country_lags_positional(spark, sf):
+    """W1-W5 per country with the window-free positional operators (long
+    series form); same result as ``country_lags``."""
+    from terrascope.operators.long_series import positional_features
+    monthly = C.clean(FX.country_monthly(spark, sf), "AverageTemperature")
+    f = positional_features(monthly, "AverageTemperature", series_key="Country", prefix="Temp")
+    return rounded(f.select("Country", "dt", "YearSinceStart", "Temp_Lag1", "Temp_Lag12", "Temp_MA3",
+                            "Temp_MA12", "TempChange_1Month", "TempChange_1Year"))
+
+
 def q_time_split(spark, sf):
     return S.time_split(_features(spark, sf)).select("dt", "rn", "is_train")
 
@@ -369,6 +379,7 @@ QUERIES = {
     "moving_averages": q_moving_averages,
     "temp_changes": q_temp_changes,
     "country_lags": q_country_lags,
+    "country_lags_positional": q_country_lags_positional,
     "time_split": q_time_split,
     "kfold_assign": q_kfold_assign,
     "month_cycle": q_month_cycle,

@@ -280,3 +280,5 @@ SQL = {
     "forecast": rnd(f"SELECT year, month, date, LandTemp_Lag1 AS predicted_temperature FROM ({FORECAST_GRID}) g",
                     (), ["predicted_temperature"]),
 }
+
+SQL["country_lags_positional"] = SQL["country_lags"]
