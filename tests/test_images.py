@@ -88,3 +88,24 @@ def test_unpaired_masks_are_an_error(spark, tmpdir_run):
     masks = RA.decode_grey(IM.read_images(spark, f"{tmpdir_run}/masks"))
     with pytest.raises(ValueError, match="1 has no mask"):
         SEG.train_segmenter(images, masks, size=4, numTrees=2, maxDepth=2)
+
+
+def test_noisy_two_half_image(spark, tmpdir_run):
+    """The two-half test image with uniform noise -15..14 (seeded)."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    os.makedirs(f"{tmpdir_run}/images")
+    os.makedirs(f"{tmpdir_run}/masks")
+    for i in range(3):
+        base = np.array(two_half_image(24, 24), dtype=int)
+        if i % 2:
+            base = base[:, ::-1]
+        noisy = np.clip(base + rng.integers(-15, 15, base.shape), 0, 255)
+        write_png(f"{tmpdir_run}/images/satellite_{i:04d}.png", [[tuple(int(c) for c in px) for px in row] for row in noisy])
+        mask = [[255 if tuple(px) == (34, 139, 34) else 0 for px in row] for row in base.tolist()]
+        write_png(f"{tmpdir_run}/masks/mask_{i:04d}.png", mask, grey=True)
+    images = RA.decode_image_arrow(IM.read_images(spark, f"{tmpdir_run}/images"))
+    masks = RA.decode_grey(IM.read_images(spark, f"{tmpdir_run}/masks"))
+    model, report, _ = SEG.train_segmenter(images, masks, size=12, numTrees=10, maxDepth=6)
+    for r in SEG.segment(model, images, size=12)["coverage"].collect():
+        assert abs(r.forest_percentage - 50.0) <= 10.0
