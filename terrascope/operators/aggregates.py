@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.calendar import decade, month_name
 from terrascope.operators.clean import match_rows
-from terrascope.operators.joins import scalar
 
 MEASURES = ("LandAverageTemperature", "Predicted_Temperature", "Temperature_Anomaly")
 
@@ -42,7 +41,10 @@ def decade_means(df: DataFrame, measures: Sequence[str] = ("LandAverageTemperatu
 
 def recent_window(annual: DataFrame, years: int = 30, key: str = "Year") -> DataFrame:
     """``Year >= max(Year) - years`` (31 calendar years, inclusive)."""
-    return annual.filter(F.col(key) >= scalar(annual, F.max(key)) - F.lit(years))
+    # the annual table has one row per year: a whole-table window max is one
+    # small partition and needs no second aggregation
+    last = F.max(key).over(Window.partitionBy())
+    return annual.withColumn("_last", last).filter(F.col(key) >= F.col("_last") - F.lit(years)).drop("_last")
 
 
 def recent_slope(annual: DataFrame, value: str = "LandAverageTemperature", years: int = 30,
@@ -117,19 +119,21 @@ def country_annual(obs: DataFrame, pattern: str, key: str = "Country",
 
 def country_stats(obs: DataFrame, pattern: str, key: str = "Country",
                   value: str = "AverageTemperature") -> DataFrame:
-    """A8 + A5: mean, row count and annual-mean slope of the matched rows."""
+    """A8 + A5: mean, row count and annual-mean slope of the matched rows --
+    one pass over the observations (per-year sums and counts), everything
+    else from that small annual table."""
     matched = match_rows(obs, key, pattern)
-    annual = matched.groupBy("Year").agg(F.avg(value).alias("_annual"))
-    stats = matched.agg(F.avg(value).alias("avg_temperature"), F.count(F.lit(1)).alias("data_points"))
-    trend = annual.agg(slope(F.col("_annual"), F.col("Year").cast("double")).alias("temperature_trend"))
-    return stats.select(
+    annual = matched.groupBy("Year").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"),
+                                         F.count(F.lit(1)).alias("_n"))
+    return annual.agg(
         F.lit(pattern).alias("country_name"),
-        "avg_temperature", "data_points",
-        F.lit(trend.select("temperature_trend").scalar()).alias("temperature_trend"))
+        (F.sum("_s") / F.sum("_c")).alias("avg_temperature"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("data_points"),
+        slope(F.col("_s") / F.col("_c"), F.col("Year").cast("double")).alias("temperature_trend"))
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per class and share of all rows."""
-    total = scalar(df, F.count(F.lit(1)))
-    return (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("share", F.col("n") / total))
+    # one pass over the rows; the share comes from the tiny per-class result
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))

@@ -27,3 +27,12 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 def scalar(df: DataFrame, expr: Column) -> Column:
     """``expr`` aggregated over all of ``df`` as a scalar-subquery column."""
     return df.select(expr).scalar()
+
+
+def scalars(df: DataFrame, **exprs: Column) -> dict[str, Column]:
+    """Several aggregates of ``df`` as ONE scalar subquery returning a struct;
+    each returned column reads one field.  The references share one
+    subquery plan, which Spark evaluates once (subquery reuse), so ``df`` is
+    aggregated in a single pass however many statistics are used."""
+    packed = df.select(F.struct(*[e.alias(k) for k, e in exprs.items()]).alias("s")).scalar()
+    return {k: packed.getField(k) for k in exprs}

@@ -18,41 +18,44 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
                           names: dict[int, str] = CLASS_NAMES) -> DataFrame:
     """M11 + M12: per class precision, recall, F1 and support; accuracy;
     macro and weighted averages.  Columns ``class, precision, recall,
-    f1_score, support``."""
-    cm = confusion(pred, label, prediction)
-    per = []
-    for c, name in names.items():
-        per.append(cm.agg(
-            F.lit(name).alias("class"),
-            F.sum(F.when((F.col("label") == c) & (F.col("prediction") == c), F.col("n")).otherwise(0)).alias("tp"),
-            F.sum(F.when(F.col("prediction") == c, F.col("n")).otherwise(0)).alias("pp"),
-            F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias("support")))
-    classes = per[0]
-    for p in per[1:]:
-        classes = classes.unionByName(p)
-    classes = classes.select(
-        "class",
-        F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(0.0).alias("precision"),
-        F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0).alias("recall"),
-        "support", "tp")
-    classes = classes.withColumn(
-        "f1_score", F.when(F.col("precision") + F.col("recall") > 0,
-                           F.lit(2.0) * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        .otherwise(0.0))
-    total = F.sum("support")
-    acc = classes.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                      F.lit(None).cast("double").alias("recall"), (F.sum("tp") / total).alias("f1_score"),
-                      total.alias("support"))
-    macro = classes.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                        F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"), total.alias("support"))
-    weighted = classes.agg(F.lit("weighted avg").alias("class"),
-                           (F.sum(F.col("precision") * F.col("support")) / total).alias("precision"),
-                           (F.sum(F.col("recall") * F.col("support")) / total).alias("recall"),
-                           (F.sum(F.col("f1_score") * F.col("support")) / total).alias("f1_score"),
-                           total.alias("support"))
-    cols = ["class", "precision", "recall", "f1_score", "support"]
-    return (classes.select(*cols).unionByName(acc.select(*cols)).unionByName(macro.select(*cols))
-            .unionByName(weighted.select(*cols)))
+    f1_score, support``.
+
+    One aggregation pass over the predictions (conditional counts per class,
+    partial aggregation); every report row is then derived from that single
+    row in one projection (``inline`` of an array of structs).
+    """
+    y, p = F.col(label).cast("int"), F.col(prediction).cast("int")
+    counts = []
+    for c in names:
+        counts += [F.count_if((y == c) & (p == c)).alias(f"tp{c}"), F.count_if(p == c).alias(f"pp{c}"),
+                   F.count_if(y == c).alias(f"n{c}")]
+    one = pred.agg(*counts)
+
+    def ratio(a, b):
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    prec = {c: ratio(F.col(f"tp{c}"), F.col(f"pp{c}")) for c in names}
+    rec = {c: ratio(F.col(f"tp{c}"), F.col(f"n{c}")) for c in names}
+    f1 = {c: F.when(prec[c] + rec[c] > 0, F.lit(2.0) * prec[c] * rec[c] / (prec[c] + rec[c])).otherwise(F.lit(0.0))
+          for c in names}
+    total = sum((F.col(f"n{c}") for c in names), F.lit(0))
+    k = F.lit(float(len(names)))
+
+    def row(name, pr, re, f, sup):
+        return F.struct(F.lit(name).alias("class"), pr.cast("double").alias("precision"),
+                        re.cast("double").alias("recall"), f.cast("double").alias("f1_score"),
+                        sup.cast("long").alias("support"))
+
+    rows = [row(n, prec[c], rec[c], f1[c], F.col(f"n{c}")) for c, n in names.items()]
+    rows.append(row("accuracy", F.lit(None), F.lit(None),
+                    ratio(sum((F.col(f"tp{c}") for c in names), F.lit(0)), total), total))
+    rows.append(row("macro avg", sum(prec.values(), F.lit(0.0)) / k, sum(rec.values(), F.lit(0.0)) / k,
+                    sum(f1.values(), F.lit(0.0)) / k, total))
+    rows.append(row("weighted avg",
+                    ratio(sum((prec[c] * F.col(f"n{c}") for c in names), F.lit(0.0)), total),
+                    ratio(sum((rec[c] * F.col(f"n{c}") for c in names), F.lit(0.0)), total),
+                    ratio(sum((f1[c] * F.col(f"n{c}") for c in names), F.lit(0.0)), total), total))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascope.operators.joins import scalar
 
 ORDER = ("Year", "Month", "dt")
 
@@ -122,7 +121,9 @@ def time_split(df: DataFrame, test_fraction: float = 0.2, series_key=None,
     rows are the test part.  Adds ``rn`` (1-based) and ``is_train``."""
     keys = _keys(series_key)
     w = series_window(series_key, order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys)) if keys else scalar(df, F.count(F.lit(1)))
+    # series length from a whole-partition window: the same partitioning as
+    # the row numbers, so no second pass over the input
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     rn = F.row_number().over(w)
     n_test = F.ceil(F.lit(test_fraction) * n)
     return df.withColumn("rn", rn).withColumn("is_train", F.col("rn") <= n - n_test)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascope.functions.calendar import decade, month_start_text
-from terrascope.operators.joins import scalar
+from terrascope.operators.joins import scalar, scalars
 from terrascope.operators.series import FEATURES, TARGET, kfold_assign, last_observation, month_cycle, time_split
 
 MODEL_ORDER = ("random_forest", "gradient_boosting", "linear_regression")
@@ -28,14 +28,12 @@ MODEL_ORDER = ("random_forest", "gradient_boosting", "linear_regression")
 
 def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """M1: scale ``cols`` of ``df`` with the mean and population std of
-    ``train``; a zero std divides by 1.  The statistics are one aggregate over
-    ``train`` used as scalar subqueries."""
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                      *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    ``train``; a zero std divides by 1.  All statistics come from one
+    aggregation pass over ``train`` (a single struct-valued scalar subquery)."""
+    st = scalars(train, **{f"m_{c}": F.avg(c) for c in cols}, **{f"s_{c}": F.stddev_pop(c) for c in cols})
     out = df
     for c in cols:
-        mean = stats.select(f"m_{c}").scalar()
-        std = stats.select(f"s_{c}").scalar()
+        mean, std = st[f"m_{c}"], st[f"s_{c}"]
         out = out.withColumn(c, (F.col(c) - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std))
     return out
 

@@ -19,6 +19,7 @@ from terrascope.plans import climate_model as M
 from terrascope.plans import reports as R
 from terrascope.plans.climate_features import build_features, feature_projection
 from terrascope.plans.common import rounded
+from terrascope.operators.joins import scalars
 from terrascope.session import scratch_path
 from terrascope.sources import fixtures as FX
 from terrascope.sources import climate_csv as CSV
@@ -302,8 +303,8 @@ def q_regression_metrics(spark, sf):
     split = S.time_split(_features(spark, sf)).withColumn("prediction", F.col("LandTemp_Lag1"))
     tr = M.regression_metrics(split.filter("is_train"), prefix="train_")
     te = M.regression_metrics(split.filter(~F.col("is_train")), prefix="test_")
-    cols = [tr.select(c).scalar().alias(c) for c in tr.columns] + [te.select(c).scalar().alias(c) for c in te.columns]
-    return rounded(spark.range(1).select(*cols))
+    test_vals = scalars(te, **{c: F.first(c) for c in te.columns})
+    return rounded(tr.select("*", *[v.alias(k) for k, v in test_vals.items()]))
 
 
 def q_forecast_grid(spark, sf):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import climate_status, round_half_even
 from terrascope.operators import aggregates as A
+from terrascope.operators.joins import scalars
 
 
 def global_trends(pred: DataFrame, recent_years: int = 30) -> dict[str, DataFrame]:
@@ -54,7 +55,8 @@ def climate_summary(pred: DataFrame, forecast_rows: DataFrame | None = None,
     rate = A.recent_slope(annual, years=recent_years).select(
         (F.col("temperature_change_rate") * 10).alias("rate")).scalar()
     ext = A.annual_extremes(annual)
-    months = A.extreme_months(A.seasonal_profile(pred))
+    months = scalars(A.seasonal_profile(pred), hottest=F.max_by("Month_Name", F.struct(F.col("Avg_Temperature"), -F.col("Month"))),
+                     coldest=F.min_by("Month_Name", F.struct(F.col("Avg_Temperature"), F.col("Month"))))
     status, colour = climate_status(rate)
     has_forecast = (F.lit(False) if forecast_rows is None
                     else forecast_rows.select(F.count(F.lit(1)) > 0).scalar())
@@ -65,8 +67,8 @@ def climate_summary(pred: DataFrame, forecast_rows: DataFrame | None = None,
         round_half_even(F.coalesce("current_anomaly", F.lit(0.0)), 2).alias("current_anomaly"),
         round_half_even(F.coalesce("max_temperature", F.lit(0.0)), 2).alias("max_temperature"),
         round_half_even(F.coalesce("min_temperature", F.lit(0.0)), 2).alias("min_temperature"),
-        months.select("hottest_month").scalar().alias("hottest_month"),
-        months.select("coldest_month").scalar().alias("coldest_month"),
+        months["hottest"].alias("hottest_month"),
+        months["coldest"].alias("coldest_month"),
         "data_years",
         has_forecast.alias("future_predictions_available"),
     )
