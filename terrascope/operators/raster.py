@@ -39,18 +39,17 @@ def decode_image(images: DataFrame, id_col: str = "image_id", image_col: str = "
     (height -1) produce no pixels."""
     im = F.col(image_col)
     h, w, nc = im["height"], im["width"], im["nChannels"]
-    base = images.filter(h > 0).select(
+    # rows, then columns: no generated array is longer than one image side
+    rows = images.filter(h > 0).select(
         F.col(id_col).alias("image_id"), h.alias("height"), w.alias("width"),
         nc.alias("_nc"), im["data"].alias("_data"),
-        F.explode(F.sequence(F.lit(0), h * w - 1)).alias("_p"))
-    off = F.col("_p") * F.col("_nc")
+        F.explode(F.sequence(F.lit(0), h - 1)).alias("y"))
+    base = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    off = (F.col("y") * F.col("width") + F.col("x")) * F.col("_nc")
     b = _byte(F.col("_data"), off)
     g = F.when(F.col("_nc") >= 3, _byte(F.col("_data"), off + 1)).otherwise(b)
     r = F.when(F.col("_nc") >= 3, _byte(F.col("_data"), off + 2)).otherwise(b)
-    return base.select("image_id",
-                       (F.col("_p") / F.col("width")).cast("int").alias("y"),
-                       (F.col("_p") % F.col("width")).cast("int").alias("x"),
-                       "height", "width", b.alias("b"), g.alias("g"), r.alias("r"))
+    return base.select("image_id", "y", "x", "height", "width", b.alias("b"), g.alias("g"), r.alias("r"))
 
 
 PIXEL_SCHEMA = "image_id long, y int, x int, height int, width int, b int, g int, r int"
@@ -66,9 +65,11 @@ def decode_image_arrow(images: DataFrame, id_col: str = "image_id", image_col: s
     shipped to executors by value: they need numpy and pyarrow, not this
     package."""
 
+    max_pixels = 1 << 20      # pixels per output batch: a huge image is emitted in row blocks
+
     def decode_batches(batches):
-        """One Arrow batch of images -> pixel batches, one per image (bounded
-        by that image's size)."""
+        """Arrow batches of images -> pixel batches of at most ``max_pixels``
+        rows (whole image rows), so memory stays bounded for any image size."""
         import numpy as np
         import pyarrow as pa
 
@@ -79,14 +80,18 @@ def decode_image_arrow(images: DataFrame, id_col: str = "image_id", image_col: s
                 h, w, nc = im["height"], im["width"], im["nChannels"]
                 if h is None or h <= 0:
                     continue
-                px = np.frombuffer(im["data"], dtype=np.uint8).reshape(h * w, nc).astype(np.int32)
-                bgr = px[:, :3] if nc >= 3 else np.repeat(px[:, :1], 3, axis=1)
-                p = np.arange(h * w, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(h * w, image_id, dtype=np.int64)), pa.array(p // w), pa.array(p % w),
-                     pa.array(np.full(h * w, h, dtype=np.int32)), pa.array(np.full(h * w, w, dtype=np.int32)),
-                     pa.array(bgr[:, 0]), pa.array(bgr[:, 1]), pa.array(bgr[:, 2])],
-                    names=["image_id", "y", "x", "height", "width", "b", "g", "r"])
+                data = np.frombuffer(im["data"], dtype=np.uint8).reshape(h, w, nc)
+                step = max(1, max_pixels // w)
+                for y0 in range(0, h, step):
+                    block = data[y0:y0 + step].reshape(-1, nc).astype(np.int32)
+                    bgr = block[:, :3] if nc >= 3 else np.repeat(block[:, :1], 3, axis=1)
+                    n = block.shape[0]
+                    p = np.arange(n, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, image_id, dtype=np.int64)), pa.array(y0 + p // w), pa.array(p % w),
+                         pa.array(np.full(n, h, dtype=np.int32)), pa.array(np.full(n, w, dtype=np.int32)),
+                         pa.array(bgr[:, 0]), pa.array(bgr[:, 1]), pa.array(bgr[:, 2])],
+                        names=["image_id", "y", "x", "height", "width", "b", "g", "r"])
 
     return images.select(F.col(id_col).alias("image_id"), image_col).mapInArrow(decode_batches, PIXEL_SCHEMA)
 

@@ -28,7 +28,8 @@ FEATURE_COLS = ["b", "g", "r", "yn", "xn"]
 
 
 def classifier(**params) -> RandomForestClassifier:
-    """M10 with the reference hyper-parameters as defaults."""
+    """M10 with the reference hyper-parameters as defaults (MLlib has no
+    minimum-split-size parameter; ``minInstancesPerNode`` is the leaf size)."""
     p = dict(numTrees=100, maxDepth=20, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=42)
     p.update(params)
     return RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="prediction", **p)
@@ -67,9 +68,9 @@ def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
     requires every image to have a mask and vice versa."""
     if strict:
         require_pairs(images, masks)
-    # The training table feeds one pass per tree level: checkpoint it to the
-    # shared folder so a lost executor re-reads it instead of re-running the
-    # resize / join / sample plan.
+    # The training table feeds one pass per tree level: write it to the shared
+    # checkpoint folder (lineage cut) so a lost executor re-reads it instead
+    # of re-running the resize / join / sample plan.
     data = materialize(stratified_split(training_pixels(images, masks, size, max_samples, seed),
                                         test_fraction=test_fraction, seed=seed), "segmenter_training")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="features"),
