@@ -53,17 +53,25 @@ def allowed_file(name_col) -> F.Column:
 
 def encode_image_struct(pixels: DataFrame) -> DataFrame:
     """Pixel rows ``(image_id, y, x, height, width, b, g, r)`` -> one row per
-    image with the image-source struct (BGR, row-major).  An image is one
-    group, bounded by its pixel count."""
+    image with the image-source struct (BGR, row-major).
+
+    Two levels, like the image source's own layout: each image row's bytes
+    are concatenated in ``x`` order, then the rows in ``y`` order, so no sort
+    spans more than one image side.  The result holds one image per row, as
+    the ``image`` source does."""
     hexed = pixels.select(
         "image_id", "y", "x", "height", "width",
         F.concat(*[F.lpad(F.hex(F.col(c)), 2, "0") for c in ("b", "g", "r")]).alias("_hex"))
-    per = hexed.groupBy("image_id").agg(
+    rows = hexed.groupBy("image_id", "y").agg(
+        F.max("height").alias("height"), F.max("width").alias("width"),
+        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("x", "_hex"))), lambda e: e["_hex"]))
+        .alias("_row"))
+    per = rows.groupBy("image_id").agg(
         F.max("height").alias("height"), F.max("width").alias("width"),
-        F.array_sort(F.collect_list(F.struct("y", "x", "_hex"))).alias("_px"))
+        F.array_sort(F.collect_list(F.struct("y", "_row"))).alias("_rows"))
     return per.select(
         "image_id",
         F.struct(F.concat(F.lit("mem://image_"), F.col("image_id").cast("string")).alias("origin"),
                  F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"),
                  F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
-                 F.unhex(F.concat_ws("", F.transform("_px", lambda e: e["_hex"]))).alias("data")).alias("image"))
+                 F.unhex(F.concat_ws("", F.transform("_rows", lambda e: e["_row"]))).alias("data")).alias("image"))
