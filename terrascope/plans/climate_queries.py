@@ -202,7 +202,8 @@ def q_country_top_warming(spark, sf):
 
 
 def q_country_count(spark, sf):
-    return A.country_count(FX.station_observations(spark, sf))
+    # over the cleaned country table, as the original counts its processed data
+    return A.country_count(_obs(spark, sf))
 
 
 def q_country_annual(spark, sf):

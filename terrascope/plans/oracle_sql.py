@@ -236,7 +236,7 @@ SQL = {
                             ["LandAverageTemperature"]),
     "country_top_warming": rnd(f"SELECT * FROM ({TRENDS}) t ORDER BY trend DESC NULLS LAST, country LIMIT 10",
                                ["trend", "avg_temp"]),
-    "country_count": f"SELECT CAST(count(DISTINCT Country) + max(CAST(Country IS NULL AS INTEGER)) AS BIGINT) AS total_countries FROM ({F1}) f",
+    "country_count": f"SELECT CAST(count(DISTINCT Country) + max(CAST(Country IS NULL AS INTEGER)) AS BIGINT) AS total_countries FROM ({OBS}) f",
     "country_annual": rnd(f"SELECT Year, avg(AverageTemperature) AS AverageTemperature FROM ({MATCHED}) m GROUP BY Year",
                           ["AverageTemperature"]),
     "country_stats": rnd(COUNTRY_STATS, ["avg_temperature", "temperature_trend"]),
