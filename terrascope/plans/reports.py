@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrascope.functions.calendar import now_text
 from terrascope.functions.numeric import climate_status, round_half_even
 from terrascope.operators import aggregates as A
 from terrascope.operators.joins import scalars
@@ -48,9 +49,10 @@ def seasonal(pred: DataFrame) -> DataFrame:
 
 
 def climate_summary(pred: DataFrame, forecast_rows: DataFrame | None = None,
-                    recent_years: int = 30) -> DataFrame:
+                    recent_years: int = 30, with_timestamp: bool = True) -> DataFrame:
     """Q5: one row -- status band, warming rate per decade, latest anomaly,
-    annual range, hottest / coldest month, years of data, forecast flag."""
+    annual range, hottest / coldest month, years of data, forecast flag and
+    (``with_timestamp``) the time of the report."""
     annual = A.annual_means(pred)
     rate = A.recent_slope(annual, years=recent_years).select(
         (F.col("temperature_change_rate") * 10).alias("rate")).scalar()
@@ -70,5 +72,6 @@ def climate_summary(pred: DataFrame, forecast_rows: DataFrame | None = None,
         months["hottest"].alias("hottest_month"),
         months["coldest"].alias("coldest_month"),
         "data_years",
+        *([now_text().alias("last_updated")] if with_timestamp else []),
         has_forecast.alias("future_predictions_available"),
     )

@@ -27,7 +27,7 @@ def test_climate_job_and_reports(spark, tmpdir_run):
     reps = J.climate_reports(spark, out, years=2)
     assert reps["forecast"].count() == 24
     s = reps["summary"].first()
-    assert s.future_predictions_available and s.data_years >= 1
+    assert s.future_predictions_available and s.data_years >= 1 and len(s.last_updated) == 19
     assert reps["top_warming_countries"].count() <= 10 and reps["total_countries"].first()[0] >= 1
 
 
