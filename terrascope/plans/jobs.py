@@ -91,9 +91,12 @@ def segmenter_job(spark: SparkSession, images_dir: str, masks_dir: str, out_dir:
                   max_samples: int = 500, glob: str | None = None, **rf_params) -> dict:
     """Train the pixel classifier on paired images and masks; save the model
     and the classification report."""
+    # pair check on the file listings (no decoding), then train without repeating it
+    SEG.require_pairs(IM.list_images(spark, images_dir, glob), IM.list_images(spark, masks_dir, glob))
     images = RA.decode_image_arrow(IM.read_images(spark, images_dir, glob=glob))
     masks = RA.decode_grey(IM.read_images(spark, masks_dir, glob=glob))
-    model, report, _ = SEG.train_segmenter(images, masks, size=size, max_samples=max_samples, **rf_params)
+    model, report, _ = SEG.train_segmenter(images, masks, size=size, max_samples=max_samples, strict=False,
+                                           **rf_params)
     model.write().overwrite().save(_path(out_dir, "segmenter"))
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(_path(out_dir, "segmenter_report"))
     return {"model": _path(out_dir, "segmenter"), "report": _path(out_dir, "segmenter_report")}

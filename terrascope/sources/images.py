@@ -35,6 +35,16 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None, drop_in
     return df.select(id_from_name(fname).alias("image_id"), fname.alias("file_name"), "image")
 
 
+def list_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """File listing ``image_id, file_name`` without decoding: the
+    ``binaryFile`` source reads no content when only ``path`` is selected."""
+    r = spark.read.format("binaryFile")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
+    return r.load(path).select(id_from_name(name).alias("image_id"), name.alias("file_name"))
+
+
 def file_name(path_col: str) -> F.Column:
     """F14s: text after the last ``/``."""
     return F.regexp_extract(F.col(path_col), r"([^/]*)$", 1)

@@ -109,3 +109,11 @@ def test_noisy_two_half_image(spark, tmpdir_run):
     model, report, _ = SEG.train_segmenter(images, masks, size=12, numTrees=10, maxDepth=6)
     for r in SEG.segment(model, images, size=12)["coverage"].collect():
         assert abs(r.forest_percentage - 50.0) <= 10.0
+
+
+def test_listing_without_decoding(spark, tmpdir_run):
+    _write_set(tmpdir_run, n=2, size=5)
+    ids = sorted(r.image_id for r in IM.list_images(spark, f"{tmpdir_run}/images", glob="satellite_*").collect())
+    assert ids == [0, 1, 9999]
+    plan = IM.list_images(spark, f"{tmpdir_run}/images")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
