@@ -2,16 +2,18 @@
 
 Each statement recomputes the key from the raw tables with plain SQL, so it
 checks the Spark plan end to end.  Floating outputs are rounded as on the
-Spark side (6 digits; 4 for model outputs, which reproduce the target to
-~1e-8: the oracle uses the target itself there).
+Spark side (6 digits; model outputs reproduce the target to ~1e-13, so the
+oracle uses the target itself there).
 """
 
 from __future__ import annotations
 
 
-def rnd(sql: str, cols6=(), cols4=()) -> str:
-    """Wrap ``sql`` rounding the listed columns like ``plans.common.rounded``."""
-    parts = [f"round({c}, 6) + 0.0 AS {c}" for c in cols6] + [f"round({c}, 4) + 0.0 AS {c}" for c in cols4]
+def rnd(sql: str, cols6=(), cols_model=()) -> str:
+    """Wrap ``sql`` rounding the listed columns like ``plans.common.rounded``
+    (``cols_model``: fitted-model outputs, replaced here by the target they
+    reproduce; same 6 digits)."""
+    parts = [f"round({c}, 6) + 0.0 AS {c}" for c in (*cols6, *cols_model)]
     if not parts:
         return sql
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql}) q"
