@@ -461,10 +461,10 @@ def grid_pack(pixels: DataFrame, value: str = "label") -> DataFrame:
     """
     rows = (pixels.groupBy("image_id", "y")
             .agg(F.array_sort(F.collect_list(F.struct("x", value))).alias("_row"))
-            .select("image_id", "y", F.transform("_row", lambda e: e[value]).alias("_vals")))
+            .select("image_id", "y", F.col("_row")[value].alias("_vals")))
     return (rows.groupBy("image_id")
             .agg(F.array_sort(F.collect_list(F.struct("y", "_vals"))).alias("_rows"))
-            .select("image_id", F.transform("_rows", lambda e: e["_vals"]).alias("grid")))
+            .select("image_id", F.col("_rows")["_vals"].alias("grid")))
 
 
 def pack_instances(pixels: DataFrame) -> DataFrame:

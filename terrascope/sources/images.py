@@ -74,8 +74,7 @@ def encode_image_struct(pixels: DataFrame) -> DataFrame:
         F.concat(*[F.lpad(F.hex(F.col(c)), 2, "0") for c in ("b", "g", "r")]).alias("_hex"))
     rows = hexed.groupBy("image_id", "y").agg(
         F.max("height").alias("height"), F.max("width").alias("width"),
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("x", "_hex"))), lambda e: e["_hex"]))
-        .alias("_row"))
+        F.concat_ws("", F.array_sort(F.collect_list(F.struct("x", "_hex")))["_hex"]).alias("_row"))
     per = rows.groupBy("image_id").agg(
         F.max("height").alias("height"), F.max("width").alias("width"),
         F.array_sort(F.collect_list(F.struct("y", "_row"))).alias("_rows"))
@@ -84,4 +83,4 @@ def encode_image_struct(pixels: DataFrame) -> DataFrame:
         F.struct(F.concat(F.lit("mem://image_"), F.col("image_id").cast("string")).alias("origin"),
                  F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"),
                  F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
-                 F.unhex(F.concat_ws("", F.transform("_rows", lambda e: e["_row"]))).alias("data")).alias("image"))
+                 F.unhex(F.concat_ws("", F.col("_rows")["_row"])).alias("data")).alias("image"))
