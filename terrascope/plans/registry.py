@@ -4,22 +4,10 @@ from __future__ import annotations
 
 
 def all_queries():
-    from terrascope.plans import climate_queries
-    out = dict(climate_queries.QUERIES)
-    try:
-        from terrascope.plans import raster_queries
-        out.update(raster_queries.QUERIES)
-    except ImportError:
-        pass
-    return out
+    from terrascope.plans import climate_queries, raster_queries
+    return {**climate_queries.QUERIES, **raster_queries.QUERIES}
 
 
 def all_oracle_sql():
-    from terrascope.plans import oracle_sql
-    out = dict(oracle_sql.SQL)
-    try:
-        from terrascope.plans import raster_oracle_sql
-        out.update(raster_oracle_sql.SQL)
-    except ImportError:
-        pass
-    return out
+    from terrascope.plans import oracle_sql, raster_oracle_sql
+    return {**oracle_sql.SQL, **raster_oracle_sql.SQL}
