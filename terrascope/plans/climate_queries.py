@@ -1,8 +1,8 @@
 """Registered climate queries: ``(spark, sf_dir) -> DataFrame``.
 
 Inputs are the fixtures F1 / F1m / F2 derived from the test tables, so every
-query's work grows with the scale factor.  Floating outputs are rounded
-(6 digits; 4 for values produced by a fitted model).
+query's work grows with the scale factor.  Floating outputs are rounded to
+6 digits (the report format; the oracle SQL rounds alike).
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from terrascope.functions.numeric import climate_status
 from terrascope.operators import aggregates as A
 from terrascope.operators import clean as C
 from terrascope.operators import series as S
+from terrascope.operators.joins import scalars
 from terrascope.plans import climate_model as M
 from terrascope.plans import reports as R
 from terrascope.plans.climate_features import build_features, feature_projection
 from terrascope.plans.common import rounded
-from terrascope.operators.joins import scalars
 from terrascope.session import scratch_path
 from terrascope.sources import fixtures as FX
 from terrascope.sources import climate_csv as CSV
 
-PRED4 = {}   # model outputs rounded like every value (the normal-equation fit is exact to ~1e-13)
 COUNTRY_PATTERN = "nation_1"  # case-insensitive partial match: NATION_1 and NATION_10..19 pooled
 
 
@@ -81,7 +80,7 @@ def q_reload_predictions(spark, sf):
     _, pred = _predictions(spark, sf)
     path = scratch_path(spark, f"predictions_{uuid.uuid4().hex}")
     write_table(pred, path)
-    return rounded(spark.read.parquet(path), overrides=PRED4)
+    return rounded(spark.read.parquet(path))
 
 
 # --- cleaning / projections ------------------------------------------------
@@ -227,7 +226,7 @@ def q_climate_status(spark, sf):
 
 def q_annual_trend(spark, sf):
     _, pred = _predictions(spark, sf)
-    return rounded(A.annual_means(pred), overrides=PRED4)
+    return rounded(A.annual_means(pred))
 
 
 def q_decade_trend(spark, sf):
@@ -237,7 +236,7 @@ def q_decade_trend(spark, sf):
 
 def q_recent_trend(spark, sf):
     _, pred = _predictions(spark, sf)
-    return rounded(A.recent_window(A.annual_means(pred)), overrides=PRED4)
+    return rounded(A.recent_window(A.annual_means(pred)))
 
 
 def q_recent_slope(spark, sf):
@@ -290,12 +289,12 @@ def q_standardize(spark, sf):
 
 def q_linear_regression(spark, sf):
     _, pred = M.linear_predictions(spark, _features(spark, sf))     # fit measured here
-    return rounded(pred.select("dt", S.TARGET, "Predicted_Temperature"), overrides=PRED4)
+    return rounded(pred.select("dt", S.TARGET, "Predicted_Temperature"))
 
 
 def q_predictions_dataset(spark, sf):
     _, pred = _predictions(spark, sf)
-    return rounded(pred, overrides=PRED4)
+    return rounded(pred)
 
 
 def q_regression_metrics(spark, sf):
@@ -356,7 +355,7 @@ def q_report_json(spark, sf):
     """Reports as JSON records (one row per report, records in Year order)."""
     _, pred = _predictions(spark, sf)
     t = R.global_trends(pred)
-    annual = rounded(t["annual_data"], overrides=PRED4)
+    annual = rounded(t["annual_data"])
     packed = annual.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*annual.columns)))).alias("report_json"))
     return packed.select(F.lit("annual_data").alias("report"), "report_json")
 
