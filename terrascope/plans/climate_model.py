@@ -2,7 +2,7 @@
 
 A model is an MLlib ``PipelineModel``: VectorAssembler -> StandardScaler ->
 regressor, so the scaler is saved and loaded with the model and cannot drift
-from it.  MLlib's scaler divides by the *sample* std; the reference scaler by
+from it.  MLlib's scaler divides by the *sample* std; the original scaler by
 the *population* std.  The two differ by a constant factor per feature, which
 changes no prediction of a linear model or a tree, so the pipeline keeps the
 MLlib stage and ``standardize`` (M1) offers the population-std values as
@@ -39,7 +39,7 @@ def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str] = FEATURES)
 
 
 def regressor(kind: str, **params):
-    """M2-M4 estimators with the reference hyper-parameters as defaults."""
+    """M2-M4 estimators with the original hyper-parameters as defaults."""
     if kind == "random_forest":
         p = dict(numTrees=100, maxDepth=15, minInstancesPerNode=2, featureSubsetStrategy="all", seed=42)
         p.update(params)
@@ -216,7 +216,7 @@ def load_model(path: str) -> PipelineModel:
 
 def linear_predictions(spark: SparkSession, features: DataFrame) -> tuple[PipelineModel, DataFrame]:
     """Fit the linear model on the time-ordered training part and score all
-    rows (the model the reference selects: its features reproduce the target
+    rows (the model the original selects: its features reproduce the target
     exactly, so R^2 = 1).
 
     The feature and prediction tables hold one row per month of the series

@@ -28,7 +28,7 @@ FEATURE_COLS = ["b", "g", "r", "yn", "xn"]
 
 
 def classifier(**params) -> RandomForestClassifier:
-    """M10 with the reference hyper-parameters as defaults (MLlib has no
+    """M10 with the original hyper-parameters as defaults (MLlib has no
     minimum-split-size parameter; ``minInstancesPerNode`` is the leaf size)."""
     p = dict(numTrees=100, maxDepth=20, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=42)
     p.update(params)
