@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None,
                 fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K1/K3: write a table; ``partition_by`` (e.g. Decade) enables
-    partition pruning on read."""
+    partition pruning on read.
+
+    With ``partition_by`` the rows are first rebalanced on those columns
+    (``rebalance`` hint): AQE groups each partition value into few tasks and
+    splits oversized ones, so every folder gets a few well-sized files
+    instead of one small file per upstream task, and a hot value is not
+    written by a single task."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -49,8 +57,9 @@ def write_model_info(info: DataFrame, path: str) -> None:
 
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
-    """K7: mask / overlay pixel tables, one folder per image."""
-    pixels.write.mode("overwrite").partitionBy("image_id").parquet(path)
+    """K7: mask / overlay pixel tables, one folder per image (rebalanced on
+    ``image_id`` first, see ``write_table``)."""
+    write_table(pixels, path, partition_by=["image_id"])
 
 
 def observed(df: DataFrame, name: str = "rows", *extra) -> tuple[DataFrame, Observation]:

@@ -78,3 +78,12 @@ def test_scale_conf_sizes_partitions(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     for k, v in applied.items():
         spark.conf.unset(k)
+
+
+def test_partitioned_write_is_rebalanced(spark, tmpdir_run):
+    df = spark.range(20000).repartition(16).select((F.col("id") % 3 * 10 + 1990).cast("int").alias("Decade"), "id")
+    K.write_table(df, f"{tmpdir_run}/rb", partition_by=["Decade"])
+    files = [f for d in os.listdir(f"{tmpdir_run}/rb") if d.startswith("Decade=")
+             for f in os.listdir(f"{tmpdir_run}/rb/{d}") if f.endswith(".parquet")]
+    assert len(files) < 16 * 3          # not one file per upstream task and decade
+    assert spark.read.parquet(f"{tmpdir_run}/rb").count() == 20000
