@@ -24,6 +24,25 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def path_bytes(spark, paths) -> int:
+    """Bytes on disk under ``paths`` (Hadoop file-system metadata; no Spark
+    job, no data read)."""
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in ([paths] if isinstance(paths, str) else paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(hconf).getContentSummary(path).getLength()
+    return total
+
+
+def broadcast_if_small_files(df: DataFrame, paths, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Broadcast a table read straight from ``paths`` when its files total at
+    most ``max_bytes`` (a bound known before planning, checked from
+    file-system metadata); otherwise return it for a shuffle join."""
+    return F.broadcast(df) if path_bytes(df.sparkSession, paths) <= max_bytes else df
+
+
 def scalar(df: DataFrame, expr: Column) -> Column:
     """``expr`` aggregated over all of ``df`` as a scalar-subquery column."""
     return df.select(expr).scalar()

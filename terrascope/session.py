@@ -110,12 +110,8 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024
 def apply_scale_conf(spark: SparkSession, paths: list[str], **kw) -> dict[str, str]:
     """Measure the input folders (Hadoop file system sizes, no data read) and
     set ``scale_conf`` -- only keys the user has not set explicitly."""
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        total += path.getFileSystem(hconf).getContentSummary(path).getLength()
+    from terrascope.operators.joins import path_bytes
+    total = path_bytes(spark, paths)
     applied = {}
     explicit = dict(spark.sparkContext.getConf().getAll())
     for k, v in scale_conf(total, **kw).items():

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascope.operators.joins import sized_broadcast
-from terrascope.sources.tables import read_table
+from terrascope.operators.joins import broadcast_if_small_files
+from terrascope.sources.tables import read_table, table_path
 
 # Fixed values of the fixtures (shared with the DuckDB oracle SQL).
 MISSING_EVERY = 17          # 1 in 17 observations has no value
@@ -21,7 +21,7 @@ PRICE_TO_TEMP = 10007.0     # o_totalprice / 10007 -> a "temperature"; a prime d
                             # means off exact decimal rounding ties
 GRID = 8                    # F3 images are 8 x 8
 GRID_CELLS = GRID * GRID    # one pixel per embedding dimension
-NATION_MAX_ROWS = 10_000    # broadcast bound for the nation dimension
+NATION_MAX_BYTES = 16 * 1024 * 1024   # broadcast bound (files on disk) for the nation dimension
 
 
 def station_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,12 @@ def station_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders (large) joins customer (large) on the customer key -- a shuffle
     join chosen by Catalyst/AQE from runtime sizes -- and nation through a
-    size-checked broadcast.
+    broadcast checked against its size on disk (metadata only, no job).
     """
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
-    nation = sized_broadcast(read_table(spark, sf_dir, "nation", "n_nationkey", "n_name"), NATION_MAX_ROWS)
+    nation = broadcast_if_small_files(read_table(spark, sf_dir, "nation", "n_nationkey", "n_name"),
+                                      table_path(sf_dir, "nation"), NATION_MAX_BYTES)
     joined = (orders.join(customer, orders.o_custkey == customer.c_custkey)
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     return joined.select(
