@@ -15,24 +15,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _md5_key(seed: int, cols: Sequence[str]) -> Column:
+    """Hex md5 of ``seed:c1:c2...`` -- the same string in any SQL engine, so a
+    sample or split drawn with it can be checked against an oracle."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+
+
 def sample_per_image(df: DataFrame, k: int = 500, seed: int = 42, group: str = "image_id",
-                     key: Sequence[str] = ("y", "x")) -> DataFrame:
-    """Up to ``k`` rows per group, without replacement, in hash order."""
-    h = F.xxhash64(F.lit(seed), F.col(group), *[F.col(c) for c in key])
+                     key: Sequence[str] = ("y", "x"), hash_fn: str = "xxhash64") -> DataFrame:
+    """Up to ``k`` rows per group, without replacement, in hash order
+    (``hash_fn``: ``xxhash64``, fast, or ``md5``, engine-independent)."""
+    if hash_fn == "md5":
+        h = _md5_key(seed, [group, *key])
+    else:
+        h = F.xxhash64(F.lit(seed), F.col(group), *[F.col(c) for c in key])
     w = Window.partitionBy(group).orderBy(h, *key)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: Sequence[str] = ("image_id", "y", "x"),
-                     test_fraction: float = 0.2, seed: int = 42, bits: int = 20) -> DataFrame:
+                     test_fraction: float = 0.2, seed: int = 42, bits: int = 20, hash_fn: str = "xxhash64") -> DataFrame:
     """Adds ``is_train``; per class exactly ``round((1-f) * n_c)`` rows
-    are training rows."""
-    u = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
-    hashed = df.withColumn("_u", u).withColumn("_bucket", F.shiftrightunsigned(F.col("_u"), 64 - bits))
+    are training rows -- the first ones in (hash, key) order.  The bucket is
+    a prefix of the hash, so bucket order agrees with hash order."""
+    if hash_fn == "md5":
+        chars = -(-bits // 4)
+        u = _md5_key(seed, key)
+        bucket = F.conv(F.substring(u, 1, chars), 16, 10).cast("long")
+    else:
+        u = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
+        bucket = F.shiftrightunsigned(u, 64 - bits)
+    hashed = df.withColumn("_u", u).withColumn("_bucket", bucket)
     counts = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     wc = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = Window.partitionBy(label)

@@ -227,6 +227,21 @@ UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(re
                  sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f
 """
 
+_MD5 = "md5(concat_ws(':', '42', CAST(image_id AS VARCHAR), CAST(y AS VARCHAR), CAST(x AS VARCHAR)))"
+SAMPLE_MD5 = f"""
+SELECT image_id, y, x, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws(':', '42', CAST(image_id AS VARCHAR),
+         CAST(y AS VARCHAR), CAST(x AS VARCHAR))), y, x) AS rn
+  FROM ({TRUTH}) t) s
+WHERE rn <= 32
+"""
+SPLIT_MD5 = f"""
+SELECT image_id, y, x, label,
+       row_number() OVER (PARTITION BY label ORDER BY {_MD5}, image_id, y, x)
+         <= CAST(round(0.8 * count(*) OVER (PARTITION BY label)) AS BIGINT) AS is_train
+FROM ({TRUTH}) t
+"""
+
 SQL = {
     "pixel_features": rnd(f"SELECT image_id, y, x, b, g, r, y / height AS yn, x / width AS xn FROM ({F3}) f", ["yn", "xn"]),
     "pixel_hsv": HSV,
@@ -258,4 +273,6 @@ SQL = {
                          f"FROM ({TRUTH}) t GROUP BY label", ["share"]),
     "forest_coverage": COVERAGE,
     "classification_report": rnd(REPORT, ["precision", "recall", "f1_score"]),
+    "sample_per_image_md5": SAMPLE_MD5,
+    "stratified_split_md5": SPLIT_MD5,
 }

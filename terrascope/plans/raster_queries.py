@@ -148,6 +148,16 @@ def q_sample_per_image(spark, sf):
     return sample_per_image(_truth(spark, sf), 32).select("image_id", "y", "x", "label")
 
 
+def q_sample_per_image_md5(spark, sf):
+    """W8 with the engine-independent md5 order: the same operator, oracle-checkable."""
+    return sample_per_image(_truth(spark, sf), 32, hash_fn="md5").select("image_id", "y", "x", "label")
+
+
+def q_stratified_split_md5(spark, sf):
+    """W9 with the engine-independent md5 order: exact per-class counts, oracle-checkable."""
+    return stratified_split(_truth(spark, sf), hash_fn="md5").select("image_id", "y", "x", "label", "is_train")
+
+
 def q_stratified_split(spark, sf):
     return stratified_split(_truth(spark, sf)).select("image_id", "y", "x", "label", "is_train")
 
@@ -203,6 +213,8 @@ QUERIES = {
     "classification_report": q_classification_report,
     "sample_per_image": q_sample_per_image,
     "stratified_split": q_stratified_split,
+    "sample_per_image_md5": q_sample_per_image_md5,
+    "stratified_split_md5": q_stratified_split_md5,
     "pixel_classifier": q_pixel_classifier,
     "score_images": q_score_images,
     "segment_images": q_segment_images,
