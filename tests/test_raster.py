@@ -124,10 +124,14 @@ def test_sample_per_image_bounds(spark):
     assert sorted(again) == sorted(sample_per_image(df, 7).select("image_id", "y", "x").collect())
 
 
-def test_stratified_split_exact_counts(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("hash_fn", ["xxhash64", "md5"])
+def test_stratified_split_exact_counts(spark, hash_fn):
     rows = [(i // 50, i % 50, 0, 1 if i % 3 == 0 else 0) for i in range(1000)]
     df = spark.createDataFrame(rows, "image_id long, y int, x int, label int")
-    out = stratified_split(df, bits=4).groupBy("label", "is_train").count().collect()
+    out = stratified_split(df, bits=4, hash_fn=hash_fn).groupBy("label", "is_train").count().collect()
     counts = {(r.label, r.is_train): r["count"] for r in out}
     n1 = sum(1 for i in range(1000) if i % 3 == 0)
     n0 = 1000 - n1
