@@ -35,3 +35,28 @@ def two_half_image(h: int = 40, w: int = 40):
     left = (34, 139, 34)     # RGB of BGR (34, 139, 34)
     right = (165, 42, 42)    # RGB of BGR (42, 42, 165)
     return [[left if x < w // 2 else right for x in range(w)] for _ in range(h)]
+
+
+def write_tiff(path: str, rows) -> None:
+    """Baseline TIFF: little-endian, uncompressed 8-bit RGB, one strip.
+    ``rows``: list of rows of (r, g, b) tuples."""
+    h, w = len(rows), len(rows[0])
+    pixels = bytes(c for row in rows for px in row for c in px)
+    entries = [  # (tag, type, count, value); type 3 = SHORT, 4 = LONG
+        (256, 4, 1, w), (257, 4, 1, h), (258, 3, 3, None), (259, 3, 1, 1), (262, 3, 1, 2),
+        (273, 4, 1, None), (277, 3, 1, 3), (278, 4, 1, h), (279, 4, 1, len(pixels)), (284, 3, 1, 1),
+    ]
+    ifd_size = 2 + 12 * len(entries) + 4
+    bits_offset = 8 + ifd_size
+    data_offset = bits_offset + 6
+    out = bytearray(b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(entries)))
+    for tag, typ, count, value in entries:
+        if tag == 258:
+            value = bits_offset
+        elif tag == 273:
+            value = data_offset
+        packed = struct.pack("<HI", value, 0)[:4] if (typ == 3 and count == 1) else struct.pack("<I", value)
+        out += struct.pack("<HHI", tag, typ, count) + packed
+    out += struct.pack("<I", 0) + struct.pack("<HHH", 8, 8, 8) + pixels
+    with open(path, "wb") as f:
+        f.write(bytes(out))

@@ -117,3 +117,15 @@ def test_listing_without_decoding(spark, tmpdir_run):
     assert ids == [0, 1, 9999]
     plan = IM.list_images(spark, f"{tmpdir_run}/images")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_tiff_decodes_like_png(spark, tmpdir_run):
+    from tests.pngs import write_tiff
+    img = [[((x * 37) % 256, (y * 53) % 256, (x + y) % 256) for x in range(7)] for y in range(5)]
+    write_png(f"{tmpdir_run}/pic_0001.png", img)
+    write_tiff(f"{tmpdir_run}/pic_0002.tif", img)
+    px = RA.decode_image(IM.read_images(spark, tmpdir_run, glob="*.{png,tif}"))
+    a = sorted((r.y, r.x, r.b, r.g, r.r) for r in px.filter("image_id = 1").collect())
+    b = sorted((r.y, r.x, r.b, r.g, r.r) for r in px.filter("image_id = 2").collect())
+    assert len(a) == 35 and a == b
+    assert a[0] == (0, 0, 0, 0, 0) and (1, 2, 3, 53, 74) in a      # BGR of RGB (74, 53, 3)
