@@ -44,3 +44,20 @@ def test_focal_one_exchange(spark):
 def test_bilinear_no_join(spark):
     plan = _plan(Q["resample_bilinear"](spark, SF_SMALL))
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_size_checked_broadcasts(spark, tmpdir_run):
+    from terrascope.operators.joins import broadcast_if_small_files, sized_broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # only explicit hints broadcast
+    try:
+        big = spark.range(1000).withColumnRenamed("id", "k")
+        small = spark.range(5).withColumnRenamed("id", "k")
+        assert "BroadcastHashJoin" in _plan(big.join(sized_broadcast(small, 10), "k"))
+        assert "BroadcastHashJoin" not in _plan(big.join(sized_broadcast(small, 2), "k"))
+        small.write.parquet(f"{tmpdir_run}/small")
+        files = spark.read.parquet(f"{tmpdir_run}/small")
+        assert "BroadcastHashJoin" in _plan(big.join(broadcast_if_small_files(files, f"{tmpdir_run}/small"), "k"))
+        assert "BroadcastHashJoin" not in _plan(
+            big.join(broadcast_if_small_files(files, f"{tmpdir_run}/small", max_bytes=10), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
