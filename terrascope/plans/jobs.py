@@ -32,12 +32,23 @@ def _path(out_dir: str, *parts: str) -> str:
     return "/".join([out_dir.rstrip("/"), *parts])
 
 
+def _size_shuffles(spark: SparkSession, paths) -> None:
+    """Size shuffle partitions / splits to the inputs (only keys the user has
+    not set; see ``session.apply_scale_conf``)."""
+    from terrascope.session import apply_scale_conf
+    existing = [p for p in paths if p and CSV.read_optional(spark, p, fmt="binaryFile") is not None]
+    if existing:
+        apply_scale_conf(spark, existing)
+
+
 def climate_job(spark: SparkSession, global_csv: str, out_dir: str, country_csv: str | None = None,
                 city_csv: str | None = None, from_year: int = 1900, params: dict | None = None,
-                cv_folds: int = 5) -> dict:
+                cv_folds: int = 5, size_shuffles: bool = True) -> dict:
     """Process + train: cleaned tables (country / city partitioned by decade),
     full feature table, every model, predictions of the best one, metrics
     table and model info.  Missing optional inputs are skipped."""
+    if size_shuffles:
+        _size_shuffles(spark, [global_csv, country_csv, city_csv])
     written = {}
     for name, path, value in (("country", country_csv, "AverageTemperature"),
                               ("city", city_csv, "AverageTemperature")):
@@ -88,9 +99,11 @@ def climate_reports(spark: SparkSession, out_dir: str, years: int = 5) -> dict[s
 
 
 def segmenter_job(spark: SparkSession, images_dir: str, masks_dir: str, out_dir: str, size: int = 128,
-                  max_samples: int = 500, glob: str | None = None, **rf_params) -> dict:
+                  max_samples: int = 500, glob: str | None = None, size_shuffles: bool = True, **rf_params) -> dict:
     """Train the pixel classifier on paired images and masks; save the model
     and the classification report."""
+    if size_shuffles:
+        _size_shuffles(spark, [images_dir, masks_dir])
     # pair check on the file listings (no decoding), then train without repeating it
     SEG.require_pairs(IM.list_images(spark, images_dir, glob), IM.list_images(spark, masks_dir, glob))
     images = RA.decode_image_arrow(IM.read_images(spark, images_dir, glob=glob))
@@ -103,9 +116,11 @@ def segmenter_job(spark: SparkSession, images_dir: str, masks_dir: str, out_dir:
 
 
 def scoring_job(spark: SparkSession, model_path: str, images_dir: str, out_dir: str, size: int = 128,
-                glob: str | None = None) -> dict:
+                glob: str | None = None, size_shuffles: bool = True) -> dict:
     """Segment every image in a folder: coverage table plus mask and overlay
     pixel tables written per image (K7)."""
+    if size_shuffles:
+        _size_shuffles(spark, [images_dir])
     from pyspark.ml import PipelineModel
     model = PipelineModel.load(model_path)
     files = IM.read_images(spark, images_dir, glob=glob)
