@@ -10,6 +10,7 @@ CLASS_NAMES = {0: "Deforested", 1: "Forest"}
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Rows per (label, prediction) pair -- a table of at most classes^2 rows."""
     return pred.groupBy(F.col(label).cast("int").alias("label"),
                         F.col(prediction).cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 

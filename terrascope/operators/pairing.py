@@ -15,6 +15,7 @@ def id_from_name(c: F.Column) -> F.Column:
 
 
 def name_id(col: str) -> F.Column:
+    """``id_from_name`` of a column given by name."""
     return id_from_name(F.col(col))
 
 

@@ -276,10 +276,12 @@ def _morph(pixels: DataFrame, value: str, offsets, op) -> DataFrame:
 
 
 def dilate(pixels: DataFrame, value: str = "label", size: int = 5) -> DataFrame:
+    """Maximum over an elliptical neighbourhood (outside cells ignored)."""
     return _morph(pixels, value, ellipse_kernel(size), F.max)
 
 
 def erode(pixels: DataFrame, value: str = "label", size: int = 5) -> DataFrame:
+    """Minimum over an elliptical neighbourhood (outside cells ignored)."""
     return _morph(pixels, value, ellipse_kernel(size), F.min)
 
 
@@ -290,6 +292,7 @@ def morph_close(pixels: DataFrame, value: str = "label", size: int = 5) -> DataF
 
 
 def gaussian_weights(sigma: float = 0.5, radius: int = 1) -> list[float]:
+    """Normalised 1-D Gaussian weights for offsets -radius..radius."""
     g = [math.exp(-(i * i) / (2.0 * sigma * sigma)) for i in range(-radius, radius + 1)]
     s = sum(g)
     return [v / s for v in g]

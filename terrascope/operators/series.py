@@ -41,6 +41,7 @@ def monthly_series(df: DataFrame, value: str, series_key=None, out: str | None =
 
 
 def series_window(series_key=None, order: Sequence[str] = ORDER):
+    """Window in time order, partitioned by the series key when given."""
     w = Window.orderBy(*order)
     keys = _keys(series_key)
     return w.partitionBy(*keys) if keys else w

@@ -61,6 +61,7 @@ def regressor(kind: str, **params):
 
 def fit(train: DataFrame, kind: str, features: Sequence[str] = FEATURES, label: str = TARGET,
         **params) -> PipelineModel:
+    """Fit VectorAssembler -> StandardScaler -> ``kind`` estimator on ``train``."""
     est = regressor(kind, featuresCol="scaled", labelCol=label, predictionCol="prediction", **params)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features_vec"),
@@ -71,6 +72,7 @@ def fit(train: DataFrame, kind: str, features: Sequence[str] = FEATURES, label:
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Add ``prediction``; drop the intermediate vector columns."""
     return model.transform(df).drop("features_vec", "scaled")
 
 
@@ -211,6 +213,7 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
+    """K6: load a pipeline saved by ``save_model``."""
     return PipelineModel.load(path)
 
 

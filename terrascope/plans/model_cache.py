@@ -15,6 +15,7 @@ _MODELS: dict[tuple, object] = {}
 
 
 def cached_model(spark, sf_dir: str, name: str, build: Callable[[], object]):
+    """The model ``name`` for this context and folder, built once by ``build``."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _MODELS:
         _MODELS[key] = build()

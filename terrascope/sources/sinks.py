@@ -53,6 +53,7 @@ def model_info(metrics: DataFrame, best: str, n_train: int | None = None, n_test
 
 
 def write_model_info(info: DataFrame, path: str) -> None:
+    """K5: the one-row model record as JSON."""
     info.coalesce(1).write.mode("overwrite").json(path)
 
 

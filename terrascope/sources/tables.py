@@ -14,6 +14,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table_path(sf_dir: str, name: str) -> str:
+    """Parquet path of test table ``name`` under ``sf_dir``."""
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
