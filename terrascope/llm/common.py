@@ -51,3 +51,8 @@ def bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once: inside another lambda a plain
     expression would be evaluated again for every element."""
     return F.transform(F.array(value), use)[0]
+
+
+def hashed_share(key: Column, share: Column | float) -> Column:
+    """True for about ``share`` of the keys, by their hash: every row of a key or none."""
+    return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < F.lit(1 << 20) * share

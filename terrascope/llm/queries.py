@@ -6,14 +6,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrascope.llm.common import documents
+from terrascope.llm.common import documents, held_out
 from terrascope.session import scratch_path
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
 
 
+#: Labelled documents that a quality model is fitted on, at most.
+QUALITY_ROWS = 4000
+
+
 def tokenizer_path() -> str:
     """Default byte-level BPE file of the public tokenizers."""
     import public_tokenizers
@@ -34,12 +39,38 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), end_id=0, capacity=1024)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from four fifths of them."""
+    from terrascope.llm import language
+    docs = documents(spark, sf_dir)
+    model = language.train(language.training_rows(docs, held_out("doc_id", 5, 0, equal=False), 1000))
+    return language.predict(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from four fifths of the labels."""
+    from terrascope.llm import quality
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").where(held_out("doc_id", 5, 0, equal=False))
+    model = quality.train(quality.training_rows(docs, labels, "quality", QUALITY_ROWS))
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts."""
     from terrascope.llm import fingerprint
     return fingerprint.edit_report(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base spans, and costly values in credential contexts."""
+    from terrascope.llm import secret_scan
+    return secret_scan.report(documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the URL rules on all pages."""
     from terrascope.llm import url_filter
@@ -48,7 +79,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_packing, op8_fingerprints, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_packing, op5_language, op7_quality, op8_fingerprints, op9_url_filter,
+                                     op10_secrets)}
 
 SQL = {
     "op9_url_filter": """
