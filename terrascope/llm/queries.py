@@ -25,6 +25,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a class-based bigram model of six sevenths of them."""
+    from terrascope.llm import brown
+    docs = documents(spark, sf_dir)
+    model = brown.train(docs, held_out("doc_id", 7, 2, equal=False))
+    return brown.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id", 7, 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token folder of all documents, read back from its files."""
     from terrascope.llm import token_files
@@ -79,7 +89,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_packing, op5_language, op7_quality, op8_fingerprints, op9_url_filter,
+QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op4_packing, op5_language, op7_quality, op8_fingerprints, op9_url_filter,
                                      op10_secrets)}
 
 SQL = {
