@@ -43,6 +43,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, path, end_id=2)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked by 4-word shingles at a Jaccard similarity of 0.85."""
+    from terrascope.llm import ngram_join
+    groups = ngram_join.linked_groups(documents(spark, sf_dir), k=4, percent=85)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     from terrascope.llm import packing
@@ -89,7 +96,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op4_packing, op5_language, op7_quality, op8_fingerprints, op9_url_filter,
+QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op3_ngram_join, op4_packing, op5_language, op7_quality, op8_fingerprints, op9_url_filter,
                                      op10_secrets)}
 
 SQL = {
