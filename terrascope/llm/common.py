@@ -26,10 +26,28 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Make the splits of files independent of the number of live executors, so
+    that a later scan (after executors came or went) numbers rows as the first
+    did: the present default is set where the user has set none."""
+    key = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+                       or str(spark.sparkContext.defaultParallelism))
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` plus a row number.  The number follows the files and their splits,
+    so every scan of the same files gives the same; ``df`` is a table read from
+    files (or a checkpoint)."""
+    pin_splits(df.sparkSession)
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def with_row(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(__row, id, text)``: other columns are dropped, so they cannot clash.
-    ``__row`` tells repeated ids apart; it follows the input's files and their
-    splits, so recomputing a lost task gives the same numbers."""
+    ``__row`` (see ``number_rows``) tells repeated ids apart."""
+    pin_splits(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias(ROW),
                      F.col(id_column).cast("long").alias("id"),
                      F.col(text_column).cast("string").alias("text"))

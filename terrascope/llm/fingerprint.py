@@ -44,7 +44,7 @@ def _triples(text: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` plus ``exact array<long>``, ``sketch array<long>`` and ``n long``:
+    """``keys`` plus ``exact array<long>``, ``sketch array<int>`` and ``n long``:
     the fingerprint of each text (``keys`` identify a row)."""
     lines = texts.select(*keys, F.explode_outer(
         F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x != "")).alias("p"))
@@ -61,10 +61,10 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     low = [F.col(f"s{i}").bitwiseAND(F.lit(_LOW32)) for i in range(SKETCH // 2)]
     high = [F.shiftrightunsigned(f"s{i}", 32) for i in range(SKETCH // 2)]
 
-    def lanes(columns, mod):
-        return F.array(*[F.coalesce(F.pmod(c, F.lit(mod)), F.lit(0)).cast("long") for c in columns])
-    return sums.select(*keys, lanes([F.col(f"e{i}") for i in range(EXACT)], _EXACT_MOD).alias("exact"),
-                       lanes(low + high, _SKETCH_MOD).alias("sketch"), F.pmod("n", F.lit(_EXACT_MOD)).alias("n"))
+    def lanes(columns, mod, kind):
+        return F.array(*[F.coalesce(F.pmod(c, F.lit(mod)), F.lit(0)).cast(kind) for c in columns])
+    return sums.select(*keys, lanes([F.col(f"e{i}") for i in range(EXACT)], _EXACT_MOD, "long").alias("exact"),
+                       lanes(low + high, _SKETCH_MOD, "int").alias("sketch"), F.pmod("n", F.lit(_EXACT_MOD)).alias("n"))
 
 
 def combine(a: dict[str, Column], b: dict[str, Column], sign: int = 1) -> dict[str, Column]:

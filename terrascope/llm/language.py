@@ -99,8 +99,9 @@ def training_rows(docs: DataFrame, usable: Column, max_rows_per_language: int, i
 
 
 def train(rows: list[tuple[str, bytes, bytes]], epochs: int = 6, rate: float = 2.0, batch: int = 32, decay: float = 1e-4,
-          seed: int = 5) -> Model:
-    """Fit one logistic classifier per bit, all bits of a batch at once."""
+          min_steps: int = 500, seed: int = 5) -> Model:
+    """Fit one logistic classifier per bit, all bits of a batch at once:
+    ``epochs`` passes, more if they make fewer than ``min_steps`` steps."""
     languages = sorted({r[0] for r in rows})
     code = codewords(len(languages))
     weights = np.zeros((1 << BITS, code.shape[1]), dtype=np.float32)
@@ -108,7 +109,9 @@ def train(rows: list[tuple[str, bytes, bytes]], epochs: int = 6, rate: float = 2
     at = {x: i for i, x in enumerate(languages)}
     y = code[[at[r[0]] for r in rows]].astype(np.float32) if rows else np.zeros((0, 0), np.float32)
     rng = np.random.default_rng(seed)
-    steps, step = epochs * -(-len(rows) // batch), 0
+    per_epoch = max(1, -(-len(rows) // batch))
+    epochs = max(epochs, -(-min_steps // per_epoch))
+    steps, step = epochs * per_epoch, 0
     for _ in range(epochs if code.shape[1] else 0):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), batch):

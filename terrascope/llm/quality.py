@@ -62,15 +62,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 
 
 def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32,
-          seed: int = 7) -> Model:
-    """Fit embeddings, softmax weights and biases by stochastic gradient descent."""
+          min_steps: int = 1000, seed: int = 7) -> Model:
+    """Fit embeddings, softmax weights and biases by stochastic gradient descent:
+    ``epochs`` passes, more if they make fewer than ``min_steps`` steps."""
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     y = np.array([r[0] for r in rows])
-    steps, step = epochs * -(-len(rows) // batch), 0
+    per_epoch = -(-len(rows) // batch)
+    epochs = max(epochs, -(-min_steps // per_epoch))
+    steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), batch):

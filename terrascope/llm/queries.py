@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import documents, held_out
+from terrascope.llm.common import ROW, documents, held_out
 from terrascope.session import scratch_path
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -65,6 +65,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with other numbers or names."""
+    from terrascope.llm import decontaminate
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    found = decontaminate.matches(documents(spark, sf_dir), items)
+    return found.drop(ROW).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from four fifths of the labels."""
     from terrascope.llm import quality
@@ -96,8 +104,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op3_ngram_join, op4_packing, op5_language, op7_quality, op8_fingerprints, op9_url_filter,
-                                     op10_secrets)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` on all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op3_ngram_join, op4_packing, op5_language,
+                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, pipeline)}
 
 SQL = {
     "op9_url_filter": """

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, bind
+from terrascope.llm.common import ROW, bind, pin_splits
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -67,6 +67,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_col
     """``(id, host, path, rule, verdict)`` for every row of ``urls``; ``rules`` has
     ``verdict`` (allow or block), ``host`` and ``path``."""
     host, path = url_parts(F.col(url_column))
+    pin_splits(urls.sparkSession)
     base = urls.select(F.monotonically_increasing_id().alias(ROW), F.col(id_column).alias("id"),
                        F.col(url_column).alias("url")).select(ROW, "id", host.alias("host"), path.alias("path"))
     key = F.concat("host", F.regexp_extract("path", r"^(.*/)?", 1))
