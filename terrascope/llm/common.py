@@ -36,6 +36,21 @@ def pin_splits(spark: SparkSession) -> None:
                        or str(spark.sparkContext.defaultParallelism))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_rows(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """``df`` without the rows whose number (see ``number_rows``) is in ``rows``."""
+    number, gone = free_name(df, "__number"), free_name(df, "__gone")
+    listed = rows.select(F.col(row).alias(gone))
+    return number_rows(df, number).join(listed, F.col(number) == F.col(gone), "left_anti").drop(number)
+
+
 def number_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` plus a row number.  The number follows the files and their splits,
     so every scan of the same files gives the same; ``df`` is a table read from

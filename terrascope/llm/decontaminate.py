@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, keep_table, number_rows, with_row
+from terrascope.llm.common import ROW, keep_table, with_row, without_rows
 from terrascope.llm.textvec import Words, mix, sequence_hash, text_slices
 
 #: Number words and units.
@@ -219,6 +219,4 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item (all columns unchanged)."""
-    found = matches(docs, items, **options).select(F.col(ROW).alias("__found")).distinct()
-    numbered = number_rows(docs, "__number")
-    return numbered.join(found, F.col("__number") == F.col("__found"), "left_anti").drop("__number")
+    return without_rows(docs, matches(docs, items, **options).select(ROW).distinct(), ROW)

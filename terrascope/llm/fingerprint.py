@@ -38,9 +38,10 @@ _PAIR = 0x0000000100000001  # one bit of each 32-bit half of a long
 
 def _triples(text: Column) -> Column:
     """Hashes of the word triples of a line."""
-    return bind(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), lambda h: F.transform(
+    triples = bind(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), lambda h: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))),
         lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))
+    return F.when(text.isNotNull(), triples)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, keep_table, number_rows, with_row
+from terrascope.llm.common import ROW, keep_table, with_row, without_rows
 from terrascope.llm.components import components
 from terrascope.llm.textvec import Words, text_slices
 
@@ -294,6 +294,4 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str =
                text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each linked group (all columns unchanged)."""
     groups = linked_groups(docs, k, percent, id_column, text_column)
-    gone = groups.where(~F.col("first")).select(F.col(ROW).alias("__gone"))
-    numbered = number_rows(docs, "__number")
-    return numbered.join(gone, F.col("__number") == F.col("__gone"), "left_anti").drop("__number")
+    return without_rows(docs, groups.where(~F.col("first")), ROW)
