@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +16,37 @@ from terrascope.session import scratch_path
 ROW = "__row"
 
 
+_shipped: set[str] = set()
+
+
+def folder_fs(folder: str):
+    """``(file system, path)`` of a folder named by a path or a URI."""
+    from pyarrow import fs
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of a session, once:
+    its sources go as one zip file through the shared checkpoint folder."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for source in sorted((root / "terrascope").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    uri = scratch_path(spark, f"terrascope-{uuid.uuid4().hex}.zip")
+    system, path = folder_fs(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as f:
+        f.write(packed.getvalue())
+    spark.sparkContext.addPyFile(uri)
+    _shipped.add(app)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
@@ -62,6 +96,7 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
 def with_row(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(__row, id, text)``: other columns are dropped, so they cannot clash.
     ``__row`` (see ``number_rows``) tells repeated ids apart."""
+    ship(df.sparkSession)
     pin_splits(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias(ROW),
                      F.col(id_column).cast("long").alias("id"),

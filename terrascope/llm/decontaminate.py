@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, keep_table, with_row, without_rows
+from terrascope.llm.common import ROW, keep_table, ship, with_row, without_rows
 from terrascope.llm.textvec import Words, mix, sequence_hash, text_slices
 
 #: Number words and units.
@@ -170,6 +170,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
             min_words: int = 4, min_cover: float = 0.5, min_run: int = 6, min_consistent: float = 0.8) -> DataFrame:
     """``(__row, id, item_id, matched, total, cover, slots, consistent, exact)`` of
     every contaminated pair; ``exact``: no slot was changed."""
+    ship(docs.sparkSession)
     asked = keep_table(benchmark_windows(items, window, min_literals, min_words, item_column, item_text_column), "windows")
     lengths = sorted(r.n for r in asked.select("n").distinct().collect())  # at most window - min_words + 1
     bits = _bitmap(asked)

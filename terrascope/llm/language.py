@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, hashed_share, strings, with_row
+from terrascope.llm.common import ROW, hashed_share, ship, strings, with_row
 from terrascope.llm.features import dense, mean_scores, sparse_rows
 
 BITS = 12
@@ -75,6 +75,7 @@ def training_rows(docs: DataFrame, usable: Column, max_rows_per_language: int, i
                   text_column: str = "text", lang_column: str = "lang") -> list[tuple[str, bytes, bytes]]:
     """``(language, buckets, shares)`` of about ``max_rows_per_language`` rows of
     each language (at most 1.5 times as many over all), of rows where ``usable``."""
+    ship(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("id"), F.col(lang_column).cast("string").alias("lang"),
         F.col(text_column).cast("string").alias("text"))

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrascope.llm.common import ship
 from terrascope.llm.encode import encoder
 from terrascope.llm.textvec import text_slices
 
@@ -115,6 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024,
     """Pieces of all documents with their place: ``sequence_id`` and the
     ``offset`` in it; ``sequence_length`` tokens of a sequence are used.  A
     sequence is full but for ``max_waste`` tokens, or a power of two."""
+    ship(docs.sparkSession)
     names = [c.split()[0] for c in _PIECE.split(", ")]
     schema = pa.schema([(n, pa.int64()) for n in names])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, hashed_share, with_row
+from terrascope.llm.common import ROW, hashed_share, ship, with_row
 from terrascope.llm.features import dense, mean_scores, sparse_rows
 
 BITS = 15
@@ -112,6 +112,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``."""
+    ship(docs.sparkSession)
     weights, bias, at = model.weights, model.bias, docs.columns.index(text_column)
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, strings, with_row
+from terrascope.llm.common import ROW, ship, strings, with_row
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -225,6 +225,7 @@ def mask(docs: DataFrame, text_column: str = "text", length_column: str | None =
     """``docs`` with every finding replaced (overlapping ones as one); rows,
     order of columns and null texts stay; ``length_column`` is set to the new
     number of code points where a text changed."""
+    ship(docs.sparkSession)
     ranks = word_ranks(words)
     at = docs.columns.index(text_column)
     length_at = docs.columns.index(length_column) if length_column else None

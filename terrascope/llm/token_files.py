@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascope.llm.common import folder_fs, ship
 from terrascope.llm.encode import encoder
 from terrascope.llm.textvec import text_slices
 
@@ -38,18 +39,10 @@ _SHARD = "shard int, name string, n_docs long, n_tokens long"
 _SPAN = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _fs(folder: str):
-    from pyarrow import fs
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and
-                                      not folder.startswith("file://") else folder)
-    return fs.LocalFileSystem(), folder
-
-
 def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
     """A file as an array: memory-mapped where the folder is mounted."""
     from pyarrow import fs
-    system, base = _fs(folder)
+    system, base = folder_fs(folder)
     path = f"{base}/{name}"
     if isinstance(system, fs.LocalFileSystem):
         if system.get_file_info(path).size == 0:
@@ -69,8 +62,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Write ``docs`` as a token folder; returns its manifest ``(shard, name,
     n_docs, n_tokens, base)``, one row per shard."""
     spark = docs.sparkSession
+    ship(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    system, base = _fs(folder)
+    system, base = folder_fs(folder)
     system.create_dir(base, recursive=True)
     text = F.col(text_column).cast("string")
     ranged = (docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
@@ -81,7 +75,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         kind = id_type(max(enc.vocab_size, end_id + 1))
         where = TaskContext.get()
         name = f"{where.partitionId():06d}-{where.taskAttemptId()}"
-        out_fs, out = _fs(folder)
+        out_fs, out = folder_fs(folder)
         docs_n = tokens_n = 0
         files = None
         for batch in batches:
@@ -110,7 +104,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     manifest = manifest.repartitionByRange(max(1, len(shards_done)), "shard")
 
     def offsets(batches):
-        out_fs, out = _fs(folder)
+        out_fs, out = folder_fs(folder)
         for batch in batches:
             for r in batch.to_pylist():
                 lengths = _mapped(folder, f"lengths-{r['name']}.bin", "<i8")
@@ -127,6 +121,7 @@ def read_token_files(spark: SparkSession, folder: str, tokenizer: str, end_id: i
     """One row per document of a token folder: ``(doc_id, start, n_tokens,
     ids_crc32)``, from the files alone; the CRC is over the ids as little-endian
     unsigned 32-bit integers."""
+    ship(spark)
     manifest = spark.read.schema(_SHARD + ", base long").parquet(f"{folder}/manifest")
     manifest = manifest.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
 
