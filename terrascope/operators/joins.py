@@ -1,8 +1,7 @@
 """Join helpers: size-checked broadcast and scalar attachment.
 
-* ``sized_broadcast`` hints a broadcast only after a bounded count proves the
-  side is small; otherwise the plain DataFrame is returned and Catalyst / AQE
-  choose a shuffle join from runtime statistics.
+* ``broadcast_if_small_files`` hints a broadcast only for a table whose files are
+  small; otherwise Catalyst / AQE choose a shuffle join from runtime statistics.
 * ``scalar`` turns a one-row aggregate into a scalar-subquery column
   (``DataFrame.scalar()``), so "value - mean(value)" or "year >= max(year) - 30"
   needs neither a join nor an unpartitioned window.
@@ -14,16 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a bounded job), so it is
-    cheap even when the side turns out to be large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def path_bytes(spark, paths) -> int:
     """Bytes on disk under ``paths`` (Hadoop file-system metadata; no Spark
     job, no data read)."""
@@ -32,7 +21,9 @@ def path_bytes(spark, paths) -> int:
     total = 0
     for p in ([paths] if isinstance(paths, str) else paths):
         path = jvm.org.apache.hadoop.fs.Path(p)
-        total += path.getFileSystem(hconf).getContentSummary(path).getLength()
+        fs = path.getFileSystem(hconf)
+        for found in fs.globStatus(path) or []:  # a plain path is a glob of one
+            total += fs.getContentSummary(found.getPath()).getLength()
     return total
 
 

@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 CLASS_NAMES = {0: "Deforested", 1: "Forest"}
 
 
-def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Rows per (label, prediction) pair -- a table of at most classes^2 rows."""
-    return pred.groupBy(F.col(label).cast("int").alias("label"),
-                        F.col(prediction).cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                           names: dict[int, str] = CLASS_NAMES) -> DataFrame:
     """M11 + M12: per class precision, recall, F1 and support; accuracy;
@@ -57,9 +51,3 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
                     ratio(sum((rec[c] * F.col(f"n{c}") for c in names), F.lit(0.0)), total),
                     ratio(sum((f1[c] * F.col(f"n{c}") for c in names), F.lit(0.0)), total), total))
     return one.select(F.inline(F.array(*rows)))
-
-
-def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Share of rows with ``prediction == label``."""
-    return pred.agg(F.avg((F.col(label).cast("double") == F.col(prediction).cast("double")).cast("double"))
-                    .alias("accuracy"))

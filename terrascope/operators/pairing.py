@@ -10,8 +10,9 @@ ID_PATTERN = r"_(\d+)\."
 
 
 def id_from_name(c: F.Column) -> F.Column:
-    """Numeric id in a file name such as ``satellite_0042.jpg`` -> 42."""
-    return F.regexp_extract(c, ID_PATTERN, 1).cast("long")
+    """Numeric id in a file name such as ``satellite_0042.jpg`` -> 42; NULL for
+    a name without one."""
+    return F.regexp_extract(c, ID_PATTERN, 1).try_cast("long")
 
 
 def name_id(col: str) -> F.Column:

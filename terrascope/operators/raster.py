@@ -106,7 +106,7 @@ def decode_grey(images: DataFrame, id_col: str = "image_id", image_col: str = "i
     """Masks as one grey value ``v`` per pixel: one-channel images give
     their value, colour images their luma (the weights sum to 1, so both
     cases are ``grey(b, g, r)``)."""
-    px = decode_image(images, id_col, image_col)
+    px = decode_image_arrow(images, id_col, image_col)
     return px.select("image_id", "y", "x", "height", "width", grey().alias("v"))
 
 
@@ -179,10 +179,10 @@ def color_mask(labels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def overlay(df: DataFrame, alpha: float = 0.7, beta: float = 0.3) -> DataFrame:
-    """R9 + F10s: ``alpha * image + beta * mask`` rounded and saturated."""
+    """R9 + F10s: ``alpha * image + beta * mask`` rounded (ties to even) and saturated."""
     out = []
     for c, m in (("b", "mb"), ("g", "mg"), ("r", "mr")):
-        v = F.floor(F.lit(alpha) * F.col(c) + F.lit(beta) * F.col(m) + F.lit(0.5))
+        v = F.rint(F.lit(alpha) * F.col(c) + F.lit(beta) * F.col(m))
         out.append(clip(v, 0, 255).cast("int").alias(f"o{c}"))
     return df.select("*", *out)
 
@@ -398,37 +398,16 @@ def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[
 
 # --- theta join: J6 -------------------------------------------------------------
 
-MAX_BROADCAST_CELLS = 1_000_000   # ~16 MB of (y, x) pairs
-
-
-def ellipse_cells(patches: Sequence[tuple[float, float, float, float]]) -> list[tuple[int, int]]:
-    """Integer cells inside any ellipse ``((x-cx)/w)^2 + ((y-cy)/h)^2 <= 1``.
-    Enumerated over each patch's bounding box, so the list is bounded by the
-    patch sizes (a parameter), never by the data."""
-    cells = set()
-    for cx, cy, w, h in patches:
-        for y in range(math.floor(cy - h), math.ceil(cy + h) + 1):
-            for x in range(math.floor(cx - w), math.ceil(cx + w) + 1):
-                if ((x - cx) / w) ** 2 + ((y - cy) / h) ** 2 <= 1:
-                    cells.add((y, x))
-    return sorted(cells)
-
-
 def ellipse_label(pixels: DataFrame, patches: Sequence[tuple[float, float, float, float]],
                   out: str = "label") -> DataFrame:
-    """Label 1 where a pixel lies in any elliptical patch, else 0.
-
-    The point-in-ellipse theta join becomes an equi-join: the patches are
-    expanded to their inside cells (bounded by the patch parameter, so the
-    broadcast is size-proven) and pixels left-join them on ``(y, x)``.
-    """
-    spark = pixels.sparkSession
-    inside = ellipse_cells(patches)
-    cells = spark.createDataFrame(inside, "_cy int, _cx int").withColumn("_in", F.lit(1))
-    if len(inside) <= MAX_BROADCAST_CELLS:      # size known before planning
-        cells = F.broadcast(cells)
-    joined = pixels.join(cells, (F.col("y") == F.col("_cy")) & (F.col("x") == F.col("_cx")), "left")
-    return joined.withColumn(out, F.coalesce(F.col("_in"), F.lit(0))).drop("_cy", "_cx", "_in")
+    """Label 1 where a pixel lies in any elliptical patch ``(cx, cy, w, h)``,
+    ``((x-cx)/w)^2 + ((y-cy)/h)^2 <= 1``, else 0: one boolean column, no join.
+    ``ellipse_label_per_image`` takes patches as a table."""
+    inside = F.lit(False)
+    for cx, cy, w, h in patches:
+        dx, dy = (F.col("x") - F.lit(cx)) / F.lit(float(w)), (F.col("y") - F.lit(cy)) / F.lit(float(h))
+        inside = inside | (dx * dx + dy * dy <= 1)
+    return pixels.withColumn(out, inside.cast("int"))
 
 
 def ellipse_label_per_image(pixels: DataFrame, patches: DataFrame, out: str = "label") -> DataFrame:

@@ -60,10 +60,10 @@ def q_scan_country(spark, sf):
     return rounded(CSV.read_country(spark, path).select("Country", "dt", "AverageTemperature"))
 
 
-def q_scan_city_capped(spark, sf):
+def q_scan_city(spark, sf):
     path = scratch_path(spark, f"csv_city_{uuid.uuid4().hex}")
     FX.station_observations(spark, sf).write.mode("overwrite").option("header", True).csv(path)
-    return rounded(CSV.read_city(spark, path, row_cap=100_000, order_by="obs_id"))
+    return rounded(CSV.read_city(spark, path))
 
 
 def q_write_read_roundtrip(spark, sf):
@@ -363,7 +363,7 @@ def q_report_json(spark, sf):
 QUERIES = {
     "scan_global": q_scan_global,
     "scan_country": q_scan_country,
-    "scan_city_capped": q_scan_city_capped,
+    "scan_city": q_scan_city,
     "write_read_roundtrip": q_write_read_roundtrip,
     "reload_predictions": q_reload_predictions,
     "drop_missing": q_drop_missing,

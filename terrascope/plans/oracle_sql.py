@@ -180,14 +180,13 @@ SELECT CAST(year AS INTEGER) AS year, month, strftime(make_date(CAST(year AS INT
 FROM g
 """
 
-CSV_CITY = f"SELECT * FROM ({F1}) f ORDER BY obs_id LIMIT 100000"
 
 PRED_COLS6 = FEAT_DOUBLES + ["Temperature_Anomaly"]
 
 SQL = {
     "scan_global": rnd(F2, ["LandAverageTemperature"]),
     "scan_country": rnd(f"SELECT Country, dt, AverageTemperature FROM ({F1M}) x", ["AverageTemperature"]),
-    "scan_city_capped": rnd(CSV_CITY, ["AverageTemperature"]),
+    "scan_city": rnd(F1, ["AverageTemperature"]),
     "write_read_roundtrip": rnd(f"SELECT *, CAST(floor(Year / 10) AS INTEGER) * 10 AS Decade FROM ({OBS}) o",
                                 ["AverageTemperature"]),
     "reload_predictions": rnd(PRED, PRED_COLS6, ["Predicted_Temperature", "Temperature_Difference"]),

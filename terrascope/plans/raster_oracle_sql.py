@@ -157,9 +157,9 @@ FROM ({TRUTH}) t
 
 OVERLAY = f"""
 SELECT image_id, y, x,
-       CAST(greatest(0, least(255, floor(0.7::DOUBLE * b + 0.3::DOUBLE * mb + 0.5))) AS INTEGER) AS ob,
-       CAST(greatest(0, least(255, floor(0.7::DOUBLE * g + 0.3::DOUBLE * mg + 0.5))) AS INTEGER) AS og,
-       CAST(greatest(0, least(255, floor(0.7::DOUBLE * r + 0.3::DOUBLE * mr + 0.5))) AS INTEGER) AS "or"
+       CAST(greatest(0, least(255, round_even(0.7::DOUBLE * b + 0.3::DOUBLE * mb, 0))) AS INTEGER) AS ob,
+       CAST(greatest(0, least(255, round_even(0.7::DOUBLE * g + 0.3::DOUBLE * mg, 0))) AS INTEGER) AS og,
+       CAST(greatest(0, least(255, round_even(0.7::DOUBLE * r + 0.3::DOUBLE * mr, 0))) AS INTEGER) AS "or"
 FROM (SELECT t.*, c.mb, c.mg, c.mr FROM ({TRUTH}) t JOIN ({COLOR}) c USING (image_id, y, x)) z
 """
 

@@ -49,17 +49,26 @@ def training_pixels(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
     return sample_per_image(joined, max_samples, seed)
 
 
+def pair_problems(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """J1 check on file listings (``image_id``, one row per file): ids that lack a
+    partner, files without an id and ids that several files share, as
+    ``(image_id, problem)``."""
+    def counted(df, n):
+        return df.groupBy("image_id").agg(F.count("*").alias(n))
+    both = counted(images, "images").join(counted(masks, "masks"), "image_id", "full")
+    null = F.col("image_id").isNull()
+    problem = (F.when(null, "a file name has no number")
+               .when(F.col("images").isNull(), "has no image").when(F.col("masks").isNull(), "has no mask")
+               .when(F.col("images") > 1, "has several images").when(F.col("masks") > 1, "has several masks"))
+    return both.select("image_id", problem.alias("problem")).where("problem is not null")
+
+
 def require_pairs(images: DataFrame, masks: DataFrame) -> None:
-    """J1 check: every image has a mask and every mask an image (the
-    original stops on unequal counts).  Compares distinct ids both ways with
-    ``left_anti`` joins; raises with a few offending ids."""
-    im = images.select("image_id").distinct()
-    mk = masks.select("image_id").distinct()
-    missing = (im.join(mk, "image_id", "left_anti").withColumn("missing", F.lit("mask"))
-               .unionByName(mk.join(im, "image_id", "left_anti").withColumn("missing", F.lit("image"))))
-    bad = missing.limit(5).collect()
+    """J1 check: every image file has exactly one mask file and vice versa (the
+    original stops on unequal counts); raises with a few offending ids."""
+    bad = pair_problems(images, masks).limit(5).collect()
     if bad:
-        raise ValueError("images and masks do not pair: " + ", ".join(f"{r.image_id} has no {r.missing}" for r in bad))
+        raise ValueError("images and masks do not pair: " + ", ".join(f"{r.image_id} {r.problem}" for r in bad))
 
 
 def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_samples: int = 500,
@@ -67,7 +76,7 @@ def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
     """Q8: returns ``(model, report_df, test_predictions)``.  ``strict``
     requires every image to have a mask and vice versa."""
     if strict:
-        require_pairs(images, masks)
+        require_pairs(images.select("image_id").distinct(), masks.select("image_id").distinct())
     # The training table feeds one pass per tree level: write it to the shared
     # checkpoint folder (lineage cut) so a lost executor re-reads it instead
     # of re-running the resize / join / sample plan.
@@ -90,10 +99,14 @@ def predict_pixels(model: PipelineModel, pixels: DataFrame, size: int = 128) ->
                          F.col("prediction").cast("int").alias("label"))
 
 
-def segment(model: PipelineModel, pixels: DataFrame, size: int = 128) -> dict[str, DataFrame]:
+def segment(model: PipelineModel, pixels: DataFrame, size: int = 128, keep_grid: bool = False) -> dict[str, DataFrame]:
     """Class grid scaled back to each image's own size (nearest),
-    coverage per image (counted after the upscale), colour mask, overlay."""
+    coverage per image (counted after the upscale), colour mask, overlay.
+    ``keep_grid`` writes the class grid (at most ``size``^2 rows an image) to the
+    shared folder once, so several outputs do not run the model again."""
     grid = predict_pixels(model, pixels, size)        # carries each image's source size
+    if keep_grid:
+        grid = materialize(grid, "label_grid")
     full = RA.resize_nearest(grid, "src_height", "src_width", ["label"]).drop("src_height", "src_width")
     colored = RA.color_mask(full)
     over = RA.overlay(pixels.select("image_id", "y", "x", "b", "g", "r")
@@ -101,6 +114,13 @@ def segment(model: PipelineModel, pixels: DataFrame, size: int = 128) -> dict[st
     return {"mask": colored, "overlay": over, "coverage": RA.coverage(full)}
 
 
+def with_errors(files: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row per file of a decoded folder: its coverage, or an ``error``."""
+    named = files.select("image_id", "file_name", "path", F.when(
+        F.col("image.height").isNull() | (F.col("image.height") <= 0), "the file cannot be decoded").alias("error"))
+    return named.join(coverage, "image_id", "left")
+
+
 def score_instances(model: PipelineModel, instances: DataFrame, size: int = 128) -> DataFrame:
     """Request instances (nested arrays) -> ``size x size`` class grid
     per instance."""

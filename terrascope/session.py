@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -92,7 +93,7 @@ def materialize(df, name: str = "table"):
 
 
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
-               min_partitions: int = 200, max_partitions: int = 100_000) -> dict[str, str]:
+               min_partitions: int = 200, max_partitions: int = 2_000_000) -> dict[str, str]:
     """Settings sized to the input volume so shuffle partitions fit in
     executor memory: ~``target_partition_bytes`` per scan split and per
     shuffle partition (AQE coalesces small ones and splits skewed ones at
@@ -109,13 +110,23 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024
 
 def apply_scale_conf(spark: SparkSession, paths: list[str], **kw) -> dict[str, str]:
     """Measure the input folders (Hadoop file system sizes, no data read) and
-    set ``scale_conf`` -- only keys the user has not set explicitly."""
+    set ``scale_conf`` -- only keys the user has not set, at launch or in the
+    session.  Returns what was set."""
     from terrascope.operators.joins import path_bytes
     total = path_bytes(spark, paths)
-    applied = {}
-    explicit = dict(spark.sparkContext.getConf().getAll())
-    for k, v in scale_conf(total, **kw).items():
-        if k not in explicit:
-            spark.conf.set(k, v)
-            applied[k] = v
+    live = spark._jsparkSession.sessionState().conf()
+    applied = {k: v for k, v in scale_conf(total, **kw).items() if not live.contains(k)}
+    for k, v in applied.items():
+        spark.conf.set(k, v)
     return applied
+
+
+@contextmanager
+def scaled_conf(spark: SparkSession, paths: list[str], **kw):
+    """``apply_scale_conf`` for the time of a block; no paths change nothing."""
+    applied = apply_scale_conf(spark, paths, **kw) if paths else {}
+    try:
+        yield applied
+    finally:
+        for k in applied:
+            spark.conf.unset(k)

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 # as text and carried through (the original keeps unread columns too).
 GLOBAL_VALUE = "LandAverageTemperature"
 LOCAL_VALUE = "AverageTemperature"
-NUMERIC_HINTS = ("Temperature", "Uncertainty", "obs_id")
+#: The numeric columns of the three climate files.
+NUMERIC = {f"{c}{u}" for u in ("", "Uncertainty") for c in (
+    "AverageTemperature", "LandAverageTemperature", "LandMaxTemperature", "LandMinTemperature",
+    "LandAndOceanAverageTemperature")}
 
 
 def read_climate_csv(spark: SparkSession, path: str, value: str, numeric: tuple[str, ...] = ()) -> DataFrame:
     """Read a climate CSV **by header name**: every field arrives as text (no
     schema-inference pass, no positional schema), then ``dt`` becomes a DATE
-    (``try_to_date``) and ``value`` plus any column named in ``numeric`` or
-    looking numeric (temperature / uncertainty columns) a DOUBLE
+    (``try_to_date``) and ``value`` plus the columns named in ``numeric`` or
+    ``NUMERIC`` (exact names) a DOUBLE
     (``try_cast``: ``''`` and ``NA`` -> NULL, ``NaN`` stays NaN for the
     cleaning step).  Extra columns in any order are fine."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
@@ -30,7 +33,7 @@ def read_climate_csv(spark: SparkSession, path: str, value: str, numeric: tuple[
             cols.append(F.coalesce(F.try_to_date(F.col(c), "yyyy-MM-dd"), F.try_to_date(F.col(c))).alias(c))
         elif c == "obs_id":
             cols.append(F.col(c).try_cast("long").alias(c))
-        elif c == value or c in numeric or any(h in c for h in NUMERIC_HINTS):
+        elif c == value or c in numeric or c in NUMERIC:
             cols.append(F.col(c).try_cast("double").alias(c))
         else:
             cols.append(F.col(c))
@@ -47,13 +50,9 @@ def read_country(spark: SparkSession, path: str) -> DataFrame:
     return read_climate_csv(spark, path, LOCAL_VALUE)
 
 
-def read_city(spark: SparkSession, path: str, row_cap: int | None = None,
-              order_by: str = "obs_id") -> DataFrame:
-    """S3: the city table.  ``row_cap`` keeps the first ``n`` rows in
-    ``order_by`` order (the original read only the first 100,000 lines of the
-    file); default off."""
-    df = read_climate_csv(spark, path, LOCAL_VALUE)
-    return df.orderBy(order_by).limit(row_cap) if row_cap else df
+def read_city(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the city table, all rows."""
+    return read_climate_csv(spark, path, LOCAL_VALUE)
 
 
 def read_optional(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None,

@@ -19,30 +19,37 @@ from terrascope.operators.pairing import id_from_name
 ALLOWED_EXTENSIONS = ["png", "jpg", "jpeg", "tif", "tiff"]
 
 
+def named(df: DataFrame, path, key: str, *columns) -> DataFrame:
+    """``image_id, file_name, path`` and ``columns``.  ``key="number"`` parses the
+    id from the file name (``name_0042.png`` -> 42, NULL without a number) to pair
+    images with masks; ``key="path"`` hashes the whole path, so files of any name
+    are told apart."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    image_id = F.xxhash64(path) if key == "path" else id_from_name(name)
+    return df.select(image_id.alias("image_id"), name.alias("file_name"), path.alias("path"), *columns)
+
+
 def read_images(spark: SparkSession, path: str, glob: str | None = None, drop_invalid: bool = True,
-                recursive: bool = False) -> DataFrame:
+                recursive: bool = False, key: str = "number") -> DataFrame:
     """Decode images under ``path``; ``glob`` filters names (e.g.
     ``*.{png,jpg}``); invalid files are dropped (training) or kept with
-    ``height = -1`` (scoring reports them).  Adds ``image_id`` parsed from
-    the file name (``name_0042.png`` -> 42) and ``file_name``."""
+    ``height = -1`` (scoring reports them).  ``image_id, file_name, path, image``;
+    see ``named`` for ``key``."""
     r = spark.read.format("image").option("dropInvalid", drop_invalid)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", True)
-    df = r.load(path)
-    fname = F.regexp_extract(F.col("image.origin"), r"([^/]*)$", 1)
-    return df.select(id_from_name(fname).alias("image_id"), fname.alias("file_name"), "image")
+    return named(r.load(path), F.col("image.origin"), key, "image")
 
 
 def list_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """File listing ``image_id, file_name`` without decoding: the
+    """File listing ``image_id, file_name, path`` without decoding: the
     ``binaryFile`` source reads no content when only ``path`` is selected."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
-    return r.load(path).select(id_from_name(name).alias("image_id"), name.alias("file_name"))
+    return named(r.load(path), F.col("path"), "number")
 
 
 def file_name(path_col: str) -> F.Column:

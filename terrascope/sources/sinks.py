@@ -58,9 +58,11 @@ def write_model_info(info: DataFrame, path: str) -> None:
 
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
-    """K7: mask / overlay pixel tables, one folder per image (rebalanced on
-    ``image_id`` first, see ``write_table``)."""
-    write_table(pixels, path, partition_by=["image_id"])
+    """K7: mask / overlay pixel tables as one table whose files hold whole images
+    in order where they fit (rebalanced on ``image_id``; AQE splits a huge image),
+    so a reader of one image skips files by their statistics and the number of
+    folders does not grow with the number of images."""
+    pixels.hint("rebalance", "image_id").sortWithinPartitions("image_id", "y", "x").write.mode("overwrite").parquet(path)
 
 
 def observed(df: DataFrame, name: str = "rows", *extra) -> tuple[DataFrame, Observation]:

@@ -16,32 +16,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrascope.operators.pairing import id_from_name
 from terrascope.operators.raster import decode_image_arrow
-from terrascope.plans.segmentation import segment
-from terrascope.session import scratch_path
+from terrascope.plans.segmentation import segment, with_errors
+from terrascope.session import materialize
+from terrascope.sources.images import named
 
 
 def image_stream(spark: SparkSession, folder: str, glob: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming image source with the image schema declared up front."""
-    r = spark.readStream.format("image").schema(ImageSchema.imageSchema).option("dropInvalid", True)
+    r = spark.readStream.format("image").schema(ImageSchema.imageSchema).option("dropInvalid", False)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.load(folder)
-    fname = F.regexp_extract(F.col("image.origin"), r"([^/]*)$", 1)
-    return df.select(id_from_name(fname).alias("image_id"),
-                     fname.alias("file_name"), "image")
+    return named(r.load(folder), F.col("image.origin"), "path", "image")
 
 
 def coverage_sink(model: PipelineModel, out_path: str, size: int = 128):
-    """``foreachBatch`` function: segment the batch, write its coverage."""
+    """``foreachBatch`` function: decode the batch once, segment it, write a row
+    per file (coverage, or the error of a file that cannot be decoded)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        names = batch.select("image_id", "file_name")
-        cov = segment(model, decode_image_arrow(batch), size)["coverage"].join(names, "image_id")
+        files = materialize(batch, "decoded_batch")
+        cov = with_errors(files, segment(model, decode_image_arrow(files), size)["coverage"])
         cov.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     return run
@@ -51,8 +49,10 @@ def start_coverage_stream(spark: SparkSession, model: PipelineModel, folder: str
                           checkpoint: str | None = None, size: int = 128, glob: str | None = None,
                           available_now: bool = True) -> StreamingQuery:
     """Start T1.  ``available_now`` processes everything present and stops
-    (the batch-like trigger); otherwise it polls every 10 seconds."""
-    checkpoint = checkpoint or scratch_path(spark, "segment_stream_checkpoint")
+    (the batch-like trigger); otherwise it polls every 10 seconds.  The default
+    checkpoint belongs to ``out_path`` (``_checkpoint`` in it, which readers of
+    the folder skip), so a restarted application goes on where the last ended."""
+    checkpoint = checkpoint or f"{out_path.rstrip('/')}/_checkpoint"
     w = (image_stream(spark, folder, glob).writeStream
          .foreachBatch(coverage_sink(model, out_path, size))
          .option("checkpointLocation", checkpoint))
