@@ -124,3 +124,27 @@ def bind(value: Column, use) -> Column:
 def hashed_share(key: Column, share: Column | float) -> Column:
     """True for about ``share`` of the keys, by their hash: every row of a key or none."""
     return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < F.lit(1 << 20) * share
+
+
+BITMAP_BITS = 23
+
+
+def hash_bitmap(hashes: DataFrame, column: str):
+    """A bitmap (numpy, 1 MB whatever the input) with a bit for the top
+    ``BITMAP_BITS`` bits of every 64-bit hash; Spark sets the bits, at most
+    131,072 words of them reach the driver."""
+    import numpy as np
+    bit = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    word = hashes.select(bit.alias("b")).distinct().groupBy(F.shiftright("b", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("x"))
+    bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    for r in word.collect():
+        bits[r.w] = np.uint64(r.x & 0xFFFFFFFFFFFFFFFF)
+    return bits
+
+
+def in_bitmap(bits, hashes):
+    """True where a hash (unsigned) may be among those of the bitmap."""
+    import numpy as np
+    at = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

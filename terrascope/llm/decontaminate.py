@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, keep_table, ship, with_row, without_rows
+from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, ship, with_row, without_rows
 from terrascope.llm.textvec import Words, mix, sequence_hash, text_slices
 
 #: Number words and units.
@@ -59,7 +59,6 @@ _INNER[0x80:] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 _NUMBER, _UNIT, _NAME = (mix(np.array([i], dtype=np.uint64))[0] for i in (1001, 1002, 1003))
-_BITMAP = 1 << 23
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -154,17 +153,6 @@ def benchmark_windows(items: DataFrame, window: int, min_literals: int, min_word
     return one.dropDuplicates().mapInArrow(run, "item_id long, at int, total int, n int, h long, slots array<long>")
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of all window hashes, gathered as at most ``_BITMAP / 64`` words."""
-    bit = F.shiftrightunsigned("h", 64 - 23)
-    word = windows.select(bit.alias("b")).distinct().groupBy(F.shiftright("b", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("x"))
-    bits = np.zeros(_BITMAP // 64, dtype=np.uint64)
-    for r in word.collect():
-        bits[r.w] = np.uint64(r.x & 0xFFFFFFFFFFFFFFFF)
-    return bits
-
-
 def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             item_column: str = "item_id", item_text_column: str = "text", window: int = 8, min_literals: int = 5,
             min_words: int = 4, min_cover: float = 0.5, min_run: int = 6, min_consistent: float = 0.8) -> DataFrame:
@@ -173,7 +161,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     ship(docs.sparkSession)
     asked = keep_table(benchmark_windows(items, window, min_literals, min_words, item_column, item_text_column), "windows")
     lengths = sorted(r.n for r in asked.select("n").distinct().collect())  # at most window - min_words + 1
-    bits = _bitmap(asked)
+    bits = hash_bitmap(asked, "h")
 
     def run(batches):
         for batch in batches:
@@ -185,8 +173,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
                         continue
                     h, ok = _windows(canon, slot, n, min_literals)
                     ok &= first[:len(h)] == first[n - 1:n - 1 + len(h)]
-                    bit = (h >> np.uint64(64 - 23)).astype(np.int64)
-                    ok &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                    ok &= in_bitmap(bits, h)
                     hit = np.flatnonzero(ok)
                     if len(hit):
                         values = [literal[i:i + n][slot[i:i + n]].view(np.int64) for i in hit]

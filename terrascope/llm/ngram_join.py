@@ -15,10 +15,13 @@ link when ``100 * intersection >= percent * union``.  No link is lost:
    n-grams of its own.  Verified links give first groups.
 5. Only tiles that still hold several groups are searched for pairs across
    groups.  A tile is cut into blocks of about ``block`` entities and each pair
-   of blocks is one piece of work; positions in the prefix, sizes and hashed
-   bitmap signatures bound the overlap of a pair from above, and pairs whose
-   bound is too low are never emitted.
-6. Pairs left are verified by intersecting their sorted arrays.
+   of blocks is one piece of work.  A pair is left to the tile of its first
+   common prefix n-gram; each entity carries its first ``_EARLY`` shared n-grams
+   to tell (a pair that they do not settle may be reported again, never lost).
+6. Positions in the prefix, sizes and the bit counts of hashed bitmap signatures
+   bound the overlap of a pair from above; pairs whose bound is too low go no
+   further.  The sets of the others are computed again from the texts (a bitmap
+   of their rows picks them in one pass) and their sorted arrays intersected.
 
 Links between entities of one group need no search, because only the groups
 (connected components) are returned.
@@ -38,11 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, keep_table, with_row, without_rows
+from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, with_row, without_rows
 from terrascope.llm.components import components
 from terrascope.llm.textvec import Words, text_slices
 
-_BITS = 1024  # of a bitmap signature
+_BITS = 2048  # of a bitmap signature
+_EARLY = 16
 _SIGNED = f"{ROW} long, id long, entity long, n long, prefix array<long>, bitmap binary"
 
 
@@ -115,8 +119,8 @@ def hot_ngrams(rows: DataFrame, k: int, percent: int, least: int = 64, max_hot:
         bound = r.low
     if bound is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counts.where(F.col("c") >= bound).toPandas()
-    g, c = got["g"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
+    got = counts.where(F.col("c") >= bound).toArrow()
+    g, c = got["g"].to_numpy().view(np.uint64), got["c"].to_numpy()
     order = np.argsort(g)
     return g[order], c[order]
 
@@ -126,8 +130,56 @@ def _possible(na, nb, apart, percent: int):
     return apart * (100 + percent) <= (na + nb) * (100 - percent)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link, by intersecting their sets."""
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """N-grams by which two sets differ at least, from their bitmaps (rows of words)."""
+    apart = np.zeros(len(x), dtype=np.int64)
+    for j in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, j] ^ y[:, j])
+    return apart
+
+
+def _rows_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose bitmaps leave a link possible; ``bitmaps``:
+    (entity, n, bitmap)."""
+    one = pairs.join(bitmaps.select(F.col("entity").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "a")
+    two = one.join(bitmaps.select(F.col("entity").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                ok = _possible(na, nb, _apart(_rows_of(batch.column(4)), _rows_of(batch.column(5))), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return two.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that link, by intersecting their sets; ``reps``:
+    (entity, row), a row of each entity."""
+    wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct()
+    wanted = keep_table(wanted.join(reps, "entity"), "wanted")
+    bits = hash_bitmap(wanted.select(F.xxhash64("row").alias("h")), "h")
+
+    def sets_of(batches):
+        for batch in batches:
+            chosen = np.flatnonzero(in_bitmap(bits, batch.column(1).to_numpy().view(np.uint64)))
+            if not len(chosen):
+                continue
+            part = batch.take(pa.array(chosen))
+            for a, b, data, offs in text_slices(part.column(2)):
+                w = Words(data, offs)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).slice(a, b - a),
+                     pa.array([w.shingles(d, k).tobytes() for d in range(b - a)], pa.binary())], names=["row", "s"])
+
+    found = rows.select(ROW, F.xxhash64(ROW).alias("h"), "text").mapInArrow(sets_of, "row long, s binary")
+    sets = keep_table(found.join(wanted, "row").select("entity", "s"), "sets")
+    # the pairs' first members are many, the second may be one leader of many
     one = pairs.join(sets.select(F.col("entity").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("entity").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -140,37 +192,31 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_()))
 
     return two.mapInArrow(run, "a long, b long")
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(entity, s)``: sorted n-gram arrays of the wanted entities (``entity``,
-    ``row``: a document of each)."""
-    chosen = rows.select(ROW, "text").join(wanted.select(F.col("row").alias(ROW), "entity"), ROW).select("entity", "text")
-
-    def run(batches):
-        for batch in batches:
-            for a, b, data, offs in text_slices(batch.column(1)):
-                w = Words(data, offs)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.array([w.shingles(d, k).tobytes() for d in range(b - a)], pa.binary())], names=["entity", "s"])
-
-    return keep_table(chosen.mapInArrow(run, "entity long, s binary"), "sets")
-
-
 def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 21) -> DataFrame:
     """Pairs across groups that the bounds leave, of the rows of each piece of
-    work ``g``: (g, entity, n, pos, part, home, side, bitmap); ``side`` 0 and 1
-    are two blocks to be compared with each other, 2 is one block."""
+    work: (piece, entity, n, pos, part, home, side, bitmap, early); ``side`` 0 and
+    1 are two blocks to be compared with each other, 2 is one block; ``early``:
+    the entity's first shared n-grams with their positions."""
     def pairs_of(t: pa.Table):
-        cols = [t.column(c).to_numpy() for c in ("g", "entity", "n", "pos", "part", "home", "side")]
-        g, entity, n, pos, part, home, side = cols
-        bits = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(g), -1)
-        m = len(g)
-        end = np.searchsorted(g, g, side="right")
+        piece, entity, n, pos, part, home, side = (t.column(i).to_numpy() for i in range(7))
+        bits = _rows_of(t.column(7))
+        m = len(piece)
+        early = np.zeros((m, _EARLY), dtype=np.int64)
+        early_at = np.full((m, _EARLY), np.iinfo(np.int32).max, dtype=np.int64)
+        lists = t.column(8).combine_chunks()
+        count = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(m), count)
+        slot = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        values = lists.flatten()
+        early[row, slot] = values.field("g").to_numpy()
+        early_at[row, slot] = values.field("pos").to_numpy()
+        end = np.searchsorted(piece, piece, side="right")
         follow = end - np.arange(m) - 1
         edge = np.concatenate(([0], np.cumsum(follow)))
         found = []
@@ -185,13 +231,16 @@ def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 21) -> DataF
             ok = ((100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                   & _possible(n[x], n[y], pos[x] + pos[y] + abs((n[x] - pos[x]) - (n[y] - pos[y])), percent))
             x, y = x[ok], y[ok]
-            apart = np.zeros(len(x), dtype=np.int64)
-            for j in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[x, j] ^ bits[y, j])
-            ok = _possible(n[x], n[y], apart, percent)
-            if ok.any():
-                p, q = entity[x[ok]], entity[y[ok]]
-                found.append(np.unique(np.stack((np.minimum(p, q), np.maximum(p, q))), axis=1))
+            ok = _possible(n[x], n[y], _apart(bits[x], bits[y]), percent)
+            x, y = x[ok], y[ok]
+            for c in range(0, len(x), 20_000):
+                p, q = x[c:c + 20_000], y[c:c + 20_000]
+                sooner = ((early[p][:, :, None] == early[q][:, None, :])
+                          & (early_at[p] < pos[p, None])[:, :, None] & (early_at[q] < pos[q, None])[:, None, :])
+                first = ~sooner.any(axis=(1, 2))
+                p, q = entity[p[first]], entity[q[first]]
+                if len(p):
+                    found.append(np.stack((np.minimum(p, q), np.maximum(p, q))))
         if found:
             p = np.unique(np.concatenate(found, axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
@@ -199,23 +248,26 @@ def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 21) -> DataF
     def run(batches):
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            g = t.column("g").to_numpy()
-            last = int(np.searchsorted(g, g[-1])) if len(g) else 0
+            piece = t.column(0).to_numpy()
+            last = int(np.searchsorted(piece, piece[-1]))
             held = t.slice(last)  # the last piece may go on
-            if last and (out := pairs_of(t.slice(0, last))) is not None:
+            if last and (out := pairs_of(t.slice(0, last).combine_chunks())) is not None:
                 yield out
-        if held is not None and held.num_rows and (out := pairs_of(held)) is not None:
+        if held is not None and (out := pairs_of(held.combine_chunks())) is not None:
             yield out
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(n, "g").sortWithinPartitions("g", "entity")
-    return dealt.select("g", "entity", "n", "pos", "part", "home", "side", "bitmap").mapInArrow(run, "a long, b long")
+    dealt = members.repartition(n, "piece").sortWithinPartitions("piece", "entity")
+    return dealt.select("piece", "entity", "n", "pos", "part", "home", "side", "bitmap", "early").mapInArrow(
+        run, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
-                  block: int = 4096) -> DataFrame:
+                  block: int = 2048) -> DataFrame:
     """``(__row, id, n_shingles, component_id, first)`` of every row: the smallest
     id reachable by links, and whether the row is the one to keep of its group
     (smallest id, then first row; a row without n-grams is its own group)."""
@@ -223,62 +275,53 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str
     hot, rank = hot_ngrams(rows, k, percent)
     signed = keep_table(signatures(rows, k, percent, hot, rank), "signatures")
     rep = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col(ROW).alias("row"))
-    entities = keep_table(signed.where("entity is not null").groupBy("entity").agg(
-        F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("bitmap").alias("bitmap")), "entities")
+    entities = keep_table(signed.where("entity is not null").groupBy("entity").agg(F.min(rep).alias("rep")), "entities")
+    reps = entities.select("entity", F.col("rep.row").alias("row"))
+    # the one row of each entity that stands for it
+    chosen = signed.join(reps.select(F.col("row").alias(ROW)), ROW, "left_semi")
 
-    entries = entities.select("entity", "n", F.posexplode("prefix").alias("pos", "g"))
+    entries = chosen.select("entity", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "g"))
     shared = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    entries = entries.join(shared, "g")
+    entries = keep_table(entries.join(shared, "g"), "entries")
+    early = entries.groupBy("entity").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "g"))), 1, _EARLY).alias("early"))
     # sizes of linked sets differ by less than the ratio of two bands
     ratio = 1.001 * 100 / percent
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(ratio))).cast("int")
-    tiles = entries.withColumn("band", band).select(
-        "g", "entity", "n", F.col("pos").cast("long").alias("pos"),
-        F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")),
-                          F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
-    tiles = keep_table(tiles.select("g", "at.band", "at.home", "entity", "n", "pos"), "tiles")
-    tile = tiles.groupBy("g", "band").agg(F.count("*").alias("c"), F.count_if("home").alias("homes"),
-                                          F.min(F.struct("pos", "entity", "n")).alias("l")).where("c > 1 and homes > 0")
-    tile = tile.select("g", "band", "c", F.col("l.pos").alias("l_pos"), F.col("l.entity").alias("l_entity"), F.col("l.n").alias("l_n"))
+    tiles = entries.withColumn("band", band).select("g", "entity", "n", "pos", F.explode(F.array(
+        F.struct(F.col("band").alias("band"), F.lit(True).alias("home")),
+        F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
+    tiles = tiles.select(F.xxhash64("g", "at.band").alias("tile"), "at.home", "entity", "n", "pos")
+    tile = tiles.groupBy("tile").agg(F.count("*").alias("c"), F.count_if("home").alias("homes"),
+                                     F.min(F.struct("pos", "entity", "n")).alias("l")).where("c > 1 and homes > 0")
+    tile = tile.select("tile", F.col("l.pos").alias("l_pos"), F.col("l.entity").alias("l_entity"), F.col("l.n").alias("l_n"))
 
     # one leader per tile
-    led = tiles.join(tile, ["g", "band"]).where("entity != l_entity")
+    led = tiles.join(tile, "tile").where("entity != l_entity")
     led = led.where(_possible(F.col("n"), F.col("l_n"), F.col("pos") + F.col("l_pos") + F.abs(
         (F.col("n") - F.col("pos")) - (F.col("l_n") - F.col("l_pos"))), percent))
     stars = keep_table(led.select(F.col("entity").alias("a"), F.col("l_entity").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("entity")).union(stars.select(F.col("b").alias("entity"))).distinct()
-    sets = _sets_of(rows, wanted.join(entities.select("entity", F.col("rep.row").alias("row")), "entity"), k)
-    links = keep_table(verify(stars, sets, percent), "links")
+    likely = keep_table(bounded(stars, chosen.select("entity", "n", "bitmap"), percent), "likely")
+    links = keep_table(verify(likely, rows, reps, k, percent), "links")
     groups = keep_table(components(links, "a", "b"), "groups")
 
     # tiles that still hold several groups
-    part = F.coalesce("component", F.col("entity"))
     placed = tiles.join(groups, F.col("entity") == F.col("node"), "left").select(
-        "g", "band", "home", "entity", "n", "pos", part.alias("part"))
-    placed = keep_table(placed, "placed")
-    split = (placed.groupBy("g", "band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c"),
-                                             F.count_if("home").alias("homes"))
-             .where("p != q and homes > 0").select("g", "band", "c"))
-    left = placed.join(split, ["g", "band"])
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    mine = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("mine", mine)
+        "tile", "home", "entity", "n", "pos", F.coalesce("component", F.col("entity")).alias("part"))
+    split = (placed.groupBy("tile").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c"), F.count_if("home").alias("homes"))
+        .where("p != q and homes > 0").select("tile", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
+    left = placed.join(split, "tile").withColumn("mine", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    work = left.select(F.xxhash64("g", "band", low, high).alias("g"), "entity", "n", "pos", "part", "home", side.alias("side"))
-    work = work.join(entities.select("entity", "bitmap"), "entity")
-    crossing = cross_pairs(work, percent).distinct()
+    work = left.select(F.xxhash64("tile", low, high).alias("piece"), "entity", "n", "pos", "part", "home", side.alias("side"))
+    work = work.join(chosen.select("entity", "bitmap").join(early, "entity"), "entity")
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = keep_table(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
-    wanted = crossing.select(F.col("a").alias("entity")).union(crossing.select(F.col("b").alias("entity"))).distinct()
-    more = _sets_of(rows, wanted.join(sets.select("entity"), "entity", "left_anti").join(
-        entities.select("entity", F.col("rep.row").alias("row")), "entity"), k)
-    links = links.union(verify(crossing, sets.union(more), percent))
+    crossing = keep_table(cross_pairs(work, percent).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
+    links = links.union(verify(crossing, rows, reps, k, percent))
     groups = components(links, "a", "b")
 
-    named = entities.select("entity", "rep").join(groups, F.col("entity") == F.col("node"), "left").select(
+    named = entities.join(groups, F.col("entity") == F.col("node"), "left").select(
         "entity", "rep", F.coalesce("component", "entity").alias("component"))
     named = keep_table(named, "named")
     chiefs = named.groupBy("component").agg(F.min("rep").alias("chief"))
