@@ -20,3 +20,8 @@ def cached_model(spark, sf_dir: str, name: str, build: Callable[[], object]):
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]
+
+
+def clear() -> None:
+    """Forget every model (after a folder was rewritten, or to time a fit)."""
+    _MODELS.clear()

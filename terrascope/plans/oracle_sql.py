@@ -183,7 +183,25 @@ FROM g
 
 PRED_COLS6 = FEAT_DOUBLES + ["Temperature_Anomaly"]
 
+# Simple regression of the value on last year's value, fitted on the training part.
+CLOSED = f"""
+SELECT s.dt, s.is_train, s.LandAverageTemperature, c.i + c.k * s.LandTemp_Lag12 AS predicted
+FROM ({SPLIT}) s, (SELECT regr_slope(LandAverageTemperature, LandTemp_Lag12) AS k,
+                          regr_intercept(LandAverageTemperature, LandTemp_Lag12) AS i FROM ({SPLIT}) t WHERE is_train) c
+"""
+
+# The same per contiguous fold of the training part: fit on the others, R^2 on the fold.
+CLOSED_CV = f"""
+WITH t AS (SELECT LandAverageTemperature AS y, LandTemp_Lag12 AS x,
+                  CAST(ntile(5) OVER (ORDER BY Year, Month, dt) - 1 AS INTEGER) AS part FROM ({SPLIT}) s WHERE is_train),
+c AS (SELECT f.part AS fold, regr_slope(t.y, t.x) AS k, regr_intercept(t.y, t.x) AS i
+      FROM (SELECT DISTINCT part FROM t) f JOIN t ON t.part <> f.part GROUP BY f.part)
+SELECT c.fold, 1.0 - avg((y - i - k * x) * (y - i - k * x)) / var_pop(y) AS r2 FROM c JOIN t ON t.part = c.fold GROUP BY c.fold
+"""
+
 SQL = {
+    "linear_closed_form": rnd(CLOSED, ["LandAverageTemperature", "predicted"]),
+    "cv_closed_form": rnd(CLOSED_CV, ["r2"]),
     "scan_global": rnd(F2, ["LandAverageTemperature"]),
     "scan_country": rnd(f"SELECT Country, dt, AverageTemperature FROM ({F1M}) x", ["AverageTemperature"]),
     "scan_city": rnd(F1, ["AverageTemperature"]),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from terrascope.operators.raster import ellipse_kernel, gaussian_weights
 from terrascope.plans.oracle_sql import rnd
 
 
@@ -71,7 +70,13 @@ FROM ({F3}) t JOIN ({F3}) s
 GROUP BY t.image_id, t.y, t.x
 """
 
-_K = ", ".join(f"({dy}, {dx})" for dy, dx in ellipse_kernel(5))
+# The 5 x 5 elliptical structuring element, by rows.
+_ELLIPSE = ("..x..",
+            "xxxxx",
+            "xxxxx",
+            "xxxxx",
+            "..x..")
+_K = ", ".join(f"({i - 2}, {j - 2})" for i, row in enumerate(_ELLIPSE) for j, c in enumerate(row) if c == "x")
 
 
 def _morph(src: str, op: str) -> str:
@@ -85,8 +90,9 @@ GROUP BY t.image_id, t.y, t.x, t.height, t.width
 
 CLOSE = f"SELECT image_id, y, x, label FROM ({_morph(_morph(TRUTH, 'max'), 'min')}) c"
 
-_G = gaussian_weights(0.5, 1)
-_GK = ", ".join(f"({dy}, {dx}, {_G[dy + 1] * _G[dx + 1]!r})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+# Gaussian of sigma 0.5 at offsets -1, 0, 1: exp(-2), 1, exp(-2), divided by their sum.
+_W = {d: f"({'1.0' if d == 0 else 'exp(-2.0)'} / (1.0 + 2.0 * exp(-2.0)))" for d in (-1, 0, 1)}
+_GK = ", ".join(f"({dy}, {dx}, {_W[dy]} * {_W[dx]})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 
 
 def _refl(c: str, n: str) -> str:

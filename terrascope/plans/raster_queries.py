@@ -102,7 +102,7 @@ def q_image_ext_filter(spark, sf):
 
 
 def _names(spark, sf):
-    return FX.image_names(FX.pixel_grids(spark, sf))
+    return FX.image_names(FX.read_table(spark, sf, "embeddings", "vec_id").withColumnRenamed("vec_id", "image_id"))
 
 
 def q_pair_by_id(spark, sf):
