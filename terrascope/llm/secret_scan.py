@@ -22,6 +22,7 @@ results; other columns are ignored by ``scan`` and kept by ``mask``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from math import log10
 
 import pyarrow as pa
@@ -37,7 +38,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # the same spans as runs [0-9a-f]+ of 32 or
 _CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|auth[_-]?key"""
     r"""|(?:api|access|private|secret|signing|encryption)[_\x20-]?key)["']?"""
-    r"""\x20*(?:[:=]+>?|\x20is\x20|\x20)\x20*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>]+))""", re.I | re.A)
+    r"""(?:\x20*+[:=]+>?|\x20++is\x20|\x20)\x20*+(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>]+))""", re.I | re.A)
 #: Words without which no pattern with letters in either case can match.
 _NEEDS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "key")
 
@@ -174,6 +175,9 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
     if not any(w in low for w in _NEEDS):
         return []
     out, after = [], 0
+    starts, reach = [b[0] for b in base], []  # reach: the farthest end of the base spans up to each
+    for _, _, e in base:
+        reach.append(max(e, reach[-1] if reach else 0))
     for m in _CONTEXT.finditer(text):
         k = m.lastindex
         value = m[k]
@@ -183,7 +187,8 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
         end = start + len(value)
         if len(value) < 8 or " " in value or _WORDS.fullmatch(value) or start < after:
             continue
-        if any(s <= start and end <= e for s, _, e in base):
+        before = bisect_right(starts, start)
+        if before and reach[before - 1] >= end:
             continue
         cost = guess_cost(value, words)
         if cost >= threshold:

@@ -95,6 +95,14 @@ def test_base_spans_equal_plain_patterns():
         assert ss.base_spans(t or "") == plain_spans(t or "")
 
 
+def test_long_runs_stay_linear():
+    import time
+    began = time.time()
+    for t in ("token" + " " * 200_000, "password=" * 20_000, "secret: 'x" * 20_000, "key" + "\x20:" * 50_000):
+        ss.guess_spans(t, ss.base_spans(t), 10.0, ss._COMMON)
+    assert time.time() - began < 20
+
+
 def test_guess_cost():
     strong, weak = ["xK9$mQ2!vL7p", "tR5%^nQ8wZ!k", "9f8e7d6c5b4aZZ1!"], [
         "password", "P@ssw0rd1", "qwertyuiop", "aaaaaaaaaaaa", "abcabcabcabc", "19870412", "monkey1987", "123456789", "hunter2hunter2"]
