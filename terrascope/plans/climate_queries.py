@@ -20,7 +20,7 @@ from terrascope.plans import climate_model as M
 from terrascope.plans import reports as R
 from terrascope.plans.climate_features import build_features, feature_projection
 from terrascope.plans.common import rounded
-from terrascope.session import scratch_path
+from terrascope.session import materialize, scratch_path
 from terrascope.sources import fixtures as FX
 from terrascope.sources import climate_csv as CSV
 
@@ -37,13 +37,13 @@ def _features(spark, sf):
 
 
 def _predictions(spark, sf):
-    """Linear model (trained once per context and folder) and its
-    predictions table for the reports."""
+    """Linear model (trained once per context and folder) and its predictions
+    table, written once for the several reads of a report."""
     from terrascope.plans.model_cache import cached_model
     features = _features(spark, sf)
     model = cached_model(spark, sf, "linear_regression",
                          lambda: M.linear_predictions(spark, features)[0])
-    return model, M.predictions_dataset(model, features.cache()).cache()
+    return model, materialize(M.predictions_dataset(model, features), "predictions")
 
 
 # --- sources / sinks -------------------------------------------------------
@@ -293,8 +293,10 @@ def q_linear_regression(spark, sf):
 
 
 def q_predictions_dataset(spark, sf):
-    _, pred = _predictions(spark, sf)
-    return rounded(pred)
+    from terrascope.plans.model_cache import cached_model
+    features = _features(spark, sf)
+    model = cached_model(spark, sf, "linear_regression", lambda: M.linear_predictions(spark, features)[0])
+    return rounded(M.predictions_dataset(model, features))
 
 
 def q_regression_metrics(spark, sf):

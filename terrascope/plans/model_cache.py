@@ -15,8 +15,12 @@ _MODELS: dict[tuple, object] = {}
 
 
 def cached_model(spark, sf_dir: str, name: str, build: Callable[[], object]):
-    """The model ``name`` for this context and folder, built once by ``build``."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    """The model ``name`` for this context and folder, built once by ``build``;
+    rewritten tables (other sizes or times in the folder's listing) build anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in listed))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), state, name)
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]

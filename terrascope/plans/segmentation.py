@@ -77,11 +77,12 @@ def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
     requires every image to have a mask and vice versa."""
     if strict:
         require_pairs(images.select("image_id").distinct(), masks.select("image_id").distinct())
-    # The training table feeds one pass per tree level: write it to the shared
-    # checkpoint folder (lineage cut) so a lost executor re-reads it instead
-    # of re-running the resize / join / sample plan.
-    data = materialize(stratified_split(training_pixels(images, masks, size, max_samples, seed),
-                                        test_fraction=test_fraction, seed=seed), "segmenter_training")
+    # The samples (at most max_samples per image) are written before the split,
+    # which reads them twice, and after it, as training takes one pass per tree
+    # level: a lost executor re-reads files instead of re-running the resize /
+    # join / sample plan.
+    samples = materialize(training_pixels(images, masks, size, max_samples, seed), "segmenter_samples")
+    data = materialize(stratified_split(samples, test_fraction=test_fraction, seed=seed), "segmenter_training")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="features"),
                             classifier(**rf_params)])
     model = pipe.fit(data.filter("is_train"))
