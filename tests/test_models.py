@@ -53,6 +53,18 @@ def test_metrics_cv_and_best_model(spark):
     assert rows["linear_regression"].cv_r2_std is not None
 
 
+def test_tree_models_beat_the_mean_on_held_out_rows(spark):
+    """The keys' own models (the original's settings): a floor on the held-out
+    part, which a model that ignores its features cannot reach."""
+    from terrascope.plans.climate_queries import q_gbt_regression, q_rf_regression
+    split = S.time_split(_features(spark)).select("dt", "is_train")
+    for query in (q_rf_regression, q_gbt_regression):
+        pred = query(spark, SF_SMALL).join(split, "dt")
+        r2 = {r.is_train: r.r2 for r in pred.groupBy("is_train").agg(
+            (1 - F.avg((F.col(S.TARGET) - F.col("prediction")) ** 2) / F.var_pop(S.TARGET)).alias("r2")).collect()}
+        assert r2[True] > 0.8 and r2[False] > 0.3, (query.__name__, r2)
+
+
 def test_best_model_tie_takes_first(spark):
     m = spark.createDataFrame([("a", 0, 0.9), ("b", 1, 0.9), ("c", 2, 0.5)], "model string, train_order int, test_r2 double")
     assert M.best_model(m).first().model == "a"

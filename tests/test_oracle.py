@@ -6,12 +6,12 @@ import pytest
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare, duck
 
-from __spark_entry__ import oracle_sql, queries  # noqa: E402
+from terrascope.plans.registry import all_oracle_sql, all_queries
 
-Q = queries()
-SQL = oracle_sql()
+Q = all_queries()
+SQL = all_oracle_sql()
 # Heavy multi-fit keys are covered by test_models.py with fewer fits.
-SLOW = {"metrics_table", "cv_scores"}
+SLOW = {"metrics_table", "cv_scores", "best_model"}
 
 
 @pytest.fixture(scope="module")
