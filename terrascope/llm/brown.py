@@ -199,7 +199,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", classes: int = 64,
-          clustered_words: int = 1023, suffix_buckets: int = 512, sweeps: int = 8, table_words: int = 1 << 18) -> Model:
+          clustered_words: int = 767, suffix_buckets: int = 256, sweeps: int = 8, table_words: int = 1 << 18) -> Model:
     """Fit a model on all texts of the rows of ``docs`` where ``usable``."""
     rows = with_row(docs.where(usable), id_column, text_column)
     words = keep_table(word_counts(rows, suffix_buckets), "words")
@@ -217,11 +217,11 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
         if held > table_words:
             break
         least = r.low
-    frequent = real.where(F.col("n") >= least).toPandas()  # at most table_words rows
-    h = frequent["h"].to_numpy(np.int64).view(np.uint64)
+    frequent = real.where(F.col("n") >= least).toArrow()  # at most table_words rows
+    h = frequent["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    table, count = h[order], frequent["n"].to_numpy(np.int64)[order]
-    bucket_of = frequent["bucket"].to_numpy(np.int64)[order]
+    table, count = h[order], frequent["n"].to_numpy()[order]
+    bucket_of = frequent["bucket"].to_numpy().astype(np.int64)[order]
     rank = np.lexsort((table, -count))
     first_bucket = 1 + clustered_words
     own = rank[:clustered_words]
@@ -229,9 +229,10 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
     unit = first_bucket + bucket_of
     unit[own] = 1 + np.arange(len(own))
     units = first_bucket + suffix_buckets
-    got = unit_bigrams(rows, table, unit, first_bucket, suffix_buckets).toPandas()  # at most units**2 rows
+    got = unit_bigrams(rows, table, unit, first_bucket, suffix_buckets).toArrow()  # at most units**2 rows
     pairs = np.zeros(units * units)
-    pairs[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
+    del got
     pairs = pairs.reshape(units, units)
     cls = exchange(pairs, classes, sweeps)
 
