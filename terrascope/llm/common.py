@@ -39,10 +39,11 @@ def ship(spark: SparkSession) -> None:
         for source in sorted((root / "terrascope").rglob("*.py")):
             z.write(source, source.relative_to(root))
     uri = scratch_path(spark, f"terrascope-{uuid.uuid4().hex}.zip")
-    system, path = folder_fs(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as f:
-        f.write(packed.getvalue())
+    # through Hadoop's file systems, as Spark itself reads and writes that folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     spark.sparkContext.addPyFile(uri)
     _shipped.add(app)
 
@@ -126,25 +127,22 @@ def hashed_share(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < F.lit(1 << 20) * share
 
 
-BITMAP_BITS = 23
-
-
-def hash_bitmap(hashes: DataFrame, column: str):
-    """A bitmap (numpy, 1 MB whatever the input) with a bit for the top
-    ``BITMAP_BITS`` bits of every 64-bit hash; Spark sets the bits, at most
-    131,072 words of them reach the driver."""
+def hash_bitmap(hashes: DataFrame, column: str, bits: int = 23):
+    """A bitmap of ``2**bits`` bits (numpy; its size does not follow the input)
+    with a bit for the top bits of every 64-bit hash; Spark sets the bits, and at
+    most ``2**bits / 64`` words reach the driver."""
     import numpy as np
-    bit = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    bit = F.shiftrightunsigned(column, 64 - bits)
     word = hashes.select(bit.alias("b")).distinct().groupBy(F.shiftright("b", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("x"))
-    bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    for r in word.collect():
-        bits[r.w] = np.uint64(r.x & 0xFFFFFFFFFFFFFFFF)
-    return bits
+    got = word.toArrow()
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words[got["w"].to_numpy()] = got["x"].to_numpy().view(np.uint64)
+    return words
 
 
-def in_bitmap(bits, hashes):
+def in_bitmap(words, hashes):
     """True where a hash (unsigned) may be among those of the bitmap."""
     import numpy as np
-    at = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    at = (hashes >> np.uint64(64 - 6 - (len(words).bit_length() - 1))).astype(np.int64)
+    return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

@@ -266,6 +266,24 @@ def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 21) -> DataF
         run, "a long, b long")
 
 
+def _entries(chosen: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(entity, n, pos, g)`` of the prefix n-grams that a bitmap lets pass."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            g = lists.flatten().to_numpy()
+            count = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(count)), count)
+            pos = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.flatnonzero(in_bitmap(bits, g.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[at])), batch.column(1).take(pa.array(row[at])),
+                 pa.array(pos[at].astype(np.int32)), pa.array(g[at])], names=["entity", "n", "pos", "g"])
+
+    return chosen.select("entity", F.col("n").cast("int").alias("n"), "prefix").mapInArrow(
+        run, "entity long, n int, pos int, g long")
+
+
 def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
                   block: int = 2048) -> DataFrame:
     """``(__row, id, n_shingles, component_id, first)`` of every row: the smallest
@@ -280,9 +298,10 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str
     # the one row of each entity that stands for it
     chosen = signed.join(reps.select(F.col("row").alias(ROW)), ROW, "left_semi")
 
-    entries = chosen.select("entity", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "g"))
-    shared = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    entries = keep_table(entries.join(shared, "g"), "entries")
+    # n-grams that begin several rows; copies count too, tiles of one entity go later
+    shared = signed.select(F.explode("prefix").alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    shared = keep_table(shared.where("c > 1").select("g"), "shared")
+    entries = keep_table(_entries(chosen, hash_bitmap(shared, "g", 25)).join(shared, "g"), "entries")
     early = entries.groupBy("entity").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "g"))), 1, _EARLY).alias("early"))
     # sizes of linked sets differ by less than the ratio of two bands
     ratio = 1.001 * 100 / percent
