@@ -179,7 +179,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             d = np.arange(classes)
             gain = gain_r.sum(axis=1) - gain_r[d, d] + gain_l.sum(axis=0) - gain_l[d, d]
             gain += f(n[d, d] + r + l + own) - fn[d, d]
-            out, inn = n.sum(axis=1), n.sum(axis=0)
+            # wherever the unit goes, each class c is before it l[c] times and after it r[c] times
+            out, inn = n.sum(axis=1) + l, n.sum(axis=0) + r
             gain -= f(out + r.sum() + own) - f(out) + f(inn + l.sum() + own) - f(inn)
             gain[0] = -np.inf
             b = a if gain[a] >= gain.max() - 1e-9 else int(gain.argmax())

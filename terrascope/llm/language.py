@@ -21,7 +21,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,7 +35,6 @@ from terrascope.llm.features import dense, mean_scores, sparse_rows
 BITS = 12
 ORDERS = (2, 3)
 SCALE = 20.0
-_LETTER = re.compile(r"[^\W\d_]")
 _OUT = f"{ROW} long, id long, lang_pred string, score double, second string, ambiguous boolean"
 
 
@@ -143,7 +141,7 @@ def predict(docs: DataFrame, model: Model, min_gap: float = 0.2, id_column: str
         names = model.languages
         for batch in batches:
             n = batch.num_rows
-            letters = np.array([bool(_LETTER.search(t)) for a in range(0, n, 1000)
+            letters = np.array([any(map(str.isalpha, t)) for a in range(0, n, 1000)
                                 for t in strings(batch.column(2).slice(a, 1000))], dtype=bool)
             pred, second = np.full(n, "und", dtype=object), np.full(n, None, dtype=object)
             score, near = np.zeros(n), np.zeros(n, dtype=bool)

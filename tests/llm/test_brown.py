@@ -84,6 +84,24 @@ def test_exchange_separates_alternating_classes():
     assert cls[0] == 0 and len(set(cls[1:11])) == 1 and len(set(cls[11:])) == 1 and cls[1] != cls[11]
 
 
+def test_exchange_ends_where_no_single_move_helps():
+    rng = np.random.default_rng(3)
+    pairs = rng.poisson(2, (30, 30)) * rng.random((30, 30)).round(1)
+
+    def likelihood(cls):
+        one = np.eye(5)[cls]
+        n = one.T @ pairs @ one
+        return sum(s * (x * np.log(np.maximum(x, 1e-300))).sum() for s, x in ((1, n), (-1, n.sum(0)), (-1, n.sum(1))))
+    sweeps = [likelihood(brown.exchange(pairs, 5, k)) for k in range(5)]
+    assert sweeps == sorted(sweeps)
+    cls = brown.exchange(pairs, 5, 100)
+    for u in range(1, 30):
+        for c in range(1, 5):
+            moved = cls.copy()
+            moved[u] = c
+            assert likelihood(moved) <= likelihood(cls) + 1e-6
+
+
 def test_classes_help_on_held_out_text(spark, tmpdir_run):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(("abcdefghij"[rng.integers(10)] + "x" if k % 2 else "klmnopqrst"[rng.integers(10)] + "y")
