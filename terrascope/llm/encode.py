@@ -68,7 +68,7 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to ids.  ``max_entries`` bounds the table; when full it is emptied."""
 
-    def __init__(self, path: str, max_entries: int = 1_500_000):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)

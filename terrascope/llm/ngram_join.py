@@ -130,11 +130,13 @@ def _possible(na, nb, apart, percent: int):
     return apart * (100 + percent) <= (na + nb) * (100 - percent)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """N-grams by which two sets differ at least, from their bitmaps (rows of words)."""
+def _apart(bits: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """N-grams by which sets differ at least, from their bitmaps (rows of words):
+    rows ``x`` of ``bits`` against rows ``y`` of ``other``, a word at a time, so
+    that no bitmap is copied per pair."""
     apart = np.zeros(len(x), dtype=np.int64)
-    for j in range(x.shape[1]):
-        apart += np.bitwise_count(x[:, j] ^ y[:, j])
+    for j in range(bits.shape[1]):
+        apart += np.bitwise_count(bits[:, j][x] ^ other[:, j][y])
     return apart
 
 
@@ -152,7 +154,8 @@ def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                ok = _possible(na, nb, _apart(_rows_of(batch.column(4)), _rows_of(batch.column(5))), percent)
+                at = np.arange(batch.num_rows)
+                ok = _possible(na, nb, _apart(_rows_of(batch.column(4)), at, _rows_of(batch.column(5)), at), percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return two.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
@@ -198,14 +201,14 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent:
     return two.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 21) -> DataFrame:
+def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 19) -> DataFrame:
     """Pairs across groups that the bounds leave, of the rows of each piece of
     work: (piece, entity, n, pos, part, home, side, bitmap, early); ``side`` 0 and
     1 are two blocks to be compared with each other, 2 is one block; ``early``:
     the entity's first shared n-grams with their positions."""
     def pairs_of(t: pa.Table):
         piece, entity, n, pos, part, home, side = (t.column(i).to_numpy() for i in range(7))
-        bits = _rows_of(t.column(7))
+        bits = np.asfortranarray(_rows_of(t.column(7)))
         m = len(piece)
         early = np.zeros((m, _EARLY), dtype=np.int64)
         early_at = np.full((m, _EARLY), np.iinfo(np.int32).max, dtype=np.int64)
@@ -231,7 +234,7 @@ def cross_pairs(members: DataFrame, percent: int, chunk: int = 1 << 21) -> DataF
             ok = ((100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                   & _possible(n[x], n[y], pos[x] + pos[y] + abs((n[x] - pos[x]) - (n[y] - pos[y])), percent))
             x, y = x[ok], y[ok]
-            ok = _possible(n[x], n[y], _apart(bits[x], bits[y]), percent)
+            ok = _possible(n[x], n[y], _apart(bits, x, bits, y), percent)
             x, y = x[ok], y[ok]
             for c in range(0, len(x), 20_000):
                 p, q = x[c:c + 20_000], y[c:c + 20_000]

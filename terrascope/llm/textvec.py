@@ -4,7 +4,7 @@ All operators of this subpackage that work on words share one definition: A-Z
 are lower-cased, words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text.  A batch
 is handled as one byte array: word boundaries come from comparing neighbouring
 bytes, 64-bit word hashes from differences of one running polynomial sum, so no
-Python code runs per word.  Batches are cut into slices of a few MB, which
+Python code runs per word.  Batches are cut into slices of about 1 MB, which
 bounds the memory of a task whatever the batch size; one document is never cut.
 
 Null texts read as empty.  Equal words always have equal hashes; two different
@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
