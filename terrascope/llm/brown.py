@@ -2,14 +2,17 @@
 
 ``p(w | previous) = p(class(w) | class(previous)) * p(w | class(w))``.
 
-* Units.  The ``clustered_words`` most frequent words are units of their own;
-  every other word belongs to one of ``suffix_buckets`` units by its last three
-  bytes, so unseen words have a class too.  The document end is a unit and a
-  class of its own and also stands before the first word.
-* Clustering.  Unit bigrams are counted over the whole training text by Spark.
-  Their number is bounded by the square of the number of units, so the exchange
-  algorithm runs on them in memory: each unit in turn moves to the class that
-  raises the likelihood of the class bigrams most, until a sweep moves nothing.
+* Units.  Each of the at most ``table_words`` most frequent words is a unit of
+  its own; a word beyond them belongs to one of ``suffix_buckets`` units by its
+  last three bytes, as unseen words do.  The document end is a unit and a class
+  of its own and also stands before the first word.
+* Clustering.  Spark counts the neighbours of every unit over the whole training
+  text.  The exchange algorithm first runs in memory on ``clustered_words`` words
+  and ``seed_groups`` suffix groups, for a start.  Then sweeps run as Spark jobs:
+  each unit's neighbours are summed by class (a sparse table), and it moves to
+  the class that raises the likelihood of the class bigrams most.  The driver
+  holds the class totals and one class per unit; a sweep that does not raise the
+  likelihood is taken back and ends the clustering.
 * Emission.  Exact counts of all training words.  Each seen word gives up an
   absolute discount (from the numbers of words seen once and twice); what the
   words of a class give up is the probability of an unseen word there.  The
@@ -122,26 +125,188 @@ def _lookup(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
-def unit_bigrams(rows: DataFrame, table: np.ndarray, table_unit: np.ndarray, first_bucket: int, buckets: int) -> DataFrame:
-    """``(pair, n)`` with pair = unit before * units + unit, over all texts."""
+def _merged(held: list):
+    return _sum_by(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+
+
+def _summed(parts):
+    """``(keys, sums)`` blocks of the ``(keys, values)`` in ``parts``, each key about once."""
+    held, size = [], 0
+    for keys, values in parts:
+        held.append(_sum_by(keys, values))
+        size += len(held[-1][0])
+        if size > 2 * _FLUSH:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size > _FLUSH:
+                yield held.pop()
+                size = 0
+    if held:
+        yield _merged(held)
+
+
+def _blocks(keys: np.ndarray, n: np.ndarray, names: list, split: int):
+    """Record batches of 100,000 rows: a key is ``first * split + second``."""
+    for a in range(0, len(keys), 100_000):
+        k = keys[a:a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k // split, pa.int32()), pa.array(k % split, pa.int32()),
+                                          pa.array(n[a:a + 100_000])], names=names)
+
+
+def unit_links(rows: DataFrame, table: np.ndarray, first_bucket: int, buckets: int) -> DataFrame:
+    """``(unit, link, n)``: how often each unit stands beside another, over all
+    texts; link = 2 * other unit, plus 1 where the other one follows.  Word
+    ``table[i]`` is unit 1 + i, the rest are their suffix units."""
     units = first_bucket + buckets
 
     def run(batches):
-        seen = np.zeros(units * units, dtype=np.int64)
+        def parts():
+            for batch in batches:
+                for _, _, data, offs in text_slices(batch.column(0)):
+                    w = Words(data, offs)
+                    at = _lookup(table, w.hash)
+                    unit = np.where(at >= 0, 1 + at, first_bucket + suffix_bucket(w, buckets))
+                    unit = np.insert(unit, w.bound[1:], 0)
+                    before = np.concatenate(([0], unit[:-1]))
+                    yield before * units + unit, np.ones(len(unit), dtype=np.int64)
+        for pair, n in _summed(parts()):
+            u, v = pair // units, pair % units
+            yield from _blocks(u * (2 * units) + 2 * v + 1, n, ["unit", "link", "n"], 2 * units)
+            yield from _blocks(v * (2 * units) + 2 * u, n, ["unit", "link", "n"], 2 * units)
+
+    # rows of a unit lie together, so that later sums by unit shrink in the reading tasks
+    return (rows.select("text").mapInArrow(run, "unit int, link int, n long").repartition("unit")
+            .groupBy("unit", "link").agg(F.sum("n").alias("n")).sortWithinPartitions("unit"))
+
+
+def group_bigrams(links: DataFrame, group: np.ndarray, groups: int) -> np.ndarray:
+    """groups x groups bigram counts, ``group`` being that of every unit."""
+    def run(batches):
+        def parts():
+            for batch in batches:
+                unit, link, n = (c.to_numpy() for c in batch.columns)
+                k = np.flatnonzero(link & 1)
+                yield group[unit[k]].astype(np.int64) * groups + group[link[k] >> 1], n[k]
+        for key, n in _summed(parts()):
+            yield from _blocks(key, n, ["a", "b", "n"], groups)
+
+    got = links.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((groups, groups))
+    out[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(n: np.ndarray) -> float:
+    """Class-bigram log likelihood of class totals, without what no class changes."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(axis=1)).sum() - _xlogx(n.sum(axis=0)).sum())
+
+
+def gains(n: np.ndarray, cls: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Likelihood of every unit in every class, each unit taken out of its class
+    ``cls`` alone: ``n`` class totals, ``right`` and ``left`` (units x classes) the
+    neighbours of each unit without itself, ``own`` its bigrams with itself."""
+    at = np.arange(len(cls))
+    gain = np.zeros(right.shape)
+    for mine, others, totals in ((right, left, n), (left, right, n.T)):
+        k, c = np.nonzero(mine)  # empty cells add nothing
+        if not len(k):
+            continue
+        a, v, row = cls[k], mine[k, c], np.arange(len(k))
+        base = totals[:, c].T.copy()
+        base[row, a] -= v
+        same = np.flatnonzero(c == a)
+        base[same] -= others[k[same]]
+        base[same, a[same]] -= own[k[same]]
+        term = _xlogx(base + v[:, None]) - _xlogx(base)
+        term[row, c] = 0  # the diagonal follows below
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        gain[k[first]] += np.add.reduceat(term, first, axis=0)
+    r, l, o = right.sum(axis=1), left.sum(axis=1), own[:, None]
+    diagonal = np.repeat(np.diag(n)[None, :], len(cls), axis=0)
+    diagonal[at, cls] -= right[at, cls] + left[at, cls] + own
+    gain += _xlogx(diagonal + right + left + o) - _xlogx(diagonal)
+    for side, total in ((n.sum(axis=1), r), (n.sum(axis=0), l)):
+        rest = np.repeat(side[None, :], len(cls), axis=0)
+        rest[at, cls] -= total + own
+        gain -= _xlogx(rest + total[:, None] + o) - _xlogx(rest)
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def sweep(links: DataFrame, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes after one sweep over all units: Spark sums the neighbours of each
+    unit by class, and every task moves its units one small group after another,
+    keeping its own copy of the class totals ``n`` up to date."""
+    classes = len(n)
+    width = 2 * classes + 1
+    small = cls.astype(np.int16)
+
+    def by_class(batches):
+        def parts():
+            for batch in batches:
+                unit, link, c = (x.to_numpy() for x in batch.columns)
+                other, follows = link >> 1, link & 1
+                slot = np.where(other == unit, 2 * classes, follows * classes + small[other])
+                k = np.flatnonzero((other != unit) | (follows == 1))
+                yield unit[k].astype(np.int64) * width + slot[k], c[k]
+        for key, c in _summed(parts()):
+            yield from _blocks(key, c, ["unit", "slot", "n"], width)
+
+    def move(batches):
+        totals = n.copy()
         for batch in batches:
-            for _, _, data, offs in text_slices(batch.column(0)):
-                w = Words(data, offs)
-                at = _lookup(table, w.hash)
-                unit = np.where(at >= 0, table_unit[at] if len(table) else 0, first_bucket + suffix_bucket(w, buckets))
-                unit = np.insert(unit, w.bound[1:], 0)
-                before = np.concatenate(([0], unit[:-1]))
-                seen += np.bincount(before * units + unit, minlength=units * units)
-        pair = np.flatnonzero(seen)
-        for a in range(0, len(pair), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pair[a:a + 100_000]), pa.array(seen[pair[a:a + 100_000]])],
-                                             names=["pair", "n"])
-
-    return rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            unit = batch.column(0).to_numpy()
+            of = np.repeat(np.arange(len(unit)), np.diff(batch.column(1).offsets.to_numpy()))
+            x = batch.column(1).flatten()
+            counts = np.zeros((len(unit), width))
+            counts[of, x.field("slot").to_numpy()] = x.field("n").to_numpy()
+            to = small[unit].astype(np.int64)
+            for a in range(0, len(unit), 64):
+                part = np.arange(a, min(a + 64, len(unit)))
+                left, right, own = counts[part, :classes], counts[part, classes:-1], counts[part, -1]
+                gain = gains(totals, to[part], right, left, own)
+                stay = gain[np.arange(len(part)), to[part]]
+                best = gain.argmax(axis=1)
+                for j in np.flatnonzero((gain.max(axis=1) > stay + 1e-9) & (unit[part] > 0)):
+                    old, new = to[part[j]], best[j]
+                    for c, sign in ((old, -1), (new, 1)):
+                        totals[c, :] += sign * right[j]
+                        totals[:, c] += sign * left[j]
+                        totals[c, c] += sign * own[j]
+                    np.maximum(totals, 0, out=totals)  # units of one group may be each other's neighbours
+                    to[part[j]] = new
+            moved = np.flatnonzero(to != small[unit])
+            yield pa.RecordBatch.from_arrays([pa.array(unit[moved]), pa.array(to[moved], pa.int32())], names=["unit", "to"])
+
+    counted = links.mapInArrow(by_class, "unit int, slot int, n long").repartition("unit")
+    counted = counted.groupBy("unit", "slot").agg(F.sum("n").alias("n"))
+    got = (counted.groupBy("unit").agg(F.collect_list(F.struct("slot", "n")).alias("counts"))
+           .mapInArrow(move, "unit int, to int").toArrow())  # at most a row per unit
+    out = cls.copy()
+    out[got["unit"].to_numpy()] = got["to"].to_numpy()
+    return out
+
+
+def cluster(links: DataFrame, seed: np.ndarray, seeds: int, classes: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(class of every unit, class bigrams)``.  The seed groups (``seed`` of every
+    unit) are exchanged in memory for a start; then sweeps move every unit by its
+    own neighbours while the likelihood rises."""
+    cls = exchange(group_bigrams(links, seed, seeds), classes, sweeps)[seed]
+    n = group_bigrams(links, cls, classes)
+    for _ in range(sweeps):
+        to = sweep(links, cls, n)
+        if (to == cls).all():
+            break
+        now = group_bigrams(links, to, classes)
+        # tasks move units at the same time: a sweep that does not help is taken back
+        if likelihood(now) <= likelihood(n):
+            break
+        cls, n = to, now
+    return cls, n
 
 
 def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -200,7 +365,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", classes: int = 64,
-          clustered_words: int = 767, suffix_buckets: int = 256, sweeps: int = 8, table_words: int = 1 << 18) -> Model:
+          clustered_words: int = 767, suffix_buckets: int = 1 << 16, sweeps: int = 8, table_words: int = 1 << 18,
+          seed_groups: int = 256) -> Model:
     """Fit a model on all texts of the rows of ``docs`` where ``usable``."""
     rows = with_row(docs.where(usable), id_column, text_column)
     words = keep_table(word_counts(rows, suffix_buckets), "words")
@@ -224,35 +390,28 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
     table, count = h[order], frequent["n"].to_numpy()[order]
     bucket_of = frequent["bucket"].to_numpy().astype(np.int64)[order]
     rank = np.lexsort((table, -count))
-    first_bucket = 1 + clustered_words
+    first_bucket = 1 + len(table)
     own = rank[:clustered_words]
-    # a frequent word beyond the clustered ones shares its suffix unit
-    unit = first_bucket + bucket_of
-    unit[own] = 1 + np.arange(len(own))
-    units = first_bucket + suffix_buckets
-    got = unit_bigrams(rows, table, unit, first_bucket, suffix_buckets).toArrow()  # at most units**2 rows
-    pairs = np.zeros(units * units)
-    pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
-    del got
-    pairs = pairs.reshape(units, units)
-    cls = exchange(pairs, classes, sweeps)
-
-    one = np.zeros((units, classes))
-    one[np.arange(units), cls] = 1
-    n = one.T @ pairs @ one
-    class_total = pairs.sum(axis=0) @ one
+    # the start: frequent words alone, all others in groups by their suffix
+    groups = min(seed_groups, suffix_buckets)
+    seed = np.concatenate(([0], 1 + clustered_words + bucket_of % groups, 1 + clustered_words + np.arange(suffix_buckets) % groups))
+    seed[1 + own] = 1 + np.arange(len(own))
+    links = keep_table(unit_links(rows, table, first_bucket, suffix_buckets), "links")
+    cls, n = cluster(links, seed, 1 + clustered_words + groups, classes, sweeps)
+    class_total = n.sum(axis=0)
     successors = (n > 0).sum(axis=1, keepdims=True)
     prior = (class_total + 0.5) / (class_total.sum() + 0.5 * classes)
     weight = np.maximum(successors, 1)
     trans = (n + weight * prior) / (n.sum(axis=1, keepdims=True) + weight)
     bucket_class = cls[first_bucket:]
-    class_kinds = np.bincount(cls[unit], minlength=classes).astype(float)
+    table_class = cls[1:first_bucket]
+    class_kinds = np.bincount(table_class, minlength=classes).astype(float)
     rare = real.where(F.col("n") < least).groupBy("bucket").count().collect()  # a row per bucket
     for r in rare:
         class_kinds[bucket_class[r["bucket"]]] += r["count"]
     discount = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
-    top = [(int(table[i]), int(count[i]), int(cls[1 + k])) for k, i in enumerate(own)]
-    return Model(words, int(total), int(kinds), int(ends), int(least), discount, table, count, cls[unit], bucket_class,
+    top = [(int(table[i]), int(count[i]), int(table_class[i])) for i in own]
+    return Model(words, int(total), int(kinds), int(ends), int(least), discount, table, count, table_class, bucket_class,
                  np.log10(trans), class_total, class_kinds, top)
 
 

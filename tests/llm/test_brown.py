@@ -123,3 +123,34 @@ def test_edge_cases(spark, tmpdir_run):
     assert brown.score(empty, none).count() == 0
     unseen = brown.score(docs, none).collect()
     assert {r.n_known for r in unseen} == {0} and {r.base_score for r in unseen} == {0.0}
+
+
+def test_gains_equal_likelihood_of_each_move():
+    rng = np.random.default_rng(5)
+    pairs = rng.poisson(1, (20, 20)).astype(float)
+    cls = np.concatenate(([0], 1 + rng.integers(3, size=19)))
+    one = np.eye(4)[cls]
+    off = pairs * (1 - np.eye(20))
+    got = brown.gains(one.T @ pairs @ one, cls, off @ one, off.T @ one, np.diag(pairs).copy())
+    for u in range(1, 20):
+        moved = []
+        for c in (1, 2, 3):
+            x = np.eye(4)[np.where(np.arange(20) == u, c, cls)]
+            moved.append(brown.likelihood(x.T @ pairs @ x))
+        assert np.allclose(np.diff(got[u, 1:]), np.diff(moved))
+
+
+def test_every_word_is_clustered_by_its_own_neighbours(spark, tmpdir_run):
+    """Words beyond the in-memory start, all with one suffix, alternate by kind."""
+    rng = np.random.default_rng(2)
+    kinds = [[f"{k}{i:02d}end" for i in range(40)] for k in "ab"]
+    rows = [(i, " ".join(kinds[k % 2][rng.integers(40)] for k in range(60))) for i in range(80)]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string"), tmpdir_run + "/docs")
+    m = brown.train(docs, F.lit(True), classes=3, clustered_words=10, suffix_buckets=4)
+    top = brown.train(docs, F.lit(True), classes=3, clustered_words=80, suffix_buckets=4).top
+    of = {h: c for h, _, c in top}
+    got = {}
+    for h, c in zip(m.table, m.table_class):
+        got.setdefault(of[int(h)], []).append(int(c))
+    assert sorted(map(len, got.values())) == [40, 40]
+    assert all(len(set(x)) == 1 for x in got.values()) and len({x[0] for x in got.values()}) == 2
