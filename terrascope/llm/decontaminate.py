@@ -8,7 +8,11 @@ hash join of windows, so a question with other numbers or names is still found.
 A pair of document and item is reported when the matched windows cover enough of
 the item (``min_cover`` of its windows, or ``min_run`` windows for a long one)
 and the slots agree: each slot word of the item must stand for one word of the
-document throughout (``min_consistent`` of the slot words do).
+document throughout (``min_consistent`` of the slot words do).  Both are judged
+for each occurrence of the item in the document and for the document as a whole;
+one that passes reports the pair.  An occurrence is a band of equal or near
+offsets (position in the document less position in the item), no wider than the
+item, so that two copies are never in one band.
 
 Windows with fewer than ``min_literals`` plain words are not used: a row of
 numbers is no template.  Items shorter than a window are one window of their own
@@ -47,6 +51,9 @@ gram grams kilogram kilograms ton tons pound pounds ounce ounces liter liters li
 minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree
 degrees celsius fahrenheit volt volts watt watts joule joules newton newtons hertz byte bytes""".split()
 
+#: Fixed value: words that an occurrence may be shifted by words put in or left out.
+BAND = 8
+
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _DIGIT = np.zeros(256, dtype=bool)
@@ -178,20 +185,28 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
                     if len(hit):
                         values = [literal[i:i + n][slot[i:i + n]].view(np.int64) for i in hit]
                         at = pa.array(a + first[hit])
+                        pos = hit - bound[first[hit]]
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(hit), n), pa.int32()),
-                             pa.array(h[hit].view(np.int64)), pa.array(values, pa.list_(pa.int64()))],
-                            names=[ROW, "id", "n", "h", "d_slots"])
-
-    found = with_row(docs, id_column, text_column).mapInArrow(run, f"{ROW} long, id long, n int, h long, d_slots array<long>")
-    # the same window and slots again in one document add nothing
-    found = found.distinct()
-    pairs = keep_table(found.join(asked, ["h", "n"]), "hits")
-    key = [ROW, "id", "item_id", "total"]
+                             pa.array(h[hit].view(np.int64)), pa.array(pos), pa.array(values, pa.list_(pa.int64()))],
+                            names=[ROW, "id", "n", "h", "pos", "d_slots"])
+
+    found = with_row(docs, id_column, text_column).mapInArrow(
+        run, f"{ROW} long, id long, n int, h long, pos long, d_slots array<long>")
+    # bands of offsets: the whole document, the item's length, a few words; each also shifted by half
+    offset, length = F.col("pos") - F.col("at"), F.col("total") + F.col("n") - 1
+    bands = [F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("band"))]
+    for k, width in enumerate((length, F.least(length, F.lit(BAND)))):
+        for shift in (0, 1):
+            at = F.floor((offset + F.lit(shift) * F.floor(width / 2)) / width)
+            bands.append(F.struct(F.lit(1 + 2 * k + shift).alias("kind"), at.alias("band")))
+    hits = keep_table(found.join(asked, ["h", "n"]), "hits")
+    pairs = hits.withColumn("place", F.explode(F.array(*bands)))
+    key = [ROW, "id", "item_id", "total", "place"]
     cover = pairs.groupBy(*key).agg(F.countDistinct("at").alias("matched"))
     slots = pairs.select(*key, F.explode(F.arrays_zip("slots", "d_slots")).alias("s")).select(
         *key, F.col("s.slots").alias("mine"), F.col("s.d_slots").alias("theirs"))
-    # a slot word stands for one word where its most frequent reading is the only one
+    # a slot word agrees where it has one reading in the occurrence
     read = slots.groupBy(*key, "mine").agg(F.countDistinct("theirs").alias("readings"),
                                            F.bool_and(F.col("mine") == F.col("theirs")).alias("same"))
     agree = read.groupBy(*key).agg(F.count("*").alias("slots"), F.avg((F.col("readings") == 1).cast("double")).alias("share"),
@@ -201,8 +216,11 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
         *[F.col(f"c.{x}").alias(x) for x in key], "matched", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce("share", F.lit(1.0)).alias("consistent"), F.coalesce("same", F.lit(True)).alias("exact"))
     out = out.withColumn("cover", F.col("matched") / F.col("total"))
-    return out.where(((F.col("cover") >= min_cover) | (F.col("matched") >= min_run)) & (F.col("consistent") >= min_consistent)
-                     ).select(ROW, "id", "item_id", "matched", "total", "cover", "slots", "consistent", "exact")
+    out = out.where(((F.col("cover") >= min_cover) | (F.col("matched") >= min_run)) & (F.col("consistent") >= min_consistent))
+    # the widest cover of a pair, unchanged slots first
+    best = F.max(F.struct("cover", "matched", "exact", "consistent", "slots", "total")).alias("b")
+    return out.groupBy(ROW, "id", "item_id").agg(best).select(
+        ROW, "id", "item_id", "b.matched", "b.total", "b.cover", "b.slots", "b.consistent", "b.exact")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -43,6 +43,16 @@ def test_slots_must_agree(spark, tmpdir_run, items):
     assert set(found(spark, tmpdir_run + "/more", items, [CHANGED], min_consistent=1.0)) == {(0, 1)}
 
 
+def test_each_occurrence_is_judged(spark, tmpdir_run, items):
+    pad = sentence(901, 50)
+    other = CHANGED.replace("Denver", "Austin").replace("75", "81").replace("15", "17").replace("450", "510").replace(
+        "Susan", "Betty").replace("Oscar", "Frank")
+    texts = [f"{QUESTION} {pad} {CHANGED}", f"{CHANGED}\n{other}", pad]
+    got = found(spark, tmpdir_run + "/docs", items, texts)
+    assert set(got) == {(0, 1), (1, 1)}
+    assert got[0, 1].exact and got[0, 1].cover == 1.0 and not got[1, 1].exact
+
+
 def test_leaks_edge_cases(spark, tmpdir_run, items):
     docs = saved(edge_docs(spark), tmpdir_run + "/docs")
     assert dc.matches(docs, items).count() == 0
