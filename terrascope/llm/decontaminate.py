@@ -14,8 +14,11 @@ one that passes reports the pair.  An occurrence is a band of equal or near
 offsets (position in the document less position in the item), no wider than the
 item, so that two copies are never in one band.
 
-Windows with fewer than ``min_literals`` plain words are not used: a row of
-numbers is no template.  Items shorter than a window are one window of their own
+Windows with fewer than ``min_literals`` plain words are no templates: a row of
+numbers says nothing.  They are met as written (by a hash of their words), and as
+a template where one of ``LONGER`` words around them has enough plain words; so
+every item of ``min_words`` words has a key at each place.  ``total`` counts all
+places; the cover of the template windows alone decides too.  Items shorter than a window are one window of their own
 length (of ``min_words`` words at least; shorter items cannot be told from
 chance).  The first word of an item counts both as a word and as a name, since
 its capital says nothing.
@@ -51,6 +54,9 @@ gram grams kilogram kilograms ton tons pound pounds ounce ounces liter liters li
 minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree
 degrees celsius fahrenheit volt volts watt watts joule joules newton newtons hertz byte bytes""".split()
 
+#: Lengths of the longer windows where names and numbers are dense.
+LONGER = (12, 16, 24)
+_LITERAL = np.uint64(1004)
 #: Fixed value: words that an occurrence may be shifted by words put in or left out.
 BAND = 8
 
@@ -123,10 +129,16 @@ def _windows(canon: np.ndarray, slot: np.ndarray, n: int, min_literals: int):
     return h, run[n:n + len(h)] - run[:len(h)] >= min(min_literals, n)
 
 
+def _literal_windows(literal: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every window of ``n`` words as written; no template has it."""
+    return mix(sequence_hash(literal, n) ^ _LITERAL)
+
+
 def benchmark_windows(items: DataFrame, window: int, min_literals: int, min_words: int, id_column: str,
                       text_column: str) -> DataFrame:
-    """``(item_id, at, total, n, h, slots)``: the windows of every item; ``total``
-    is its number of windows."""
+    """``(item_id, at, total, usable, n, h, plain, slots)``: the windows of every
+    item; ``total`` is its number of windows, ``usable`` of templates among them;
+    ``plain``: the key is that of the words as written."""
     def run(batches):
         for batch in batches:
             for a, b, data, offs in text_slices(batch.column(1)):
@@ -138,26 +150,43 @@ def benchmark_windows(items: DataFrame, window: int, min_literals: int, min_word
                     if n < min_words:
                         continue
                     h, ok = _windows(canon[s:e], slot[s:e], n, min_literals)
+                    size, usable = len(h), int(ok.sum())
+
+                    def add(i, at, n, key, mark, plain=False):
+                        words = literal[s + i:s + i + n]
+                        rows.append((a + d, int(at), size, usable, int(n), int(key.view(np.int64)), plain,
+                                     words[mark].view(np.int64)))
                     for i in np.flatnonzero(ok):
                         words = slice(s + i, s + i + n)
-                        rows.append((a + d, int(i), int(ok.sum()), int(n), int(h[i].view(np.int64)),
-                                     literal[words][slot[words]].view(np.int64)))
+                        add(i, i, n, h[i], slot[words])
                         if i == 0 and capital[s]:
                             other = canon[words].copy()
                             other[0] = _NAME if not slot[s] else literal[s]
                             mark = slot[words].copy()
                             mark[0] = not slot[s]
-                            rows.append((a + d, 0, int(ok.sum()), int(n), int(sequence_hash(other, n)[0].view(np.int64)),
-                                         literal[words][mark].view(np.int64)))
+                            add(0, 0, n, sequence_hash(other, n)[0], mark)
+                    if usable == size:
+                        continue
+                    written = _literal_windows(literal[s:e], n)
+                    longer = [(m, *_windows(canon[s:e], slot[s:e], m, min_literals)) for m in LONGER if n < m <= e - s]
+                    for i in np.flatnonzero(~ok):
+                        add(i, i, n, written[i], np.zeros(n, dtype=bool), True)
+                        for m, g, fits in longer:
+                            j = min(i, len(g) - 1)  # at the end of an item it reaches back
+                            if fits[j]:
+                                add(j, i, m, g[j], slot[s + j:s + j + m])
+                                break
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
-                         pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int64()))],
-                        names=["item_id", "at", "total", "n", "h", "slots"])
+                         pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64()),
+                         pa.array(cols[6], pa.bool_()), pa.array(cols[7], pa.list_(pa.int64()))],
+                        names=["item_id", "at", "total", "usable", "n", "h", "plain", "slots"])
 
     one = items.select(F.col(id_column).cast("long").alias("item_id"), F.col(text_column).cast("string").alias("text"))
-    return one.dropDuplicates().mapInArrow(run, "item_id long, at int, total int, n int, h long, slots array<long>")
+    return one.dropDuplicates().mapInArrow(run, "item_id long, at int, total int, usable int, n int, h long, "
+                                        "plain boolean, slots array<long>")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -167,7 +196,8 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     every contaminated pair; ``exact``: no slot was changed."""
     ship(docs.sparkSession)
     asked = keep_table(benchmark_windows(items, window, min_literals, min_words, item_column, item_text_column), "windows")
-    lengths = sorted(r.n for r in asked.select("n").distinct().collect())  # at most window - min_words + 1
+    # at most window - min_words + 1 lengths of either kind, and LONGER
+    lengths = sorted((r.n, r.plain) for r in asked.select("n", "plain").distinct().collect())
     bits = hash_bitmap(asked, "h")
 
     def run(batches):
@@ -175,15 +205,19 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
             for a, b, data, offs in text_slices(batch.column(2)):
                 literal, canon, slot, _, bound = template(data, offs)
                 first = np.repeat(np.arange(b - a), np.diff(bound))
-                for n in lengths:
+                for n, plain in lengths:
                     if len(canon) < n:
                         continue
-                    h, ok = _windows(canon, slot, n, min_literals)
+                    if plain:
+                        h = _literal_windows(literal, n)
+                        ok = np.ones(len(h), dtype=bool)
+                    else:
+                        h, ok = _windows(canon, slot, n, min_literals)
                     ok &= first[:len(h)] == first[n - 1:n - 1 + len(h)]
                     ok &= in_bitmap(bits, h)
                     hit = np.flatnonzero(ok)
                     if len(hit):
-                        values = [literal[i:i + n][slot[i:i + n]].view(np.int64) for i in hit]
+                        values = [literal[i:i + n][slot[i:i + n] & (not plain)].view(np.int64) for i in hit]
                         at = pa.array(a + first[hit])
                         pos = hit - bound[first[hit]]
                         yield pa.RecordBatch.from_arrays(
@@ -194,7 +228,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     found = with_row(docs, id_column, text_column).mapInArrow(
         run, f"{ROW} long, id long, n int, h long, pos long, d_slots array<long>")
     # bands of offsets: the whole document, the item's length, a few words; each also shifted by half
-    offset, length = F.col("pos") - F.col("at"), F.col("total") + F.col("n") - 1
+    offset, length = F.col("pos") - F.col("at"), F.col("total") + F.least("n", F.lit(window)) - 1
     bands = [F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("band"))]
     for k, width in enumerate((length, F.least(length, F.lit(BAND)))):
         for shift in (0, 1):
@@ -203,7 +237,9 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     hits = keep_table(found.join(asked, ["h", "n"]), "hits")
     pairs = hits.withColumn("place", F.explode(F.array(*bands)))
     key = [ROW, "id", "item_id", "total", "place"]
-    cover = pairs.groupBy(*key).agg(F.countDistinct("at").alias("matched"))
+    of_template = F.when(~F.col("plain") & (F.col("n") <= window), F.col("at"))
+    cover = pairs.groupBy(*key).agg(F.countDistinct("at").alias("matched"), F.countDistinct(of_template).alias("templates"),
+                                    F.max("usable").alias("usable"))
     slots = pairs.select(*key, F.explode(F.arrays_zip("slots", "d_slots")).alias("s")).select(
         *key, F.col("s.slots").alias("mine"), F.col("s.d_slots").alias("theirs"))
     # a slot word agrees where it has one reading in the occurrence
@@ -213,9 +249,11 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
                                    F.bool_and("same").alias("same"))
     on = [F.col(f"c.{x}").eqNullSafe(F.col(f"s.{x}")) for x in key]
     out = cover.alias("c").join(agree.alias("s"), on, "left").select(
-        *[F.col(f"c.{x}").alias(x) for x in key], "matched", F.coalesce("slots", F.lit(0)).alias("slots"),
+        *[F.col(f"c.{x}").alias(x) for x in key], "matched", "templates", "usable", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce("share", F.lit(1.0)).alias("consistent"), F.coalesce("same", F.lit(True)).alias("exact"))
-    out = out.withColumn("cover", F.col("matched") / F.col("total"))
+    # where names and numbers are dense, a changed copy meets the templates only
+    part = F.when(F.col("usable") > 0, F.col("templates") / F.col("usable"))
+    out = out.withColumn("cover", F.greatest(F.col("matched") / F.col("total"), part))
     out = out.where(((F.col("cover") >= min_cover) | (F.col("matched") >= min_run)) & (F.col("consistent") >= min_consistent))
     # the widest cover of a pair, unchanged slots first
     best = F.max(F.struct("cover", "matched", "exact", "consistent", "slots", "total")).alias("b")

@@ -53,6 +53,19 @@ def test_each_occurrence_is_judged(spark, tmpdir_run, items):
     assert got[0, 1].exact and got[0, 1].cover == 1.0 and not got[1, 1].exact
 
 
+def test_items_dense_with_names_and_numbers(spark, tmpdir_run):
+    dense = ("Then Mary and Peter took 3 red and 4 blue or 5 green marbles from Susan while Oscar kept 6 black "
+             "and 7 white ones")
+    asked = [(1, "Who wrote Romeo and Juliet?"), (2, "What is 12 times 7 plus 9?"), (3, "Is Paris in France?"),
+             (4, "Add 3 4 5 6 7 8 9 10 11 to Peter"), (5, dense)]
+    pad = sentence(901, 50)
+    items = spark.createDataFrame(asked, "item_id long, text string")
+    texts = [f"{pad}. {t} {pad}" for _, t in asked] + [f"{pad} so {t} {pad}" for _, t in asked] + [pad, dense.replace(
+        "Mary", "Betty").replace("Peter", "Frank").replace("3", "8").replace("6", "9")]
+    got = found(spark, tmpdir_run + "/docs", items, texts)
+    assert set(got) == {(i, i + 1) for i in range(5)} | {(i + 5, i + 1) for i in range(5)} | {(11, 5)}
+
+
 def test_leaks_edge_cases(spark, tmpdir_run, items):
     docs = saved(edge_docs(spark), tmpdir_run + "/docs")
     assert dc.matches(docs, items).count() == 0
