@@ -36,9 +36,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the same spans as runs [0-9a-f]+ of 32 or more
 _CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|auth[_-]?key"""
-    r"""|(?:api|access|private|secret|signing|encryption)[_\x20-]?key)["']?"""
-    r"""(?:\x20*+[:=]+>?|\x20++is\x20|\x20)\x20*+(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>]+))""", re.I | re.A)
+    r"""(?:(?:api|access|private|secret|signing|encryption)[_\x20-]?key|auth[_-]?key"""
+    r"""|password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer)["']?"""
+    r"""(?:\x20*+[:=]+>?|\x20++is(?:\x20*+[:=]+|\x20)|\x20)\x20*+(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>]+))""", re.I | re.A)
 #: Words without which no pattern with letters in either case can match.
 _NEEDS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "key")
 
@@ -58,6 +58,8 @@ _DATE_COST, _YEAR_COST = log10(366 * 120), log10(120)
 #: Ordinary words, maybe hyphenated: part of a sentence, not a credential.
 _WORDS = re.compile(r"[^\W\d_]?[a-z\x80-\U0010FFFF]*(?:[-_./'][^\W\d_]?[a-z\x80-\U0010FFFF]*)*|[^\W\d_]+")
 _MAX_SPAN = 32
+#: Longest credential word with its separator, about: how far back a value is searched for the next one.
+_TAIL = 40
 _SEGMENT = log10(2)  # choosing another kind of segment
 _WALK_START, _WALK_TURN = log10(47 * 2), log10(4.6)
 
@@ -168,6 +170,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def context_values(text: str):
+    """``(start, end)`` of the values after credential words.  Send ``True`` for a
+    value that is a finding: the search goes on after it; else it goes on inside,
+    as the value may hold or be the next credential word.  An unquoted value holds
+    no white space, so only a word at its end has a value of its own."""
+    at = 0
+    while m := _CONTEXT.search(text, at):
+        k = m.lastindex
+        start, end = m.span(k)
+        if k == 3:
+            end = start + len(m[3].rstrip(".,;:!?)]}&$%*#|"))
+        if (yield start, end):
+            at = max(end, start + 1)
+        else:
+            at = start if k < 3 else max(start, m.end() - _TAIL)
+
+
 def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, words: dict[str, float]):
     """``(start, end, log10 guesses)`` of costly values after credential words
     that no base span covers."""
@@ -178,13 +197,15 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
     starts, reach = [b[0] for b in base], []  # reach: the farthest end of the base spans up to each
     for _, _, e in base:
         reach.append(max(e, reach[-1] if reach else 0))
-    for m in _CONTEXT.finditer(text):
-        k = m.lastindex
-        value = m[k]
-        start = m.start(k)
-        if k == 3:
-            value = value.rstrip(".,;:!?)]}&$%*#|")
-        end = start + len(value)
+    values = context_values(text)
+    taken = None
+    while True:
+        try:
+            start, end = values.send(taken)
+        except StopIteration:
+            return out
+        taken = False
+        value = text[start:end]
         if len(value) < 8 or " " in value or _WORDS.fullmatch(value) or start < after:
             continue
         before = bisect_right(starts, start)
@@ -193,8 +214,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
         cost = guess_cost(value, words)
         if cost >= threshold:
             out.append((start, end, cost))
-            after = end
-    return out
+            after, taken = end, True
 
 
 _FOUND = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"

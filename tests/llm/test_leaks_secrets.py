@@ -118,6 +118,13 @@ def test_base_spans_equal_plain_patterns():
         assert ss.base_spans(t or "") == plain_spans(t or "")
 
 
+def test_one_credential_word_does_not_hide_the_next():
+    for t in ("secret key: Xk9#mQ2vL7p$z", "token secret = Xk9#mQ2vL7p$z", "the secret token: Xk9#mQ2vL7p$z",
+              "password is: Xk9#mQ2vL7p$z", 'secret: "the password: Xk9#mQ2vL7p$z"', "my password token secret Xk9#mQ2vL7p$z"):
+        got = ss.guess_spans(t, ss.base_spans(t), 10.0, ss._COMMON)
+        assert any(t[s:e].startswith("Xk9#mQ2vL7p") for s, e, _ in got), t
+
+
 def test_long_runs_stay_linear():
     import time
     began = time.time()
