@@ -8,9 +8,14 @@ over all its segmentations into words, dates, repeats, keyboard walks,
 sequences and brute-force spans, found by dynamic programming over its
 positions.  A value that costs ``min_log10_guesses`` or more is reported as
 ``guess`` unless a base span covers it; ordinary words after "token:" are cheap
-and are left alone.
-
-The work is one pass over the texts with no shuffle.  Pricing is linear in the
+and are left alone: the words are ranked by a fixed list, then by the corpus (the
+at most ``WORD_TABLE`` words of letters that most documents hold, two at least;
+what stands after a credential word does not count, so a repeated secret does not
+become a word).  Letters that are no word and long passphrases cost as much as
+any other value.
+
+The words are counted in one pass with map-side sums and reach the driver and the
+tasks as one bounded table; the scan is one pass with no shuffle.  Pricing is linear in the
 length of a value (word and walk segments span at most 32 characters, longer
 ones are several segments; repeats span any length).
 
@@ -55,8 +60,16 @@ _LEET = str.maketrans("4301$5@7!", "aeoissati")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 _DATE_COST, _YEAR_COST = log10(366 * 120), log10(120)
-#: Ordinary words, maybe hyphenated: part of a sentence, not a credential.
-_WORDS = re.compile(r"[^\W\d_]?[a-z\x80-\U0010FFFF]*(?:[-_./'][^\W\d_]?[a-z\x80-\U0010FFFF]*)*|[^\W\d_]+")
+#: Frequent English words.
+ENGLISH_WORDS = """the of and to in is that for it with as was on are be this by have from or not at but you they his her
+she which will one all would there their what when who make can like time just know take into year your good some could them
+see other than then now look only come over think also back after use two how our work first well way even new want because
+any these give day most here where world thing things same tell need feel become leave call between never last great small
+large found still own under read hand high long place begin while number every near food night live point city play being
+required missing invalid expired string value field header name file string return true false null none""".split()
+#: Fixed value: words counted from the corpus, at most.
+WORD_TABLE = 1 << 16
+_LETTERS = re.compile(r"[^\W\d_]{3,32}")
 _MAX_SPAN = 32
 #: Longest credential word with its separator, about: how far back a value is searched for the next one.
 _TAIL = 40
@@ -110,7 +123,7 @@ def guess_cost(value: str, words: dict[str, float] = _COMMON) -> float:
             dates.setdefault(m.end(), []).append(i)
             if m.end() - i > 4 and value[i:i + 2] in ("19", "20") and value[i:i + 4].isdigit():
                 dates.setdefault(i + 4, []).append(i)
-    longest = min(_MAX_SPAN, max(map(len, words), default=0))
+    longest = _MAX_SPAN if len(words) > 1000 else min(_MAX_SPAN, max(map(len, words), default=0))
     best = [0.0] * (n + 1)
     same = [0] * 9       # characters up to here that equal the one u places before
     walk = turns = sequence = 0  # length of the walk / sequence that ends here
@@ -206,7 +219,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
             return out
         taken = False
         value = text[start:end]
-        if len(value) < 8 or " " in value or _WORDS.fullmatch(value) or start < after:
+        if len(value) < 8 or start < after:
             continue
         before = bisect_right(starts, start)
         if before and reach[before - 1] >= end:
@@ -217,6 +230,41 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
             after, taken = end, True
 
 
+def corpus_words(docs: DataFrame, text_column: str = "text", most: int = WORD_TABLE) -> list[str]:
+    """The ``most`` words that most documents hold (two at least), most frequent
+    first, lower-cased; words in mixed case and values after credential words do
+    not count."""
+    def run(batches):
+        held: dict[str, int] = {}
+
+        def emit():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+                                             names=["word", "n"])
+            held.clear()
+            return out
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                for text in strings(batch.column(0).slice(a, 1000)):
+                    low = text.lower()
+                    if any(w in low for w in _NEEDS):
+                        parts, done = [], 0
+                        for start, end in context_values(text):
+                            if end > done:
+                                parts.append(text[done:max(start, done)])
+                                done = end
+                        text = " ".join([*parts, text[done:]])
+                    for w in {w.lower() for w in set(_LETTERS.findall(text)) if w[1:].islower() or w.isupper()}:
+                        held[w] = held.get(w, 0) + 1
+                    if len(held) > 200_000:
+                        yield emit()
+        if held:
+            yield emit()
+
+    counts = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 _FOUND = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                                    ("log10_guesses", pa.float64())]))
@@ -226,7 +274,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
          words=COMMON_WORDS) -> DataFrame:
     """``(__row, id, findings)``: findings by start, then assign, access, hex,
     guess; ``log10_guesses`` is null for base spans."""
-    ranks = word_ranks(words)
+    ship(docs.sparkSession)
+    ranks = word_ranks([*words, *ENGLISH_WORDS, *corpus_words(docs, text_column)])
 
     def run(batches):
         for batch in batches:
@@ -251,7 +300,7 @@ def mask(docs: DataFrame, text_column: str = "text", length_column: str | None =
     order of columns and null texts stay; ``length_column`` is set to the new
     number of code points where a text changed."""
     ship(docs.sparkSession)
-    ranks = word_ranks(words)
+    ranks = word_ranks([*words, *ENGLISH_WORDS, *corpus_words(docs, text_column)])
     at = docs.columns.index(text_column)
     length_at = docs.columns.index(length_column) if length_column else None
     kinds = dict(docs.dtypes)

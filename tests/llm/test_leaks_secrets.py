@@ -122,7 +122,17 @@ def test_one_credential_word_does_not_hide_the_next():
     for t in ("secret key: Xk9#mQ2vL7p$z", "token secret = Xk9#mQ2vL7p$z", "the secret token: Xk9#mQ2vL7p$z",
               "password is: Xk9#mQ2vL7p$z", 'secret: "the password: Xk9#mQ2vL7p$z"', "my password token secret Xk9#mQ2vL7p$z"):
         got = ss.guess_spans(t, ss.base_spans(t), 10.0, ss._COMMON)
-        assert any(t[s:e].startswith("Xk9#mQ2vL7p") for s, e, _ in got), t
+        assert any("Xk9#mQ2vL7p" in t[s:e] for s, e, _ in got), t
+
+
+def test_letter_secrets_are_priced(spark, tmpdir_run):
+    texts = ["pwd=xKqZvBnMpLrTwYhJ", "bearer kJhGfDsAqWeRtYuIoPzXcVbN", "pwd: xkqvz-plmrt-wqnbv-zzkpq",
+             'passphrase: "zebra quilt oxide lantern plume"', "pwd=xKqZvBnMpLrTwYhJ", "the token authentication is here",
+             "authentication of users", "authentication again"]
+    docs = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmpdir_run + "/docs")
+    got = {r.doc_id: r.spans for r in ss.report(docs).collect()}
+    assert [i for i in range(8) if "guess" in got[i]] == [0, 1, 2, 3, 4]
+    assert "xKqZ" not in "".join(r.text for r in ss.mask(docs).collect())
 
 
 def test_long_runs_stay_linear():
