@@ -7,7 +7,7 @@ inserting or deleting a paragraph adds or subtracts its vector.
 
 * ``EXACT`` lanes modulo 2**32 hold hashes of the whole paragraph: two multisets
   are equal when all lanes are (a chance of about 2**-256 otherwise).
-* ``SKETCH`` lanes modulo 2**16 hold, per paragraph, the number of its word
+* ``SKETCH`` lanes modulo 2**32 (as signed ints) hold, per paragraph, the number of its word
   triples whose hash has the lane's bit.  Twice a lane less the number of triples
   (kept in one more lane modulo 2**32) is a sum of random signs, so the product
   of two documents' lanes estimates how many triples they share: the likeness
@@ -31,11 +31,17 @@ from terrascope.llm.common import ROW, bind, keep_table, with_row
 
 EXACT = 8
 SKETCH = 64
-_EXACT_MOD, _SKETCH_MOD = 1 << 32, 1 << 16
+_EXACT_MOD = 1 << 32
 _LOW32 = 0xFFFFFFFF
 _PAIR = 0x0000000100000001  # one bit of each 32-bit half of a long
 
 
+def _signed(lane: Column) -> Column:
+    """The representative nearest to zero modulo 2**32."""
+    half = _EXACT_MOD // 2
+    return F.pmod(lane + half, F.lit(_EXACT_MOD)) - half
+
+
 def _triples(text: Column) -> Column:
     """Hashes of the word triples of a line."""
     triples = bind(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), lambda h: F.transform(
@@ -62,35 +68,34 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     low = [F.col(f"s{i}").bitwiseAND(F.lit(_LOW32)) for i in range(SKETCH // 2)]
     high = [F.shiftrightunsigned(f"s{i}", 32) for i in range(SKETCH // 2)]
 
-    def lanes(columns, mod, kind):
-        return F.array(*[F.coalesce(F.pmod(c, F.lit(mod)), F.lit(0)).cast(kind) for c in columns])
-    return sums.select(*keys, lanes([F.col(f"e{i}") for i in range(EXACT)], _EXACT_MOD, "long").alias("exact"),
-                       lanes(low + high, _SKETCH_MOD, "int").alias("sketch"), F.pmod("n", F.lit(_EXACT_MOD)).alias("n"))
+    def lanes(columns, modulo, kind):
+        return F.array(*[F.coalesce(modulo(c), F.lit(0)).cast(kind) for c in columns])
+    return sums.select(*keys, lanes([F.col(f"e{i}") for i in range(EXACT)], lambda c: F.pmod(c, F.lit(_EXACT_MOD)), "long").alias("exact"),
+                       lanes(low + high, _signed, "int").alias("sketch"), F.pmod("n", F.lit(_EXACT_MOD)).alias("n"))
 
 
 def combine(a: dict[str, Column], b: dict[str, Column], sign: int = 1) -> dict[str, Column]:
     """Fingerprint of a document after inserting (``sign`` 1) or deleting (-1)
     the paragraphs of ``b``: lane-wise sum or difference modulo the powers."""
-    def lanes(x, y, mod):
-        return F.zip_with(x, y, lambda p, q: F.pmod(p + q * F.lit(sign), F.lit(mod)))
-    return {"exact": lanes(a["exact"], b["exact"], _EXACT_MOD), "sketch": lanes(a["sketch"], b["sketch"], _SKETCH_MOD),
+    def lanes(x, y, modulo, kind):
+        return F.zip_with(x, y, lambda p, q: modulo(p.cast("long") + q.cast("long") * F.lit(sign)).cast(kind))
+    return {"exact": lanes(a["exact"], b["exact"], lambda c: F.pmod(c, F.lit(_EXACT_MOD)), "long"),
+            "sketch": lanes(a["sketch"], b["sketch"], _signed, "int"),
             "n": F.pmod(a["n"] + b["n"] * F.lit(sign), F.lit(_EXACT_MOD))}
 
 
 def text_form(fp: dict[str, Column]) -> Column:
     """A fingerprint as lower-case hex: exact lanes, triple count, sketch lanes."""
     def hexed(lanes, width):
-        return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), width, "0")), "")
-    return F.concat(hexed(fp["exact"], 8), F.lpad(F.lower(F.hex(fp["n"])), 8, "0"), hexed(fp["sketch"], 4))
+        return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(_LOW32)))), width, "0")), "")
+    return F.concat(hexed(fp["exact"], 8), F.lpad(F.lower(F.hex(fp["n"])), 8, "0"), hexed(fp["sketch"], 8))
 
 
 def likeness(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Likeness (0 to 1) of two fingerprints; 1 when their exact lanes agree."""
     def signs(fp):
-        # the lane is known modulo 2**16: take the representative nearest to zero
-        half = _SKETCH_MOD // 2
-        return F.transform(fp["sketch"], lambda s: (
-            F.pmod(s * 2 - fp["n"] + half, F.lit(_SKETCH_MOD)) - half).cast("double"))
+        # the lane is known modulo 2**32
+        return F.transform(fp["sketch"], lambda s: _signed(s.cast("long") * 2 - fp["n"]).cast("double"))
 
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)

@@ -111,3 +111,12 @@ def test_no_python_in_plans(spark):
     for df in (fp.edit_report(docs), url_filter.judge(pages, url_filter.rules_frame(spark, URL_RULES))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow", "Cartesian", "NestedLoop"))
+
+
+def test_likeness_of_long_repetitive_texts(spark):
+    line = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(0, "\n".join([line] * 5000)), (1, "\n".join([line] * 2500))], "k int, t string")
+    rows = fp.fingerprints(df, ["k"], "t").select("k", F.struct("exact", "sketch", "n").alias("f"))
+    both = rows.where("k = 0").select(F.col("f").alias("a")).crossJoin(rows.where("k = 1").select(F.col("f").alias("b")))
+    a, b = ({x: F.col(f"{c}.{x}") for x in ("exact", "sketch", "n")} for c in "ab")
+    assert both.select(fp.likeness(a, b).alias("v")).first().v == pytest.approx(0.8)
