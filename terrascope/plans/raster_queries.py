@@ -18,7 +18,6 @@ from terrascope.sources import images as IM
 PATCHES = [(2, 2, 2, 1), (5, 5, 1, 2)]
 UP, DOWN = 16, 4              # resampling targets for the 8 x 8 fixture
 MODEL_GRID = 16               # segmentation grid for the 8 x 8 fixture
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 8}
 PX = ["image_id", "y", "x", "height", "width", "b", "g", "r"]
 
 
@@ -166,7 +165,7 @@ def _trained(spark, sf):
     """Segmenter trained once per context and folder: ``(model, report, test_predictions)``."""
     from terrascope.plans.model_cache import cached_model
     return cached_model(spark, sf, "segmenter", lambda: SEG.train_segmenter(
-        _px(spark, sf), _masks(spark, sf), size=MODEL_GRID, **SMALL_FOREST))
+        _px(spark, sf), _masks(spark, sf), size=MODEL_GRID))
 
 
 def q_pixel_classifier(spark, sf):

@@ -87,3 +87,14 @@ def test_save_load_roundtrip(spark, tmpdir_run):
     a = [r.prediction for r in M.score(model, f).orderBy("dt").collect()]
     b = [r.prediction for r in M.score(again, f).orderBy("dt").collect()]
     assert a == b
+
+
+def test_registered_segmenter_has_the_operators_own_forest(spark, monkeypatch):
+    from terrascope.plans import model_cache, raster_queries as RQ
+    seen = {}
+    monkeypatch.setattr(model_cache, "cached_model", lambda spark, sf, name, fit: fit())
+    monkeypatch.setattr(RQ, "_px", lambda *a: None)
+    monkeypatch.setattr(RQ, "_masks", lambda *a: None)
+    monkeypatch.setattr(RQ.SEG, "train_segmenter", lambda *a, **options: seen.update(options))
+    RQ._trained(spark, "x")
+    assert seen == {"size": RQ.MODEL_GRID}
