@@ -104,6 +104,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op12_shared_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, all items ranked together."""
+    from terrascope.llm import shared_rank
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return shared_rank.search(documents(spark, sf_dir), items, k=10).select(
+        "item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of all embedding vectors after 5 rounds."""
+    from terrascope.llm import orchard
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return orchard.report(vectors, k=40, rounds=5, seed=2).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` on all documents."""
     import corpus_pipeline
@@ -111,9 +126,63 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op3_ngram_join, op4_packing, op5_language,
-                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, pipeline)}
+                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, op12_shared_rank, op13_orchard, pipeline)}
+
+
+def _orchard_sql(rounds: int = 5, k: int = 40, seed: int = 2) -> str:
+    """Plain clustering: every vector against every centroid, round by round."""
+    kept = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v
+  FROM kept QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) <= {k})"""
+
+    def placed(i: int) -> str:
+        return f""",
+a{i} AS MATERIALIZED (
+  SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT k.n, k.vec_id, k.v, c.c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM kept k CROSS JOIN c{i} c) GROUP BY n)"""
+
+    def moved(i: int) -> str:
+        return f""",
+c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT c, list((s - ((s % t) + t) % t) // t ORDER BY i) AS v FROM (
+      SELECT best.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS t
+      FROM (SELECT best, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY best.c, i) GROUP BY c) m ON m.c = c.c)"""
+
+    last = f"""
+SELECT a.vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance,
+       CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+    return kept + "".join(placed(i) + moved(i) for i in range(rounds)) + placed(rounds) + last
+
 
 SQL = {
+    "op12_shared_rank": """
+WITH words AS (
+  SELECT doc_id, n, unnest(w) AS term FROM (
+    SELECT doc_id, w, len(w) AS n FROM (
+      SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents))),
+sizes AS (SELECT doc_id, any_value(n) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+           FROM tf, total GROUP BY term),
+scored AS (SELECT item_id, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+           FROM asked JOIN tf USING (term) JOIN weight USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_orchard": _orchard_sql(),
     "op9_url_filter": """
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),

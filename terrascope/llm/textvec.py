@@ -79,13 +79,13 @@ class Words:
 
     ``start``/``end``: byte positions; ``bound``: document ``d`` owns the words
     ``bound[d]:bound[d+1]``; ``hash``: 64-bit word hashes; ``low``: the bytes,
-    A-Z lower-cased.
+    A-Z lower-cased.  ``separators`` marks the bytes between words.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, hashes: bool = True, separators: np.ndarray = WS):
         n = len(data)
         self.low = low = LOWER[data]
-        ws = WS[data]
+        ws = separators[data]
         cut = np.zeros(n + 1, dtype=bool)
         cut[offs] = True
         begin = ~ws
