@@ -104,6 +104,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op11_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from terrascope.llm import style_tree
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return style_tree.extract(pages).select(F.col("id").alias("page_id"), "url", "text", "n_chars", "removed")
+
+
 def op12_shared_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item, all items ranked together."""
     from terrascope.llm import shared_rank
@@ -126,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op3_ngram_join, op4_packing, op5_language,
-                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, op12_shared_rank, op13_orchard, pipeline)}
+                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, op11_style_tree, op12_shared_rank, op13_orchard, pipeline)}
 
 
 def _orchard_sql(rounds: int = 5, k: int = 40, seed: int = 2) -> str:
