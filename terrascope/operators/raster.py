@@ -4,12 +4,12 @@ A pixel table has one row per pixel: ``image_id, y, x, height, width`` plus
 value columns (``b, g, r`` or ``label``...).  Carrying ``height`` / ``width``
 on every row lets bounds checks run inside the row, with no dimension join.
 
-Neighbourhood ("focal") operators and resampling are written *source side*:
-each pixel is exploded (map side, no shuffle) to the output cells it feeds,
-with its weight, and one ``groupBy(image_id, y, x)`` combines them.  The
-grouping key is the full cell coordinate, so a huge image is spread over all
-reducers, and the aggregate's partial phase merges the contributions inside
-each map task before the shuffle.
+Neighbourhood ("focal") operators and bilinear resampling run on bands of
+packed image rows (``bands``): one exchange ships each pixel to its band, plus a
+halo of rows that windows read beyond it, so a huge image is spread over many
+tasks and a pixel is not copied to every cell it feeds.  Nearest resampling is
+written *source side*: each pixel is exploded (map side, no shuffle) to the
+output cells that read it.
 """
 
 from __future__ import annotations
@@ -17,83 +17,73 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip
+from terrascope.operators import bands
+from terrascope.session import ship
 
 KEY = ("image_id", "y", "x")
 
 
 # --- decoding (R1, S7) --------------------------------------------------------
 
-def _byte(data: Column, pos: Column) -> Column:
-    """Unsigned byte at 0-based ``pos`` of a BINARY column, as INT."""
-    return F.conv(F.hex(F.substring(data, pos + F.lit(1), 1)), 16, 10).cast("int")
-
-
-def decode_image(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """Image-source rows (``struct<origin,height,width,nChannels,mode,data>``,
-    row-major BGR bytes) -> one row per pixel ``image_id, y, x, height, width,
-    b, g, r``.  One-channel images give ``b = g = r``.  Invalid images
-    (height -1) produce no pixels."""
-    im = F.col(image_col)
-    h, w, nc = im["height"], im["width"], im["nChannels"]
-    # rows, then columns: no generated array is longer than one image side
-    rows = images.filter(h > 0).select(
-        F.col(id_col).alias("image_id"), h.alias("height"), w.alias("width"),
-        nc.alias("_nc"), im["data"].alias("_data"),
-        F.explode(F.sequence(F.lit(0), h - 1)).alias("y"))
-    base = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    off = (F.col("y") * F.col("width") + F.col("x")) * F.col("_nc")
-    b = _byte(F.col("_data"), off)
-    g = F.when(F.col("_nc") >= 3, _byte(F.col("_data"), off + 1)).otherwise(b)
-    r = F.when(F.col("_nc") >= 3, _byte(F.col("_data"), off + 2)).otherwise(b)
-    return base.select("image_id", "y", "x", "height", "width", b.alias("b"), g.alias("g"), r.alias("r"))
-
-
 PIXEL_SCHEMA = "image_id long, y int, x int, height int, width int, b int, g int, r int"
+GREY_SCHEMA = "image_id long, y int, x int, height int, width int, v int"
 
 
-def decode_image_arrow(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """R1, vectorised: the same output as ``decode_image`` computed with numpy
-    on Arrow batches (``mapInArrow``).  Spark still partitions the images;
-    each task turns its images' bytes into pixel columns without per-byte
-    expressions -- the faster path for large images.
-
-    The batch function is defined here, not at module level, so it is
-    shipped to executors by value: they need numpy and pyarrow, not this
-    package."""
+def _decode_blocks(images: DataFrame, id_col: str, image_col: str, pixels, names: Sequence[str], schema: str) -> DataFrame:
+    """Image-source rows (``struct<origin,height,width,nChannels,mode,data>``, row-major
+    BGR bytes) -> ``image_id, y, x, height, width`` and the columns that ``pixels`` (numpy,
+    one row per pixel and one column per channel) makes of a block of image rows.
+    Invalid images (height -1) produce no pixels."""
 
+    ship(images.sparkSession)
     max_pixels = 1 << 20      # pixels per output batch: a huge image is emitted in row blocks
 
     def decode_batches(batches):
         """Arrow batches of images -> pixel batches of at most ``max_pixels``
         rows (whole image rows), so memory stays bounded for any image size."""
-        import numpy as np
-        import pyarrow as pa
-
         for batch in batches:
-            ids = batch.column("image_id").to_pylist()
-            imgs = batch.column(image_col).to_pylist()
-            for image_id, im in zip(ids, imgs):
-                h, w, nc = im["height"], im["width"], im["nChannels"]
-                if h is None or h <= 0:
+            image = batch.column(1)
+            size = [image.field(name).to_pylist() for name in ("height", "width", "nChannels")]
+            data = image.field("data")
+            for i, (h, w, nc) in enumerate(zip(*size)):
+                if h is None or h <= 0 or not image[i].is_valid:
                     continue
-                data = np.frombuffer(im["data"], dtype=np.uint8).reshape(h, w, nc)
+                whole = np.frombuffer(data[i].as_buffer(), dtype=np.uint8).reshape(h, w, nc)
                 step = max(1, max_pixels // w)
                 for y0 in range(0, h, step):
-                    block = data[y0:y0 + step].reshape(-1, nc).astype(np.int32)
-                    bgr = block[:, :3] if nc >= 3 else np.repeat(block[:, :1], 3, axis=1)
+                    block = whole[y0:y0 + step].reshape(-1, nc)
                     n = block.shape[0]
                     p = np.arange(n, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, image_id, dtype=np.int64)), pa.array(y0 + p // w), pa.array(p % w),
+                        [batch.column(0).take(pa.array(np.full(n, i))), pa.array(y0 + p // w), pa.array(p % w),
                          pa.array(np.full(n, h, dtype=np.int32)), pa.array(np.full(n, w, dtype=np.int32)),
-                         pa.array(bgr[:, 0]), pa.array(bgr[:, 1]), pa.array(bgr[:, 2])],
-                        names=["image_id", "y", "x", "height", "width", "b", "g", "r"])
+                         *[pa.array(c) for c in pixels(block)]],
+                        names=["image_id", "y", "x", "height", "width", *names])
+
+    source = images.select(F.col(id_col).cast("long").alias("image_id"), F.col(image_col).alias("image"))
+    return source.mapInArrow(decode_batches, schema)
+
+
+def _bgr(block: np.ndarray) -> list[np.ndarray]:
+    """Blue, green and red of a block; one channel gives all three."""
+    return [block[:, min(j, block.shape[1] - 1) if block.shape[1] >= 3 else 0].astype(np.int32) for j in range(3)]
+
+
+def _luma(block: np.ndarray) -> list[np.ndarray]:
+    b, g, r = (c.astype(np.float64) for c in _bgr(block))
+    return [np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5).astype(np.int32)]
 
-    return images.select(F.col(id_col).alias("image_id"), image_col).mapInArrow(decode_batches, PIXEL_SCHEMA)
+
+def decode_image(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """Image-source rows -> one row per pixel ``image_id, y, x, height, width, b, g, r``
+    (``_decode_blocks``).  One-channel images give ``b = g = r``."""
+    return _decode_blocks(images, id_col, image_col, _bgr, ["b", "g", "r"], PIXEL_SCHEMA)
 
 
 def grey(b: str = "b", g: str = "g", r: str = "r") -> Column:
@@ -103,11 +93,10 @@ def grey(b: str = "b", g: str = "g", r: str = "r") -> Column:
 
 
 def decode_grey(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """Masks as one grey value ``v`` per pixel: one-channel images give
-    their value, colour images their luma (the weights sum to 1, so both
-    cases are ``grey(b, g, r)``)."""
-    px = decode_image_arrow(images, id_col, image_col)
-    return px.select("image_id", "y", "x", "height", "width", grey().alias("v"))
+    """Masks as one grey value ``v`` per pixel, by the same block decoder:
+    one-channel images give their value, colour images their luma (the weights sum
+    to 1, so both cases are ``grey(b, g, r)``)."""
+    return _decode_blocks(images, id_col, image_col, _luma, ["v"], GREY_SCHEMA)
 
 
 def pixel_features(pixels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -189,69 +178,11 @@ def overlay(df: DataFrame, alpha: float = 0.7, beta: float = 0.3) -> DataFrame:
 
 # --- focal (neighbourhood) operators: R3, R4, R5 -----------------------------
 
-def _preimages(s: Column, n: Column, radius: int, border: str) -> Column:
-    """Positions ``q`` (in the padded range ``-radius .. n-1+radius``) that
-    read source coordinate ``s``: ``s`` itself and, for reflection without
-    repeating the edge, ``-s`` and ``2(n-1) - s``.  NULL where absent."""
-    if border == "cut":
-        return F.array(s)
-    lo = -s
-    hi = F.lit(2) * (n - 1) - s
-    return F.array(s,
-                   F.when((s > 0) & (lo >= -radius), lo),
-                   F.when((s < n - 1) & (hi <= n - 1 + radius), hi))
-
-
-def _spread_axis(df: DataFrame, coord: str, size: str, radius: int, border: str, tag: str) -> DataFrame:
-    """Explode ``coord`` to output coordinates ``_t{tag}`` with offset
-    ``_d{tag}`` such that output ``t`` reads this source at ``t + d``.
-    Plain explodes and filters (no lambda), so the step stays in generated
-    code; interior pixels have one preimage, so ~(2r+1) rows come out."""
-    q, d, t = f"_q{tag}", f"_d{tag}", f"_t{tag}"
-    rest = [c for c in df.columns if c != coord]
-    out = (df.select(*rest, F.col(coord), F.explode(_preimages(F.col(coord), F.col(size), radius, border)).alias(q))
-           .filter(F.col(q).isNotNull())
-           .select(*rest, q, F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias(d))
-           .withColumn(t, F.col(q) - F.col(d)))
-    return out.filter((F.col(t) >= 0) & (F.col(t) < F.col(size))).drop(q)
-
-
-def focal_spread(pixels: DataFrame, values: Sequence[str], radius: int, border: str = "cut",
-                 kernel: dict[tuple[int, int], float] | None = None) -> DataFrame:
-    """Explode every pixel to the output cells whose window contains it.
-
-    Returns ``image_id, y, x, height, width, w, <values>`` where ``(y, x)`` is
-    the output cell and ``w`` the kernel weight of this contribution (1 when
-    no kernel is given); offsets outside ``kernel`` are dropped.  Borders:
-    'cut' (outside neighbours ignored) or 'reflect101' (reflected without
-    repeating the edge).
-    """
-    base = pixels.select("image_id", "y", "x", "height", "width", *values)
-    spread = _spread_axis(_spread_axis(base, "y", "height", radius, border, "y"), "x", "width", radius, border, "x")
-    dy, dx = F.col("_dy"), F.col("_dx")
-    if kernel is None:
-        weight = F.lit(1.0)
-        keep = F.lit(True)
-    else:
-        # kernel as a literal (2r+1) x (2r+1) table, NULL outside the kernel:
-        # one array lookup per row instead of a chain of conditions
-        rows = [F.array(*[F.lit(float(kernel[(ky, kx)])) if (ky, kx) in kernel else F.lit(None).cast("double")
-                          for kx in range(-radius, radius + 1)]) for ky in range(-radius, radius + 1)]
-        weight = F.element_at(F.element_at(F.array(*rows), dy + F.lit(radius + 1)), dx + F.lit(radius + 1))
-        keep = weight.isNotNull()
-    return spread.filter(keep).select(
-        "image_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"), "height", "width",
-        weight.alias("w"), *values)
-
-
 def focal_stats(pixels: DataFrame, values: Sequence[str] = ("b", "g", "r"), radius: int = 1) -> DataFrame:
     """Mean and *population* std of each value over the (2r+1)^2 window,
     cut at the border."""
-    spread = focal_spread(pixels, values, radius, "cut")
-    aggs = []
-    for v in values:
-        aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std")]
-    return spread.groupBy("image_id", "y", "x").agg(*aggs)
+    out = [(f"{v}_{name}", "double") for v in values for name in ("mean", "std")]
+    return bands.tile_map(pixels, values, radius, out, bands.window_stats(radius))
 
 
 def ellipse_kernel(size: int = 5) -> list[tuple[int, int]]:
@@ -268,27 +199,26 @@ def ellipse_kernel(size: int = 5) -> list[tuple[int, int]]:
     return out
 
 
-def _morph(pixels: DataFrame, value: str, offsets, op) -> DataFrame:
-    kernel = {o: 1.0 for o in offsets}
-    radius = max(max(abs(a), abs(b)) for a, b in offsets)
-    spread = focal_spread(pixels, [value], radius, "cut", kernel)
-    return spread.groupBy("image_id", "y", "x", "height", "width").agg(op(value).alias(value))
+def _morph(pixels: DataFrame, value: str, size: int, steps: Sequence[str]) -> DataFrame:
+    radius, operator = bands.morphology(ellipse_kernel(size), steps)
+    return bands.tile_map(pixels, [value], radius, [(value, dict(pixels.dtypes)[value])], operator, sizes=True)
 
 
 def dilate(pixels: DataFrame, value: str = "label", size: int = 5) -> DataFrame:
     """Maximum over an elliptical neighbourhood (outside cells ignored)."""
-    return _morph(pixels, value, ellipse_kernel(size), F.max)
+    return _morph(pixels, value, size, ["max"])
 
 
 def erode(pixels: DataFrame, value: str = "label", size: int = 5) -> DataFrame:
     """Minimum over an elliptical neighbourhood (outside cells ignored)."""
-    return _morph(pixels, value, ellipse_kernel(size), F.min)
+    return _morph(pixels, value, size, ["min"])
 
 
 def morph_close(pixels: DataFrame, value: str = "label", size: int = 5) -> DataFrame:
     """closing = dilate (max) then erode (min) with an elliptical kernel;
-    out-of-image neighbours are ignored."""
-    return erode(dilate(pixels.select(*KEY, "height", "width", value), value, size), value, size)
+    out-of-image neighbours are ignored.  Both run on one band with a halo of
+    twice the kernel's radius: one exchange."""
+    return _morph(pixels, value, size, ["max", "min"])
 
 
 def gaussian_weights(sigma: float = 0.5, radius: int = 1) -> list[float]:
@@ -302,12 +232,8 @@ def smooth(pixels: DataFrame, values: Sequence[str] = ("b", "g", "r"), sigma: fl
            radius: int = 1) -> DataFrame:
     """Separable Gaussian smoothing (3x3, sigma 0.5), border reflected
     without repeating the edge; results rounded to 8-bit."""
-    g = gaussian_weights(sigma, radius)
-    kernel = {(dy, dx): g[dy + radius] * g[dx + radius]
-              for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)}
-    spread = focal_spread(pixels, values, radius, "reflect101", kernel)
-    aggs = [F.floor(F.sum(F.col("w") * F.col(v)) + F.lit(0.5)).cast("int").alias(v) for v in values]
-    return spread.groupBy("image_id", "y", "x").agg(*aggs)
+    operator = bands.weighted_window(gaussian_weights(sigma, radius), radius)
+    return bands.tile_map(pixels, values, radius, [(v, "int") for v in values], operator)
 
 
 # --- resampling: R6, R7 / J8 --------------------------------------------------
@@ -338,62 +264,17 @@ def resize_nearest(pixels: DataFrame, out_h: int | str, out_w: int | str, values
                         *carry, *values)
 
 
-def _bilinear_axis(t: Column, n: Column, o: int) -> tuple[Column, Column, Column]:
-    """Output coordinate ``t`` -> ``(s0, s1, frac)``: source position
-    ``(t + 0.5) * n / o - 0.5``, clamped at both edges (weight 0 beyond)."""
-    f = (t + F.lit(0.5)) * n / F.lit(float(o)) - F.lit(0.5)
-    s0 = F.floor(f)
-    frac = F.when((s0 < 0) | (s0 >= n - 1), F.lit(0.0)).otherwise(f - s0)
-    s0c = F.when(s0 < 0, F.lit(0)).when(s0 >= n - 1, n - 1).otherwise(s0).cast("int")
-    return s0c, F.least(s0c + 1, n - 1), frac
-
-
-def _bilinear_range(s: Column, n: Column, o: int) -> Column:
-    """Candidate output coordinates whose corners may include source ``s``
-    (a superset; exact weights filter it)."""
-    lo = F.greatest(F.lit(0), (F.floor((s - F.lit(1)) * F.lit(o) / n) - F.lit(1)).cast("int"))
-    hi = F.least(F.lit(o - 1), (F.ceil((s + F.lit(2)) * F.lit(o) / n) + F.lit(1)).cast("int"))
-    return F.sequence(lo, hi)
-
-
-def _bilinear_weight(t: Column, s: Column, n: Column, o: int) -> Column:
-    """Weight of source ``s`` for output ``t`` on one axis (both corners may
-    be ``s`` at a clamped edge: the weights add up)."""
-    s0, s1, frac = _bilinear_axis(t, n, o)
-    return (F.when(s0 == s, F.lit(1.0) - frac).otherwise(F.lit(0.0))
-            + F.when(s1 == s, frac).otherwise(F.lit(0.0)))
-
-
 def resize_bilinear(pixels: DataFrame, out_h: int, out_w: int, values: Sequence[str] = ("b", "g", "r"),
                     keep_source_size: bool = False) -> DataFrame:
     """Bilinear resize with pixel-centre alignment: source position
     ``(t + 0.5) * n / out - 0.5``, clamped at the edges, four weighted
     neighbours, rounded to 8-bit.
 
-    Source-side form: each source pixel explodes (map side) to the output
-    cells that use it as a corner, with its exact weight; one ``groupBy`` on
-    the output coordinate sums the weighted values (partial sums merge in the
-    map task).  One shuffle, no per-image dimension table, no join.
-    ``keep_source_size`` adds ``src_height`` / ``src_width`` from the same
-    aggregate, so a later resize back to the original size needs no join.
-    """
-    step1 = pixels.select("image_id", "x", "width", *values,
-                          F.explode(_bilinear_range(F.col("y"), F.col("height"), out_h)).alias("_ty"),
-                          F.col("y").alias("_sy"), F.col("height").alias("_h"), F.col("height").alias("_src_h"))
-    step1 = (step1.withColumn("_wy", _bilinear_weight(F.col("_ty"), F.col("_sy"), F.col("_h"), out_h))
-             .filter(F.col("_wy") > 0))
-    step2 = step1.select("image_id", "_ty", "_wy", "_src_h", *values,
-                         F.explode(_bilinear_range(F.col("x"), F.col("width"), out_w)).alias("_tx"),
-                         F.col("x").alias("_sx"), F.col("width").alias("_w"), F.col("width").alias("_src_w"))
-    spread = (step2.withColumn("_wx", _bilinear_weight(F.col("_tx"), F.col("_sx"), F.col("_w"), out_w))
-              .filter(F.col("_wx") > 0)
-              .select("image_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"),
-                      (F.col("_wy") * F.col("_wx")).alias("w"), "_src_h", "_src_w", *values))
-    aggs = [clip(F.floor(F.sum(F.col("w") * F.col(v)) + F.lit(0.5)), 0, 255).cast("int").alias(v) for v in values]
-    if keep_source_size:
-        aggs += [F.max("_src_h").alias("src_height"), F.max("_src_w").alias("src_width")]
-    return (spread.groupBy("image_id", "y", "x").agg(*aggs)
-            .withColumn("height", F.lit(out_h)).withColumn("width", F.lit(out_w)))
+    Two 1-D passes on bands of output rows; one exchange of the source pixels that
+    any output reads, no per-image dimension table, no join.  ``keep_source_size``
+    adds ``src_height`` / ``src_width``, so a later resize back to the original size
+    needs no join."""
+    return bands.resize_bilinear(pixels, out_h, out_w, values, keep_source_size)
 
 
 # --- theta join: J6 -------------------------------------------------------------

@@ -103,7 +103,7 @@ def segmenter_job(spark: SparkSession, images_dir: str, masks_dir: str, out_dir:
     with _sized(spark, [images_dir, masks_dir], size_shuffles):
         # pair check on the file listings (no decoding), then train without repeating it
         SEG.require_pairs(IM.list_images(spark, images_dir, glob), IM.list_images(spark, masks_dir, glob))
-        images = RA.decode_image_arrow(IM.read_images(spark, images_dir, glob=glob))
+        images = RA.decode_image(IM.read_images(spark, images_dir, glob=glob))
         masks = RA.decode_grey(IM.read_images(spark, masks_dir, glob=glob))
         model, report, _ = SEG.train_segmenter(images, masks, size=size, max_samples=max_samples, strict=False,
                                                **rf_params)
@@ -123,7 +123,7 @@ def scoring_job(spark: SparkSession, model_path: str, images_dir: str, out_dir:
         from pyspark.ml import PipelineModel
         model = PipelineModel.load(model_path)
         files = materialize(IM.read_images(spark, images_dir, glob=glob, drop_invalid=False, key="path"), "decoded_images")
-        out = SEG.segment(model, RA.decode_image_arrow(files), size, keep_grid=True)
+        out = SEG.segment(model, RA.decode_image(files), size, keep_grid=True)
         K.write_table(SEG.with_errors(files, out["coverage"]), _path(out_dir, "coverage"))
         K.write_pixels(out["mask"].select("image_id", "y", "x", "label", "mb", "mg", "mr"), _path(out_dir, "mask"))
         K.write_pixels(out["overlay"].select("image_id", "y", "x", "ob", "og", F.col("or")), _path(out_dir, "overlay"))

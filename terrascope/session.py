@@ -70,6 +70,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of a session, once:
+    its sources go as one zip file through the shared checkpoint folder."""
+    import io
+    import uuid
+    import zipfile
+    from pathlib import Path
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for source in sorted((root / "terrascope").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    uri = scratch_path(spark, f"terrascope-{uuid.uuid4().hex}.zip")
+    # through Hadoop's file systems, as Spark itself reads and writes that folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(uri)
+    _shipped.add(app)
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage: write ``df`` as a parquet table under the shared
     checkpoint folder and read it back (never ``localCheckpoint``).  A lost

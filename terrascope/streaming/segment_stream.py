@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrascope.operators.raster import decode_image_arrow
+from terrascope.operators.raster import decode_image
 from terrascope.plans.segmentation import segment, with_errors
 from terrascope.session import materialize
 from terrascope.sources.images import named
@@ -39,7 +39,7 @@ def coverage_sink(model: PipelineModel, out_path: str, size: int = 128):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         files = materialize(batch, "decoded_batch")
-        cov = with_errors(files, segment(model, decode_image_arrow(files), size)["coverage"])
+        cov = with_errors(files, segment(model, decode_image(files), size)["coverage"])
         cov.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     return run

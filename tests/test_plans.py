@@ -35,15 +35,11 @@ def test_group_limit_before_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_focal_one_exchange(spark):
-    plan = _plan(Q["focal_stats"](spark, SF_SMALL))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "partial_avg" in plan
-
-
-def test_bilinear_no_join(spark):
-    plan = _plan(Q["resample_bilinear"](spark, SF_SMALL))
-    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+@pytest.mark.parametrize("key", ["focal_stats", "focal_close", "focal_smooth", "resample_bilinear"])
+def test_band_operators_have_one_exchange(spark, key):
+    plan = _plan(Q[key](spark, SF_SMALL))
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert "FlatMapGroups" not in plan
 
 
 def test_size_checked_broadcasts(spark, tmpdir_run):
