@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from terrascope.functions.calendar import decade, month_start_text
 from terrascope.operators.joins import scalar, scalars
 from terrascope.operators.series import FEATURES, TARGET, kfold_assign, last_observation, month_cycle, time_split
+from terrascope.plans.forest import pruned
 
+#: Rows that a node of the random forest needs to be split.
+MIN_SPLIT = 5
 MODEL_ORDER = ("random_forest", "gradient_boosting", "linear_regression")
 
 
@@ -60,15 +63,19 @@ def regressor(kind: str, **params):
 
 
 def fit(train: DataFrame, kind: str, features: Sequence[str] = FEATURES, label: str = TARGET,
-        **params) -> PipelineModel:
-    """Fit VectorAssembler -> StandardScaler -> ``kind`` estimator on ``train``."""
+        min_split: int = MIN_SPLIT, **params) -> PipelineModel:
+    """Fit VectorAssembler -> StandardScaler -> ``kind`` estimator on ``train``.  No
+    split of a random forest has fewer than ``min_split`` rows (``forest.pruned``)."""
     est = regressor(kind, featuresCol="scaled", labelCol=label, predictionCol="prediction", **params)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features_vec"),
         StandardScaler(inputCol="features_vec", outputCol="scaled", withMean=True, withStd=True),
         est,
     ])
-    return pipe.fit(train)
+    model = pipe.fit(train)
+    if kind == "random_forest" and min_split > 2:
+        model = PipelineModel([*model.stages[:-1], pruned(train.sparkSession, model.stages[-1], min_split)])
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

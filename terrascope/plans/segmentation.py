@@ -6,8 +6,8 @@ labels, sample per image, split by class, fit a random forest, report.
 Scoring: resize, featurise, predict, scale the class grid back to the
 original size, then coverage, colour mask and overlay per image.
 
-The pixel table is the unit of distribution: every step is a projection, an
-explode, a join or a grouped aggregate on pixel coordinates.
+The pixel table is the unit of distribution.  Forests are grown by MLlib on a bounded
+sample; pixels are labelled by the forest's node arrays (``forest``).
 """
 
 from __future__ import annotations
@@ -21,16 +21,28 @@ from pyspark.sql import functions as F
 from terrascope.operators import metrics as MET
 from terrascope.operators import raster as RA
 from terrascope.operators.pairing import pixel_label_join
-from terrascope.operators.sampling import sample_per_image, stratified_split
-from terrascope.session import materialize
+from terrascope.operators.sampling import sample_per_image, sample_rows, stratified_split
+from terrascope.plans.forest import Forest, pruned
+from terrascope.session import ensure_checkpoint_dir, materialize
 
 FEATURE_COLS = ["b", "g", "r", "yn", "xn"]
 
 
+#: Training rows of a segmenter, at most: the original's 50 images of 500 pixels.
+MAX_ROWS = 25_000
+#: Tasks that grow a forest on that many rows.
+FIT_TASKS = 4
+#: Rows that a node needs to be split.
+MIN_SPLIT = 10
+
+
 def classifier(**params) -> RandomForestClassifier:
-    """M10 with the original hyper-parameters as defaults (MLlib has no
-    minimum-split-size parameter; ``minInstancesPerNode`` is the leaf size)."""
-    p = dict(numTrees=100, maxDepth=20, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=42)
+    """M10 with the original hyper-parameters as defaults (``minInstancesPerNode`` is
+    the leaf size; MLlib has no minimum split size, see ``forest.pruned``).  Rows keep
+    the number of their node in every tree between passes, so the half-grown forest is
+    not sent to the tasks of each level."""
+    p = dict(numTrees=100, maxDepth=20, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=42,
+             cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     p.update(params)
     return RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="prediction", **p)
 
@@ -72,9 +84,12 @@ def require_pairs(images: DataFrame, masks: DataFrame) -> None:
 
 
 def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_samples: int = 500,
-                    seed: int = 42, test_fraction: float = 0.2, strict: bool = True, **rf_params):
+                    seed: int = 42, test_fraction: float = 0.2, strict: bool = True, max_rows: int = MAX_ROWS,
+                    min_split: int = MIN_SPLIT, **rf_params):
     """Q8: returns ``(model, report_df, test_predictions)``.  ``strict``
-    requires every image to have a mask and vice versa."""
+    requires every image to have a mask and vice versa.  At most ``max_samples`` pixels
+    an image and ``max_rows`` in all are used, in hash order; no split of the
+    forest has fewer than ``min_split`` rows."""
     if strict:
         require_pairs(images.select("image_id").distinct(), masks.select("image_id").distinct())
     # The samples (at most max_samples per image) are written before the split,
@@ -82,11 +97,17 @@ def train_segmenter(images: DataFrame, masks: DataFrame, size: int = 128, max_sa
     # level: a lost executor re-reads files instead of re-running the resize /
     # join / sample plan.
     samples = materialize(training_pixels(images, masks, size, max_samples, seed), "segmenter_samples")
+    if samples.count() > max_rows:
+        samples = materialize(sample_rows(samples, max_rows, seed), "segmenter_sample")
     data = materialize(stratified_split(samples, test_fraction=test_fraction, seed=seed), "segmenter_training")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="features"),
                             classifier(**rf_params)])
-    model = pipe.fit(data.filter("is_train"))
-    test_pred = model.transform(data.filter(~F.col("is_train"))).drop("features", "rawPrediction", "probability")
+    spark = data.sparkSession
+    ensure_checkpoint_dir(spark)
+    # a pass ships the statistics of every open node from each task, so few tasks take these few rows
+    model = pipe.fit(data.filter("is_train").coalesce(FIT_TASKS))
+    model = PipelineModel([*model.stages[:-1], pruned(spark, model.stages[-1], min_split)])
+    test_pred = Forest.of(spark, model).label(data.filter(~F.col("is_train")), FEATURE_COLS, "prediction")
     return model, MET.classification_report(test_pred), test_pred
 
 
@@ -95,9 +116,8 @@ def predict_pixels(model: PipelineModel, pixels: DataFrame, size: int = 128) ->
     height, width, src_height, src_width, label``."""
     small = RA.resize_bilinear(pixels, size, size, ("b", "g", "r"), keep_source_size=True)
     feats = RA.pixel_features(small, carry=("src_height", "src_width"))
-    scored = model.transform(feats)
-    return scored.select("image_id", "y", "x", "height", "width", "src_height", "src_width",
-                         F.col("prediction").cast("int").alias("label"))
+    scored = Forest.of(pixels.sparkSession, model).label(feats, FEATURE_COLS)
+    return scored.select("image_id", "y", "x", "height", "width", "src_height", "src_width", "label")
 
 
 def segment(model: PipelineModel, pixels: DataFrame, size: int = 128, keep_grid: bool = False) -> dict[str, DataFrame]:

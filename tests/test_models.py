@@ -89,12 +89,78 @@ def test_save_load_roundtrip(spark, tmpdir_run):
     assert a == b
 
 
-def test_registered_segmenter_has_the_operators_own_forest(spark, monkeypatch):
-    from terrascope.plans import model_cache, raster_queries as RQ
-    seen = {}
-    monkeypatch.setattr(model_cache, "cached_model", lambda spark, sf, name, fit: fit())
-    monkeypatch.setattr(RQ, "_px", lambda *a: None)
-    monkeypatch.setattr(RQ, "_masks", lambda *a: None)
-    monkeypatch.setattr(RQ.SEG, "train_segmenter", lambda *a, **options: seen.update(options))
-    RQ._trained(spark, "x")
-    assert seen == {"size": RQ.MODEL_GRID}
+def _forest_data(spark, n=900):
+    import numpy as np
+    rng = np.random.default_rng(12)
+    x = rng.random((n, 5))
+    y = ((x[:, 0] + x[:, 1] + rng.normal(0, 0.2, n)) > 1).astype(int)
+    return spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, y)], "b double, g double, r double, yn double, xn double, label int")
+
+
+def test_no_small_node_is_split_and_labels_are_those_of_the_model(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from terrascope.plans import forest as FO, segmentation as SEG
+    df = _forest_data(spark)
+    grown = Pipeline(stages=[VectorAssembler(inputCols=SEG.FEATURE_COLS, outputCol="features"),
+                             SEG.classifier(numTrees=8, maxDepth=9, minInstancesPerNode=1)]).fit(df)
+    cut = FO.pruned(spark, grown.stages[-1], 40)
+
+    def nodes(model):
+        return {(r.tree, r.node): r for r in FO.node_table(spark, FO._saved(spark, model, "test-forest")).collect()}
+    before, after = nodes(grown.stages[-1]), nodes(cut)
+    assert any(r.left >= 0 and r.rows < 40 for r in before.values())
+    assert all(r.rows >= 40 for r in after.values() if r.left >= 0)
+    # the kept part of every tree is as it was grown
+    todo = [((t, 0), (t, 0)) for t in range(8)]
+    seen = 0
+    while todo:
+        a, b = todo.pop()
+        old, new = before[a], after[b]
+        seen += 1
+        assert (old.rows, old.stats, old.prediction) == (new.rows, new.stats, new.prediction)
+        assert (new.left >= 0) == (old.left >= 0 and old.rows >= 40)
+        if new.left >= 0:
+            assert (old.feature, old.threshold) == (new.feature, new.threshold)
+            todo += [((a[0], old.left), (b[0], new.left)), ((a[0], old.right), (b[0], new.right))]
+    assert seen == len(after)
+    for model in (grown, type(grown)([grown.stages[0], cut])):
+        both = model.transform(FO.Forest.of(spark, model).label(df, SEG.FEATURE_COLS, "mine"))
+        assert both.where("mine != prediction").count() == 0 and both.count() == 900
+
+
+def test_regression_forest_is_cut_too(spark):
+    from terrascope.plans import forest as FO
+    df = _forest_data(spark, 300).withColumn("t", F.col("b") * 3 + F.col("g"))
+    model = M.fit(df, "random_forest", ["b", "g", "r"], "t", min_split=30, numTrees=3, maxDepth=6)
+    rows = FO.node_table(spark, FO._saved(spark, model.stages[-1], "test-forest")).collect()
+    assert any(r.left >= 0 for r in rows) and all(r.rows >= 30 for r in rows if r.left >= 0)
+    assert M.score(model, df).where("abs(prediction - t) > 1.5").count() == 0
+
+
+def test_registered_segmenter_trains_the_operators_own_forest(spark, monkeypatch):
+    """The registered query on a few images, unmocked, at the operator's own settings."""
+    from terrascope.plans import model_cache, raster_queries as RQ, segmentation as SEG
+    px, masks = RQ._px, RQ._masks
+    monkeypatch.setattr(RQ, "_px", lambda s, sf: px(s, sf).where("image_id < 6"))
+    monkeypatch.setattr(RQ, "_masks", lambda s, sf: masks(s, sf).where("image_id < 6"))
+    monkeypatch.setattr(model_cache, "_MODELS", {})
+    report = {r["class"]: r for r in RQ.q_pixel_classifier(spark, SF_SMALL).collect()}
+    forest = RQ._model(spark, SF_SMALL).stages[-1]
+    assert forest.getNumTrees == 100 and forest.getOrDefault("maxDepth") == 20
+    assert report["accuracy"].support == round(6 * 256 * 0.2) and report["accuracy"].f1_score > 0.6
+    assert RQ.q_segment_images(spark, SF_SMALL).count() == 6
+    assert SEG.MAX_ROWS == 25_000 and SEG.MIN_SPLIT == 10
+
+
+def test_training_rows_are_bounded(spark):
+    from terrascope.operators.sampling import sample_per_image, sample_rows
+    big = spark.range(12_000).selectExpr("id % 2 as image_id", "cast(id / 200 as int) as y", "cast(id % 200 as int) as x")
+    for k in (1500, 5000):
+        some = sample_per_image(big, k)
+        assert some.groupBy("image_id").count().agg(F.min("count"), F.max("count")).first() == (k, k)
+        assert "WindowGroupLimit" not in some._jdf.queryExecution().executedPlan().toString()
+    small = sample_per_image(big, 900)
+    assert small.exceptAll(sample_per_image(big, 1500)).count() == 0      # the same order whatever the plan
+    assert sample_rows(big, 4321).count() == 4321 and sample_rows(big, 99_999).count() == 12_000
