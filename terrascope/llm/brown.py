@@ -7,10 +7,11 @@
   last three bytes, as unseen words do.  The document end is a unit and a class
   of its own and also stands before the first word.
 * Clustering.  Spark counts the neighbours of every unit over the whole training
-  text.  The exchange algorithm first runs in memory on ``clustered_words`` words
-  and ``seed_groups`` suffix groups, for a start.  Then sweeps run as Spark jobs:
-  each unit's neighbours are summed by class (a sparse table), and it moves to
-  the class that raises the likelihood of the class bigrams most.  The driver
+  text and packs them into a row per unit (several for a frequent one).  The
+  exchange algorithm first runs in memory on ``clustered_words`` words and
+  ``seed_groups`` suffix groups, for a start.  Then sweeps run over that table
+  without a shuffle, but for frequent units: a unit's neighbours are summed by
+  class, and it moves to the class that raises the likelihood of the class bigrams most.  The driver
   holds the class totals and one class per unit; a sweep that does not raise the
   likelihood is taken back and ends the clustering.
 * Emission.  Exact counts of all training words.  Each seen word gives up an
@@ -153,12 +154,59 @@ def _blocks(keys: np.ndarray, n: np.ndarray, names: list, split: int):
                                           pa.array(n[a:a + 100_000])], names=names)
 
 
-def unit_links(rows: DataFrame, table: np.ndarray, first_bucket: int, buckets: int) -> DataFrame:
-    """``(unit, link, n)``: how often each unit stands beside another, over all
-    texts; link = 2 * other unit, plus 1 where the other one follows.  Word
-    ``table[i]`` is unit 1 + i, the rest are their suffix units."""
+def _packed(unit: np.ndarray, piece: np.ndarray, link: np.ndarray, n: np.ndarray, kind) -> pa.RecordBatch:
+    """One row per (unit, piece) of links sorted by them: the links (32 bit) and their
+    counts (``kind``) as bytes."""
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(unit))
+
+    def blobs(x: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [
+            None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(unit[first], pa.int32()), pa.array(piece[first], pa.int32()), blobs(link.astype(np.int32)), blobs(n.astype(kind))],
+        names=["unit", "piece", "links", "counts"])
+
+
+SCHEMA = "unit int, piece int, links binary, counts binary"
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """``(values, bounds)`` of a column of packed numbers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return values, (ends - ends[0]) // size
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(units, row of every link, links, counts)`` of a batch of the links table."""
+    link, bounds = _flat(batch.column(2), np.int32)
+    n, _ = _flat(batch.column(3), np.int64)
+    return batch.column(0).to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(bounds)), link, n
+
+
+def unit_pieces(count: np.ndarray, parts: int) -> np.ndarray:
+    """Into how many pieces the links of each unit are cut, by its occurrences: no piece
+    holds more than about a ``16 * parts``-th of the corpus."""
+    bound = max(1, int(count.sum()) // (16 * parts))
+    return np.maximum(1, -(-count // bound)).astype(np.int64)
+
+
+def unit_links(rows: DataFrame, table: np.ndarray, first_bucket: int, buckets: int, pieces: np.ndarray) -> DataFrame:
+    """``(unit, piece, links, counts)``: how often each unit stands beside another, over all
+    texts; link = 2 * other unit, plus 1 where the other one follows.  Word ``table[i]`` is
+    unit 1 + i, the rest are their suffix units.  The links of a unit are packed into one
+    row, those of a ``frequent`` unit into a row per piece (by the other unit)."""
     units = first_bucket + buckets
 
+    def place(unit, other):
+        cut = pieces[unit]
+        return np.where(cut > 1, (mix(other.astype(np.uint64)) % cut.astype(np.uint64)).astype(np.int64), 0)
+
     def run(batches):
         def parts():
             for batch in batches:
@@ -171,12 +219,43 @@ def unit_links(rows: DataFrame, table: np.ndarray, first_bucket: int, buckets: i
                     yield before * units + unit, np.ones(len(unit), dtype=np.int64)
         for pair, n in _summed(parts()):
             u, v = pair // units, pair % units
-            yield from _blocks(u * (2 * units) + 2 * v + 1, n, ["unit", "link", "n"], 2 * units)
-            yield from _blocks(v * (2 * units) + 2 * u, n, ["unit", "link", "n"], 2 * units)
-
-    # rows of a unit lie together, so that later sums by unit shrink in the reading tasks
-    return (rows.select("text").mapInArrow(run, "unit int, link int, n long").repartition("unit")
-            .groupBy("unit", "link").agg(F.sum("n").alias("n")).sortWithinPartitions("unit"))
+            for unit, other, side in ((u, v, 1), (v, u, 0)):
+                piece = place(unit, other)
+                order = np.lexsort((piece, unit))
+                for a in range(0, len(order), 200_000):
+                    some = order[a:a + 200_000]
+                    yield _packed(unit[some], piece[some], 2 * other[some] + side, n[some], np.int64)
+
+    def merge(batches):
+        """Rows of one (unit, piece) lie together: their links are summed into one row."""
+        held = None
+        for batch in batches:
+            unit, row, link, n = _unpacked(batch)
+            key = unit.astype(np.int64) * (int(pieces.max()) + 1) + batch.column(1).to_numpy()
+            of = key[row]
+            if held is not None:
+                of, link, n = (np.concatenate(x) for x in zip(held, (of, link, n)))
+            last = int(key[-1])
+            order = np.lexsort((link, of))
+            of, link, n = of[order], link[order], n[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (link[1:] != link[:-1])
+            first = np.flatnonzero(new)
+            of, link, n = of[first], link[first], np.add.reduceat(n, first)
+            done = int(np.searchsorted(of, last)) if (np.diff(key) >= 0).all() else 0
+            held = of[done:], link[done:], n[done:]
+            if done:
+                yield split(of[:done], link[:done], n[:done])
+        if held is not None and len(held[0]):
+            yield split(*held)
+
+    def split(of, link, n):
+        width = int(pieces.max()) + 1
+        out = _packed(of // width, of % width, link, n, np.int64)
+        return out.append_column("frequent", pa.array(pieces[out.column(0).to_numpy()] > 1))
+
+    return (rows.select("text").mapInArrow(run, SCHEMA).repartition("unit", "piece")
+            .sortWithinPartitions("unit", "piece").mapInArrow(merge, SCHEMA + ", frequent boolean"))
 
 
 def group_bigrams(links: DataFrame, group: np.ndarray, groups: int) -> np.ndarray:
@@ -184,11 +263,18 @@ def group_bigrams(links: DataFrame, group: np.ndarray, groups: int) -> np.ndarra
     def run(batches):
         def parts():
             for batch in batches:
-                unit, link, n = (c.to_numpy() for c in batch.columns)
+                unit, row, link, n = _unpacked(batch)
                 k = np.flatnonzero(link & 1)
-                yield group[unit[k]].astype(np.int64) * groups + group[link[k] >> 1], n[k]
-        for key, n in _summed(parts()):
-            yield from _blocks(key, n, ["a", "b", "n"], groups)
+                yield group[unit][row[k]].astype(np.int64) * groups + group[link[k] >> 1], n[k]
+        if groups > 128:
+            for key, n in _summed(parts()):
+                yield from _blocks(key, n, ["a", "b", "n"], groups)
+            return
+        total = np.zeros(groups * groups, np.int64)
+        for key, n in parts():
+            total += np.bincount(key, weights=n, minlength=len(total)).astype(np.int64)
+        key = np.flatnonzero(total)
+        yield from _blocks(key, total[key], ["a", "b", "n"], groups)
 
     got = links.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((groups, groups))
@@ -238,25 +324,37 @@ def gains(n: np.ndarray, cls: np.ndarray, right: np.ndarray, left: np.ndarray, o
 
 
 def sweep(links: DataFrame, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Classes after one sweep over all units: Spark sums the neighbours of each
-    unit by class, and every task moves its units one small group after another,
-    keeping its own copy of the class totals ``n`` up to date."""
+    """Classes after one sweep over all units: every task moves its units one small
+    group after another, keeping its own copy of the class totals ``n`` up to date.  A
+    unit of one row moves in the task that reads it; the pieces of frequent units are
+    summed by class first."""
     classes = len(n)
     width = 2 * classes + 1
     small = cls.astype(np.int16)
 
+    def slots(batch):
+        unit, row, link, c = _unpacked(batch)
+        other, follows, own = link >> 1, link & 1, unit[row]
+        slot = np.where(other == own, 2 * classes, follows * classes + small[other])
+        k = np.flatnonzero((other != own) | (follows == 1))
+        return unit, row[k], slot[k], c[k]
+
+    def whole(batches):
+        totals = n.copy()
+        for batch in batches:
+            unit, row, slot, c = slots(batch)
+            counts = np.bincount(row * width + slot, weights=c, minlength=len(unit) * width).reshape(len(unit), width)
+            yield moves(unit, counts, totals)
+
     def by_class(batches):
         def parts():
             for batch in batches:
-                unit, link, c = (x.to_numpy() for x in batch.columns)
-                other, follows = link >> 1, link & 1
-                slot = np.where(other == unit, 2 * classes, follows * classes + small[other])
-                k = np.flatnonzero((other != unit) | (follows == 1))
-                yield unit[k].astype(np.int64) * width + slot[k], c[k]
+                unit, row, slot, c = slots(batch)
+                yield unit[row].astype(np.int64) * width + slot, c
         for key, c in _summed(parts()):
             yield from _blocks(key, c, ["unit", "slot", "n"], width)
 
-    def move(batches):
+    def summed(batches):
         totals = n.copy()
         for batch in batches:
             unit = batch.column(0).to_numpy()
@@ -264,28 +362,33 @@ def sweep(links: DataFrame, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
             x = batch.column(1).flatten()
             counts = np.zeros((len(unit), width))
             counts[of, x.field("slot").to_numpy()] = x.field("n").to_numpy()
-            to = small[unit].astype(np.int64)
-            for a in range(0, len(unit), 64):
-                part = np.arange(a, min(a + 64, len(unit)))
-                left, right, own = counts[part, :classes], counts[part, classes:-1], counts[part, -1]
-                gain = gains(totals, to[part], right, left, own)
-                stay = gain[np.arange(len(part)), to[part]]
-                best = gain.argmax(axis=1)
-                for j in np.flatnonzero((gain.max(axis=1) > stay + 1e-9) & (unit[part] > 0)):
-                    old, new = to[part[j]], best[j]
-                    for c, sign in ((old, -1), (new, 1)):
-                        totals[c, :] += sign * right[j]
-                        totals[:, c] += sign * left[j]
-                        totals[c, c] += sign * own[j]
-                    np.maximum(totals, 0, out=totals)  # units of one group may be each other's neighbours
-                    to[part[j]] = new
-            moved = np.flatnonzero(to != small[unit])
-            yield pa.RecordBatch.from_arrays([pa.array(unit[moved]), pa.array(to[moved], pa.int32())], names=["unit", "to"])
-
-    counted = links.mapInArrow(by_class, "unit int, slot int, n long").repartition("unit")
+            yield moves(unit, counts, totals)
+
+    def moves(unit, counts, totals):
+        to = small[unit].astype(np.int64)
+        for a in range(0, len(unit), 64):
+            part = np.arange(a, min(a + 64, len(unit)))
+            left, right, own = counts[part, :classes], counts[part, classes:-1], counts[part, -1]
+            gain = gains(totals, to[part], right, left, own)
+            stay = gain[np.arange(len(part)), to[part]]
+            best = gain.argmax(axis=1)
+            for j in np.flatnonzero((gain.max(axis=1) > stay + 1e-9) & (unit[part] > 0)):
+                old, new = to[part[j]], best[j]
+                for c, sign in ((old, -1), (new, 1)):
+                    totals[c, :] += sign * right[j]
+                    totals[:, c] += sign * left[j]
+                    totals[c, c] += sign * own[j]
+                np.maximum(totals, 0, out=totals)  # units of one group may be each other's neighbours
+                to[part[j]] = new
+        moved = np.flatnonzero(to != small[unit])
+        return pa.RecordBatch.from_arrays([pa.array(unit[moved]), pa.array(to[moved], pa.int32())], names=["unit", "to"])
+
+    cold = links.where(~F.col("frequent")).mapInArrow(whole, "unit int, to int")
+    counted = links.where("frequent").mapInArrow(by_class, "unit int, slot int, n long")
     counted = counted.groupBy("unit", "slot").agg(F.sum("n").alias("n"))
-    got = (counted.groupBy("unit").agg(F.collect_list(F.struct("slot", "n")).alias("counts"))
-           .mapInArrow(move, "unit int, to int").toArrow())  # at most a row per unit
+    hot = (counted.groupBy("unit").agg(F.collect_list(F.struct("slot", "n")).alias("counts")).sortWithinPartitions("unit")
+           .mapInArrow(summed, "unit int, to int"))
+    got = cold.unionByName(hot).toArrow()  # at most a row per unit
     out = cls.copy()
     out[got["unit"].to_numpy()] = got["to"].to_numpy()
     return out
@@ -396,7 +499,14 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
     groups = min(seed_groups, suffix_buckets)
     seed = np.concatenate(([0], 1 + clustered_words + bucket_of % groups, 1 + clustered_words + np.arange(suffix_buckets) % groups))
     seed[1 + own] = 1 + np.arange(len(own))
-    links = keep_table(unit_links(rows, table, first_bucket, suffix_buckets), "links")
+    occurrences = np.zeros(first_bucket + suffix_buckets, np.int64)
+    occurrences[0], occurrences[1:first_bucket] = ends, count
+    rare = real.where(F.col("n") < least).groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()  # a row per bucket
+    for r in rare:
+        occurrences[first_bucket + r.bucket] = r.n
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = unit_pieces(occurrences, parts)
+    links = keep_table(unit_links(rows, table, first_bucket, suffix_buckets, pieces), "links")
     cls, n = cluster(links, seed, 1 + clustered_words + groups, classes, sweeps)
     class_total = n.sum(axis=0)
     successors = (n > 0).sum(axis=1, keepdims=True)
@@ -406,9 +516,8 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
     bucket_class = cls[first_bucket:]
     table_class = cls[1:first_bucket]
     class_kinds = np.bincount(table_class, minlength=classes).astype(float)
-    rare = real.where(F.col("n") < least).groupBy("bucket").count().collect()  # a row per bucket
     for r in rare:
-        class_kinds[bucket_class[r["bucket"]]] += r["count"]
+        class_kinds[bucket_class[r.bucket]] += r.kinds
     discount = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
     top = [(int(table[i]), int(count[i]), int(table_class[i])) for i in own]
     return Model(words, int(total), int(kinds), int(ends), int(least), discount, table, count, table_class, bucket_class,

@@ -154,3 +154,38 @@ def test_every_word_is_clustered_by_its_own_neighbours(spark, tmpdir_run):
         got.setdefault(of[int(h)], []).append(int(c))
     assert sorted(map(len, got.values())) == [40, 40]
     assert all(len(set(x)) == 1 for x in got.values()) and len({x[0] for x in got.values()}) == 2
+
+
+def test_packed_links_are_all_neighbours(spark, tmpdir_run):
+    docs = corpus(spark, tmpdir_run + "/docs").repartition(4)
+    from terrascope.llm.common import with_row
+    from terrascope.llm.textvec import Words, text_slices
+    rows = with_row(docs, "doc_id", "text")
+    import pyarrow as pa
+    texts = [r.text for r in docs.collect()]
+    words = sorted({w for t in texts for w in tokens(t) if w})
+    hashes = {}
+    for _, _, data, offs in text_slices(pa.array([" ".join(words)])):
+        w = Words(data, offs)
+        hashes.update(zip(words, w.hash.tolist()))
+    table = np.sort(np.array(list(hashes.values()), np.uint64))
+    unit = {w: 1 + int(np.searchsorted(table, h)) for w, h in hashes.items()}
+    want, count = Counter(), Counter()
+    for t in texts:
+        path = [0] + [unit[w] if w else 0 for w in tokens(t)]
+        count.update(path[1:])
+        for a, b in zip(path, path[1:]):
+            want[a, 2 * b + 1] += 1
+            want[b, 2 * a] += 1
+    units = len(table) + 1 + 4
+    occurrences = np.array([count[i] for i in range(units)])
+    for parts in (1, 40):
+        pieces = brown.unit_pieces(occurrences, parts)
+        got, rows_of = Counter(), Counter()
+        for r in brown.unit_links(rows, table, len(table) + 1, 4, pieces).collect():
+            links, n = np.frombuffer(r.links, np.int32), np.frombuffer(r.counts, np.int64)
+            assert r.frequent == (pieces[r.unit] > 1) and len(set(links.tolist())) == len(links)
+            rows_of[r.unit] += 1
+            got.update({(r.unit, int(k)): int(x) for k, x in zip(links, n)})
+        assert got == want
+        assert all(rows_of[u] <= pieces[u] for u in rows_of) and (parts == 1 or max(rows_of.values()) > 1)
