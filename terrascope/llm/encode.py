@@ -5,7 +5,9 @@ of its pre-tokens in order.  The text is cut at places that are pre-token
 starts whatever surrounds them: a single space between two visible characters,
 before and after a single newline between two visible characters, and where an
 ASCII sign follows a letter.  "Visible" and "letter" are judged for ASCII and
-the Latin-1 letters only; elsewhere no cut is made, which is always right.
+the Latin-1 letters only; elsewhere no cut is made, which is always right.  Nor is
+one made inside the string of an added token (``<|endoftext|>``), which the tokenizer
+turns into one id wherever it stands.
 
 The parts repeat (words), so their ids are kept in a bounded table looked up by
 64-bit hash for a whole slice of texts at once; only parts not seen before go
@@ -72,7 +74,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._added = [t.content for t in self._tok.get_added_tokens_decoder().values() if t.content]
         self._max = max_entries
         self._line = self._tok.encode("\n", add_special_tokens=False).ids
         self._clear()
@@ -96,7 +98,7 @@ class Encoder:
         for a in range(0, len(parts), 500):
             group = parts[a:a + 500]
             text = b"\n".join(group).decode()
-            plain = (len(self._line) == 1 and text.count("\n") == len(group) - 1 and "  " not in text
+            plain = (not any(t in text for t in self._added) and len(self._line) == 1 and text.count("\n") == len(group) - 1 and "  " not in text
                      and " \n" not in text and text[-1:] != " " and not _OTHER_WHITE.search(text))
             if plain:
                 x = np.asarray(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -112,10 +114,29 @@ class Encoder:
                 lengths.append(np.array([len(p) for p in one], dtype=np.int64))
         return np.concatenate(flats), np.concatenate(lengths)
 
+    def _parts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """``cuts``, without those inside the string of an added token."""
+        start = cuts(data, offs)
+        raw = data.tobytes()
+        for token in self._added:
+            word = token.encode()
+            at = raw.find(word)
+            while at >= 0:
+                a, b = np.searchsorted(start, [at + 1, at + len(word)])
+                inner = start[a:b]
+                text = np.searchsorted(offs, at, side="right")
+                if offs[text] < at + len(word):       # it reaches into the next text: none
+                    at = raw.find(word, at + 1)
+                    continue
+                if len(inner):
+                    start = np.delete(start, slice(a, b))
+                at = raw.find(word, at + len(word))
+        return start
+
     def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)`` of the texts of a slice (see ``text_slices``):
         text ``d`` has the ids ``ids[bounds[d]:bounds[d+1]]`` (unsigned 32 bit)."""
-        start = cuts(data, offs)
+        start = self._parts(data, offs)
         if len(start) == 0:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offs), dtype=np.int64)
         end = np.append(start[1:], len(data))

@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def ids_of(text, end):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return np.array(tok.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 

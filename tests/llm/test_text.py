@@ -52,8 +52,8 @@ def test_shingles():
 
 def test_encoding_equals_the_tokenizer():
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    texts = random_texts(20_000) + [None, "word " * 5000, "The quick, brown fox's.\nJumps!"]
+    texts = random_texts(20_000) + [None, "word " * 5000, "The quick, brown fox's.\nJumps!",
+        "end<|endoftext|>next", "a.<|endoftext|>", "<|endoftext|>", "x <|endoftext|> y\n<|endoftext|><|endoftext|>z <|endoftext", "|>b"]
     want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     got = []
     for a, b, data, offs in text_slices(pa.array(texts), limit=5000):
