@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, ship, strings, with_row
+from terrascope.llm.common import ROW, keep_table, ship, strings, with_row
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -231,9 +231,10 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], threshold: float, w
 
 
 def corpus_words(docs: DataFrame, text_column: str = "text", most: int = WORD_TABLE) -> list[str]:
-    """The ``most`` words that most documents hold (two at least), most frequent
-    first, lower-cased; words in mixed case and values after credential words do
-    not count."""
+    """The words that most documents hold (two at least), most frequent first,
+    lower-cased; words in mixed case and values after credential words do not count.
+    All words from the least count on that leaves at most ``most`` of them: it comes
+    from a histogram of log-spaced counts, so no more rows reach the driver."""
     def run(batches):
         held: dict[str, int] = {}
 
@@ -261,8 +262,18 @@ def corpus_words(docs: DataFrame, text_column: str = "text", most: int = WORD_TA
             yield emit()
 
     counts = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = keep_table(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2"), "corpus-words")
+    step = F.floor(F.log2(F.col("n")) * 64)
+    histogram = counts.groupBy(step.alias("s")).agg(F.count("*").alias("c"), F.min("n").alias("low")).collect()
+    least, held = None, 0
+    for r in sorted(histogram, reverse=True):       # some thousand rows at most
+        held += r.c
+        if held > most:
+            break
+        least = r.low
+    if least is None:
+        return []
+    return [w for w, n in sorted(((r.word, r.n) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))]
 
 
 _FOUND = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
