@@ -2,9 +2,9 @@
 
 A document is the average of learned vectors of its hashed words and character
 n-grams (``features``), followed by a softmax over the two labels; both layers
-are trained by stochastic gradient descent in numpy on the driver, on a bounded
+are trained by stochastic gradient descent in numpy, in one task, on a bounded
 hash sample of the labelled rows (``max_rows``; their features are computed by
-Spark and only those are collected).  Because the softmax is linear in the
+Spark); only the trained weights reach the driver.  Because the softmax is linear in the
 average, a trained model is one weight per bucket, and scoring is one pass over
 the texts without a shuffle.
 
@@ -39,8 +39,8 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_column: str = "doc_id",
-                  text_column: str = "text") -> list[tuple[int, bytes, bytes]]:
-    """``(label, buckets, shares)`` of at most ``max_rows`` labelled documents."""
+                  text_column: str = "text") -> DataFrame:
+    """``(id, label, b, w)``: buckets and shares of at most ``max_rows`` labelled documents."""
     known = (labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull())
              .groupBy(F.col(id_column).cast("long").alias("l_id")).agg(F.max(label).cast("int").alias("label")))
     n = known.count()
@@ -57,11 +57,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
                  pa.array([w for _, w in got], pa.binary())], names=["id", "label", "b", "w"])
 
     found = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, b binary, w binary")
-    # repeated document rows may exceed the bound again
-    return [(r.label, bytes(r.b), bytes(r.w)) for r in sorted(found.limit(max_rows).collect())]
+    return found.limit(max_rows)      # repeated document rows may exceed the bound again
 
 
-def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32,
+def train(rows: DataFrame, **options) -> Model:
+    """``fit`` of the training rows, in one task (their number is bounded)."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        held = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        model = fit([r[1:] for r in sorted(held)], **options)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
+
+    got = rows.select("id", "label", "b", "w").coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(got.weights, np.float32), got.bias) if got else fit([])
+
+
+def fit(rows: list[tuple[int, bytes, bytes]], dim: int = 8, epochs: int = 6, rate: float = 0.5, batch: int = 32,
           min_steps: int = 1000, seed: int = 7) -> Model:
     """Fit embeddings, softmax weights and biases by stochastic gradient descent:
     ``epochs`` passes, more if they make fewer than ``min_steps`` steps."""
