@@ -86,10 +86,19 @@ def without_rows(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:
     return number_rows(df, number).join(listed, F.col(number) == F.col(gone), "left_anti").drop(number)
 
 
+def stable_rows(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain scan of files, whose rows every scan numbers alike
+    (``number_rows``), else a written copy of it."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return df if "LogicalRelation" in node.getClass().getSimpleName() else keep_table(df, "rows")
+
+
 def number_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` plus a row number.  The number follows the files and their splits,
     so every scan of the same files gives the same; ``df`` is a table read from
-    files (or a checkpoint)."""
+    files (or a checkpoint; see ``stable_rows``)."""
     pin_splits(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 

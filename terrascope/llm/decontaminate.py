@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, ship, with_row, without_rows
+from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, ship, stable_rows, with_row, without_rows
 from terrascope.llm.textvec import Words, mix, sequence_hash, text_slices
 
 #: Number words and units.
@@ -263,4 +263,5 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item (all columns unchanged)."""
+    docs = stable_rows(docs)
     return without_rows(docs, matches(docs, items, **options).select(ROW).distinct(), ROW)

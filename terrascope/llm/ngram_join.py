@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, with_row, without_rows
-from terrascope.llm.components import components
+from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, stable_rows, with_row, without_rows
+from terrascope.llm.components import components, joined
 from terrascope.llm.textvec import Words, text_slices
 
 _BITS = 2048  # of a bitmap signature
@@ -340,8 +340,7 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str
     work = work.join(chosen.select("entity", "bitmap").join(early, "entity"), "entity")
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = keep_table(cross_pairs(work, percent).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
-    links = links.union(verify(crossing, rows, reps, k, percent))
-    groups = components(links, "a", "b")
+    groups = joined(groups, verify(crossing, rows, reps, k, percent), "a", "b")
 
     named = entities.join(groups, F.col("entity") == F.col("node"), "left").select(
         "entity", "rep", F.coalesce("component", "entity").alias("component"))
@@ -358,5 +357,6 @@ def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id",
                text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each linked group (all columns unchanged)."""
+    docs = stable_rows(docs)
     groups = linked_groups(docs, k, percent, id_column, text_column)
     return without_rows(docs, groups.where(~F.col("first")), ROW)

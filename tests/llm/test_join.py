@@ -6,7 +6,7 @@ import re
 import pytest
 
 from terrascope.llm import ngram_join
-from terrascope.llm.components import components
+from terrascope.llm.components import components, joined
 from tests.llm.frames import edge_docs, edge_rows, empty_docs, saved, sentence
 
 
@@ -120,3 +120,38 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_rows_of_any_frame_are_kept_alike(spark):
+    """A frame that is no scan of files may number its rows anew in every scan."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(r.doc_id for r in ngram_join.keep_first(docs).select("doc_id").collect())
+    got = sorted(r.doc_id for r in ngram_join.keep_first(docs.repartition(7)).select("doc_id").collect())
+    assert got == want
+
+
+def test_components_of_chains_hubs_and_later_links(spark):
+    import random
+
+    from terrascope.llm.components import components, joined
+    rnd = random.Random(2)
+    first = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 900)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(40)]
+    later = [(60, 1400), (5000, 5003), (7000, 7001), (5079, 7001), (3, 9)]
+    rnd.shuffle(first)
+
+    def plain(edges):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {(x, find(x)) for x in root}
+    frame = spark.createDataFrame(first, "a long, b long")
+    groups = components(frame, "a", "b").cache()
+    assert {tuple(r) for r in groups.collect()} == plain(first)
+    assert {tuple(r) for r in joined(groups, spark.createDataFrame(later, "a long, b long"), "a", "b").collect()} == plain(first + later)
+    assert {tuple(r) for r in joined(groups, spark.createDataFrame([], "a long, b long"), "a", "b").collect()} == plain(first)
