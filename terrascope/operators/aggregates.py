@@ -26,6 +26,13 @@ def slope(y: str | Column, x: str | Column) -> Column:
     return F.coalesce(F.regr_slope(y, x), F.lit(0.0))
 
 
+def least_norm_slope(y: Column, x: Column) -> Column:
+    """The slope where rows have several ``x``; where all share one, the slope of least
+    norm of the original's fit on scaled columns, ``mean(y) / (2 x)`` (NULL for ``x`` = 0)."""
+    alike = F.avg(y) / F.nullif(F.lit(2.0) * F.max(F.when(y.isNotNull(), x)), F.lit(0.0))
+    return F.coalesce(F.regr_slope(y, x), alike)
+
+
 def annual_means(df: DataFrame, measures: Sequence[str] = MEASURES, key: str = "Year") -> DataFrame:
     """A1: mean of each measure per year (NULLs skipped)."""
     return df.groupBy(key).agg(*[F.avg(m).alias(m) for m in measures])
@@ -83,15 +90,16 @@ def extreme_months(seasonal: DataFrame) -> DataFrame:
 
 
 def country_trends(obs: DataFrame, since: int = 2000, min_rows: int = 5, key: str = "Country",
-                   value: str = "AverageTemperature") -> DataFrame:
+                   value: str = "AverageTemperature", least_norm: bool = False) -> DataFrame:
     """A6 + P7 + P10 + P11: per key slope of the value on ``Year`` over the
     monthly rows since ``since``, mean and row count, keys with more than
-    ``min_rows`` rows.  The slope stays NULL when every row has the same year
-    (A7)."""
+    ``min_rows`` rows.  Where every row has the same year (A7), the slope is NULL
+    or, with ``least_norm``, the original's value (``least_norm_slope``)."""
+    fit = least_norm_slope if least_norm else F.regr_slope
     recent = obs.filter(F.col(key).isNotNull()
                         & (F.col("dt") >= F.make_date(F.lit(since), F.lit(1), F.lit(1))))
     return (recent.groupBy(F.col(key).alias("country"))
-            .agg(F.regr_slope(F.col(value), F.year("dt").cast("double")).alias("trend"),
+            .agg(fit(F.col(value), F.year("dt").cast("double")).alias("trend"),
                  F.avg(value).alias("avg_temp"),
                  F.count(F.lit(1)).alias("data_points"))
             .filter(F.col("data_points") > min_rows))

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from terrascope.functions.numeric import climate_status
+from terrascope.functions.numeric import climate_status, round_exact
 from terrascope.operators import aggregates as A
 from terrascope.operators import clean as C
 from terrascope.operators import series as S
@@ -321,6 +321,7 @@ def q_forecast(spark, sf):
 
 #: The one predictor of the closed-form keys: it is known before the month it predicts.
 LAGGED = ["LandTemp_Lag12"]
+LAGGED_BOTH = ["LandTemp_Lag1", "LandTemp_Lag12"]
 
 
 def q_linear_closed_form(spark, sf):
@@ -337,6 +338,48 @@ def q_cv_closed_form(spark, sf):
     return rounded(M.cv_scores(train, "linear_regression", features=LAGGED))
 
 
+def _two_predictors(spark, sf):
+    """Linear model on last month's and last year's value, fitted on the training part."""
+    features = _features(spark, sf)
+    return M.fit(S.time_split(features).filter("is_train"), "linear_regression", features=LAGGED_BOTH), features
+
+
+def q_predictions_closed_form(spark, sf):
+    """M8 (J3, F4s) of a model that does not hold the target: two predictors, which
+    SQL solves by normal equations."""
+    pred = M.predictions_dataset(*_two_predictors(spark, sf))
+    return rounded(pred.select("dt", S.TARGET, "Predicted_Temperature", "Temperature_Difference", "Decade", "Temperature_Anomaly"))
+
+
+def q_forecast_closed_form(spark, sf):
+    """M9 / Q4 of the same model."""
+    model, features = _two_predictors(spark, sf)
+    return rounded(M.forecast(model, M.predictions_dataset(model, features), 5))
+
+
+def q_best_closed_form(spark, sf):
+    """The best of two one-predictor models by test R^2."""
+    split = S.time_split(_features(spark, sf)).cache()
+    train, test = split.filter("is_train"), split.filter("not is_train")
+    rows = [(f, i, M.regression_metrics(M.score(M.fit(train, "linear_regression", features=[f]), test)).first().r2)
+            for i, f in enumerate(LAGGED_BOTH)]
+    return rounded(M.best_model(spark.createDataFrame(rows, "model string, train_order int, test_r2 double")))
+
+
+def q_one_year_trends(spark, sf):
+    """Slopes of least norm where all rows of a country share a year."""
+    one = _obs(spark, sf).filter(F.col("Year") == 1997)
+    return rounded(A.top_warming(A.country_trends(one, since=1997, least_norm=True)))
+
+
+def q_round_exact(spark, sf):
+    """F6s: Python's rounding on values with exact and near ties."""
+    li = FX.read_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    eighth, price = F.col("l_quantity").cast("double") / 8.0, F.col("l_extendedprice").cast("double") / 1000.0
+    return li.select("l_orderkey", "l_linenumber", round_exact(eighth, 2).alias("eighth"), round_exact(price, 4).alias("price"),
+                     round_exact(-eighth, 1).alias("negative"))
+
+
 # Rows-only keys (MLlib trees: no SQL oracle), at the original's settings.
 
 def q_rf_regression(spark, sf):
@@ -433,6 +476,11 @@ QUERIES = {
     "forecast": q_forecast,
     "linear_closed_form": q_linear_closed_form,
     "cv_closed_form": q_cv_closed_form,
+    "predictions_closed_form": q_predictions_closed_form,
+    "forecast_closed_form": q_forecast_closed_form,
+    "best_closed_form": q_best_closed_form,
+    "one_year_trends": q_one_year_trends,
+    "round_exact": q_round_exact,
     "rf_regression": q_rf_regression,
     "gbt_regression": q_gbt_regression,
     "cv_scores": q_cv_scores,

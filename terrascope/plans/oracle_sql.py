@@ -199,7 +199,50 @@ c AS (SELECT f.part AS fold, regr_slope(t.y, t.x) AS k, regr_intercept(t.y, t.x)
 SELECT c.fold, 1.0 - avg((y - i - k * x) * (y - i - k * x)) / var_pop(y) AS r2 FROM c JOIN t ON t.part = c.fold GROUP BY c.fold
 """
 
+# Normal equations of two predictors, on centred sums of the training part.
+TWO = f"""
+SELECT my - k1 * m1 - k2 * m2 AS i, k1, k2 FROM (
+  SELECT my, m1, m2, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS k1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS k2
+  FROM (SELECT avg(y) AS my, avg(a) AS m1, avg(b) AS m2, covar_pop(y, a) AS c1, covar_pop(y, b) AS c2, covar_pop(a, b) AS c12,
+               var_pop(a) AS v1, var_pop(b) AS v2
+        FROM (SELECT LandAverageTemperature AS y, LandTemp_Lag1 AS a, LandTemp_Lag12 AS b FROM ({SPLIT}) s WHERE is_train) t) u) w
+"""
+
+TWO_PRED = f"""
+SELECT dt, LandAverageTemperature, p AS Predicted_Temperature, p - LandAverageTemperature AS Temperature_Difference,
+       CAST(floor(Year / 10) * 10 AS INTEGER) AS Decade,
+       LandAverageTemperature - (SELECT avg(LandAverageTemperature) FROM ({FEAT}) a) AS Temperature_Anomaly
+FROM (SELECT f.*, c.i + c.k1 * f.LandTemp_Lag1 + c.k2 * f.LandTemp_Lag12 AS p FROM ({FEAT}) f, ({TWO}) c) q
+"""
+
+BEST_ONE = " UNION ALL ".join(f"""
+SELECT '{x}' AS model, {order} AS train_order,
+       1.0 - avg((y - i - k * x) * (y - i - k * x)) / var_pop(y) AS test_r2
+FROM (SELECT LandAverageTemperature AS y, {x} AS x FROM ({SPLIT}) s WHERE NOT is_train) t,
+     (SELECT regr_slope(LandAverageTemperature, {x}) AS k, regr_intercept(LandAverageTemperature, {x}) AS i
+      FROM ({SPLIT}) s WHERE is_train) c""" for order, x in enumerate(("LandTemp_Lag1", "LandTemp_Lag12")))
+
+ONE_YEAR = f"""
+SELECT Country AS country, avg(AverageTemperature) / (2.0 * 1997) AS trend, avg(AverageTemperature) AS avg_temp, count(*) AS data_points
+FROM ({OBS}) o WHERE Country IS NOT NULL AND Year = 1997 GROUP BY Country HAVING count(*) > 5
+"""
+
 SQL = {
+    "predictions_closed_form": rnd(TWO_PRED, ["LandAverageTemperature", "Predicted_Temperature", "Temperature_Difference",
+                                              "Temperature_Anomaly"]),
+    "forecast_closed_form": rnd(f"SELECT year, month, date, c.i + (c.k1 + c.k2) * g.LandTemp_Lag1 AS predicted_temperature "
+                                f"FROM ({FORECAST_GRID}) g, ({TWO}) c", ["predicted_temperature"]),
+    "best_closed_form": rnd(f"SELECT * FROM ({BEST_ONE}) b ORDER BY test_r2 DESC, train_order LIMIT 1", ["test_r2"]),
+    "one_year_trends": rnd(f"SELECT * FROM ({ONE_YEAR}) t ORDER BY trend DESC NULLS LAST, country LIMIT 10", ["trend", "avg_temp"]),
+    "round_exact": """
+        SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', CAST(l_quantity AS DOUBLE) / 8.0) AS DOUBLE) AS eighth,
+               CAST(printf('%.4f', CAST(l_extendedprice AS DOUBLE) / 1000.0) AS DOUBLE) AS price,
+               CAST(printf('%.1f', -CAST(l_quantity AS DOUBLE) / 8.0) AS DOUBLE) AS negative FROM lineitem""",
+    "report_json": f"""
+        SELECT 'annual_data' AS report, CAST(to_json(list(r ORDER BY r."Year")) AS VARCHAR) AS report_json
+        FROM (SELECT struct_pack("Year" := "Year", "LandAverageTemperature" := LandAverageTemperature,
+                     "Predicted_Temperature" := Predicted_Temperature, "Temperature_Anomaly" := Temperature_Anomaly) AS r
+              FROM ({rnd(ANNUAL, ["LandAverageTemperature", "Temperature_Anomaly"], ["Predicted_Temperature"])}) a) b""",
     "linear_closed_form": rnd(CLOSED, ["LandAverageTemperature", "predicted"]),
     "cv_closed_form": rnd(CLOSED_CV, ["r2"]),
     "scan_global": rnd(F2, ["LandAverageTemperature"]),
