@@ -189,11 +189,14 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return batch.column(0).to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(bounds)), link, n
 
 
-def unit_pieces(count: np.ndarray, parts: int) -> np.ndarray:
-    """Into how many pieces the links of each unit are cut, by its occurrences: no piece
-    holds more than about a ``16 * parts``-th of the corpus."""
-    bound = max(1, int(count.sum()) // (16 * parts))
-    return np.maximum(1, -(-count // bound)).astype(np.int64)
+#: Occurrences of a unit whose links go into one piece, at most.
+PIECE = 1 << 21
+
+
+def unit_pieces(count: np.ndarray, most: int = PIECE) -> np.ndarray:
+    """Into how many pieces the links of each unit are cut: by its occurrences, so that
+    what a task merges for one piece is bounded whatever the corpus."""
+    return np.maximum(1, -(-count // most)).astype(np.int64)
 
 
 def unit_links(rows: DataFrame, table: np.ndarray, first_bucket: int, buckets: int, pieces: np.ndarray) -> DataFrame:
@@ -469,7 +472,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", classes: int = 64,
           clustered_words: int = 767, suffix_buckets: int = 1 << 16, sweeps: int = 8, table_words: int = 1 << 18,
-          seed_groups: int = 256) -> Model:
+          seed_groups: int = 256, piece: int = PIECE) -> Model:
     """Fit a model on all texts of the rows of ``docs`` where ``usable``."""
     rows = with_row(docs.where(usable), id_column, text_column)
     words = keep_table(word_counts(rows, suffix_buckets), "words")
@@ -504,8 +507,7 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
     rare = real.where(F.col("n") < least).groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()  # a row per bucket
     for r in rare:
         occurrences[first_bucket + r.bucket] = r.n
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = unit_pieces(occurrences, parts)
+    pieces = unit_pieces(occurrences, piece)
     links = keep_table(unit_links(rows, table, first_bucket, suffix_buckets, pieces), "links")
     cls, n = cluster(links, seed, 1 + clustered_words + groups, classes, sweeps)
     class_total = n.sum(axis=0)

@@ -147,13 +147,16 @@ def test_every_word_is_clustered_by_its_own_neighbours(spark, tmpdir_run):
     rows = [(i, " ".join(kinds[k % 2][rng.integers(40)] for k in range(60))) for i in range(80)]
     docs = saved(spark.createDataFrame(rows, "doc_id long, text string"), tmpdir_run + "/docs")
     m = brown.train(docs, F.lit(True), classes=3, clustered_words=10, suffix_buckets=4)
+    cut = brown.train(docs, F.lit(True), classes=3, clustered_words=10, suffix_buckets=4, piece=9)
+    assert np.array_equal(cut.class_total.sum(), m.class_total.sum()) and np.array_equal(cut.table, m.table)
     top = brown.train(docs, F.lit(True), classes=3, clustered_words=80, suffix_buckets=4).top
     of = {h: c for h, _, c in top}
-    got = {}
-    for h, c in zip(m.table, m.table_class):
-        got.setdefault(of[int(h)], []).append(int(c))
-    assert sorted(map(len, got.values())) == [40, 40]
-    assert all(len(set(x)) == 1 for x in got.values()) and len({x[0] for x in got.values()}) == 2
+    for model in (m, cut):      # units of one row, and units cut into pieces
+        got = {}
+        for h, c in zip(model.table, model.table_class):
+            got.setdefault(of[int(h)], []).append(int(c))
+        assert sorted(map(len, got.values())) == [40, 40]
+        assert all(len(set(x)) == 1 for x in got.values()) and len({x[0] for x in got.values()}) == 2
 
 
 def test_packed_links_are_all_neighbours(spark, tmpdir_run):
@@ -179,8 +182,8 @@ def test_packed_links_are_all_neighbours(spark, tmpdir_run):
             want[b, 2 * a] += 1
     units = len(table) + 1 + 4
     occurrences = np.array([count[i] for i in range(units)])
-    for parts in (1, 40):
-        pieces = brown.unit_pieces(occurrences, parts)
+    for most in (10 ** 6, 7):
+        pieces = brown.unit_pieces(occurrences, most)
         got, rows_of = Counter(), Counter()
         for r in brown.unit_links(rows, table, len(table) + 1, 4, pieces).collect():
             links, n = np.frombuffer(r.links, np.int32), np.frombuffer(r.counts, np.int64)
@@ -188,4 +191,4 @@ def test_packed_links_are_all_neighbours(spark, tmpdir_run):
             rows_of[r.unit] += 1
             got.update({(r.unit, int(k)): int(x) for k, x in zip(links, n)})
         assert got == want
-        assert all(rows_of[u] <= pieces[u] for u in rows_of) and (parts == 1 or max(rows_of.values()) > 1)
+        assert all(rows_of[u] <= pieces[u] for u in rows_of) and (most > 7 or max(rows_of.values()) > 1)
