@@ -4,7 +4,8 @@ A rule is (verdict, host, path).  It fits a URL on its host or any subdomain
 whose path starts with the rule's.  Each URL is expanded into host-suffix times
 path-prefix expressions (suffixes at dots, prefixes at slashes); a rule is keyed
 by its host and its path up to the last slash, which is one of the expressions
-of every URL it fits.  Expressions meet rule keys by an equi-join on the first
+of every URL it fits.  Expressions of more labels or slashes than any rule has are not
+made, so a long URL has no more of them than a short one.  Expressions meet rule keys by an equi-join on the first
 ``prefix_bits`` bits of SHA-256; the full digest and the whole rule path then
 confirm the match.  The longest rule wins (host and path length, then the longer
 host; a block beats an allow of the same rule); without a rule the verdict is
@@ -39,18 +40,19 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _host_suffixes(host: Column) -> Column:
-    """A host and what is left of it after each dot."""
+def _host_suffixes(host: Column, most: int) -> Column:
+    """A host and what is left of it after each dot, of at most ``most`` labels."""
     return bind(F.split(host, r"\."), lambda labels: F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+        F.sequence(F.greatest(F.lit(1), F.size(labels) - F.lit(most - 1)), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
-def _path_prefixes(path: Column) -> Column:
-    """The empty prefix and the parts of a path up to each of its slashes."""
+def _path_prefixes(path: Column, most: int) -> Column:
+    """The empty prefix and the parts of a path up to each of its first ``most`` slashes."""
     def prefixes(pieces):
         return F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.concat(
             F.array_join(F.slice(pieces, F.lit(1), i - 1), "/"), F.when(i > 1, F.lit("/")).otherwise("")))
-    return bind(F.split(path, "/"), prefixes)
+    return bind(F.split(path, "/", most + 1), prefixes)
 
 
 def _digest(expression: Column) -> Column:
@@ -77,12 +79,15 @@ def judge(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_col
         .select(_digest(key).alias("r_digest"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"),
                 F.concat("host", "path").alias("r_rule"), F.length("host").alias("r_host")))
     listed = listed.withColumn("r_short", _short(F.col("r_digest"), prefix_bits))
-    count = rules.limit(max_broadcast_rules + 1).count()
+    # no expression with more labels or slashes than any rule can meet one
+    slashes = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
+    count, labels, cuts = rules.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)),
+                                    F.coalesce(F.max(slashes), F.lit(0))).first()
     small = count <= max_broadcast_rules
 
-    asked = base.select(ROW, "path", F.explode(_host_suffixes(F.col("host"))).alias("suffix"))
+    asked = base.select(ROW, "path", F.explode(_host_suffixes(F.col("host"), labels)).alias("suffix"))
     # a rule path without any slash is keyed by its host alone
-    asked = asked.select(ROW, "path", "suffix", F.explode(_path_prefixes(F.col("path"))).alias("prefix"))
+    asked = asked.select(ROW, "path", "suffix", F.explode(_path_prefixes(F.col("path"), cuts)).alias("prefix"))
     asked = asked.select(ROW, "path", F.concat("suffix", "prefix").alias("expression"))
     asked = asked.select(ROW, "path", _digest(F.col("expression")).alias("digest"))
     asked = asked.withColumn("short", _short(F.col("digest"), prefix_bits))

@@ -78,7 +78,8 @@ def test_likeness_follows_the_share(spark):
 URLS = ["http://example.com/en/a", "https://WWW.Example.com/en/x?y=/de/", "http://a.b.net/es/1", "http://net/fr/", "http://xnet/fr/",
         "http://www.example.com/de/", "http://a.www.example.com/en/", "http://example.com", "http://example.com?q=/en/",
         "no scheme", "", None, "a://b://c.com/x", "http://example.com:80/en/", "http://example.com/EN/", "http:///en/", "ftp://u.com/",
-        "http://net/es", "http://x.net/es/" + "y/" * 3000]
+        "http://net/es", "http://x.net/es/" + "y/" * 3000,
+        "http://" + "a." * 50_000 + "net/es/" + "y/" * 200_000 + "z" * 300_000]
 
 
 def brute(url, rules):
