@@ -1,11 +1,16 @@
-"""Quality and language classifiers: held-out accuracy and edge cases."""
+"""Quality and language classifiers: held-out accuracy, plain code and edge cases."""
+
+import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from terrascope.llm import language, quality
 from terrascope.llm.common import documents, held_out
+from terrascope.llm.textvec import Words, text_slices
 from tests.conftest import SF_MID
 from tests.llm.frames import edge_docs, empty_docs, saved
 
@@ -78,3 +83,64 @@ def test_decoding_corrects_a_wrong_bit():
         assert order[0, 0] == c and share.sum() == pytest.approx(1)
     order, share = language.decode(np.zeros((1, 7)), code)
     assert order[0].tolist() == [0, 1, 2, 3]  # a tie goes to the first
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = ((x ^ (x >> shift)) * mult) & MASK
+    return x
+
+
+def plain_features(text, bits, orders, word_hash):
+    """Buckets of all feature occurrences of a text, one by one."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", low) if w]
+    out = [word_hash(w) >> (64 - bits) for w in words]
+    out += [0x9D3F5A61C2B47E08 >> (64 - bits) for a, b in zip(words, words[1:]) if a == b]
+    for w in words:
+        padded = b" " + w + b" "
+        for n in orders:
+            for i in range(len(padded) - n + 1):
+                gram = padded[i:i + n]
+                if not (gram[:1] == b" " and gram[-1:] == b" "):
+                    out.append(plain_mix((int.from_bytes(gram, "big") + (n << 56)) & MASK) >> (64 - bits))
+    return out
+
+
+def hash_of_word(w):
+    (_, _, data, offs), = text_slices(pa.array([w], pa.binary()))
+    return int(Words(data, offs).hash[0])
+
+
+TEXTS = ["The river the river and  the RIVER", None, "", "  \n", "One", "é ß ñandú über a a a", "x1 y2\tz3\nq", "haus und garten im winter"]
+
+
+def test_quality_scores_are_those_of_plain_code(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.train(quality.training_rows(docs, labels, "quality", 100))
+    for r in quality.score(docs, model).where("id < 8").collect():
+        found = plain_features(TEXTS[r.id], quality.BITS, quality.ORDERS, hash_of_word)
+        z = (sum(float(model.weights[b]) for b in found) / len(found) if found else 0.0) + model.bias
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
+def test_languages_are_those_of_plain_code(spark):
+    rows = [(i, t, "abc"[i % 3]) for i, t in enumerate(TEXTS * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(language.training_rows(docs, F.lit(True), 100))
+    for r in language.predict(docs, model).where("id < 8").collect():
+        text = TEXTS[r.id]
+        if not any(c.isalpha() for c in text or ""):
+            assert r.lang_pred == "und"
+            continue
+        found = plain_features(text, language.BITS, language.ORDERS, hash_of_word)
+        margin = [sum(float(model.weights[b, j]) for b in found) / len(found) + float(model.bias[j]) for j in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margin, word)) for word in model.code.astype(float)]
+        best = min(range(len(loss)), key=lambda k: loss[k])
+        share = math.exp(-loss[best]) / sum(math.exp(-x) for x in loss)
+        assert r.lang_pred == model.languages[best] and r.score == pytest.approx(share, rel=1e-4)
