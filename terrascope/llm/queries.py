@@ -126,6 +126,27 @@ def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orchard.report(vectors, k=40, rounds=5, seed=2).withColumnRenamed("id", "vec_id")
 
 
+def twin_op1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can say."""
+    return op1_brown(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
+                                           F.round("base_score", 4).alias("base_score"))
+
+
+def twin_op3_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set sizes of op3."""
+    return op3_ngram_join(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+def twin_op8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op8, by their digest."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def twin_op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op10's base spans."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` on all documents."""
     import corpus_pipeline
@@ -133,7 +154,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_brown, op2_token_files, op3_ngram_join, op4_packing, op5_language,
-                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, op11_style_tree, op12_shared_rank, op13_orchard, pipeline)}
+                                     op6_decontaminate, op7_quality, op8_fingerprints, op9_url_filter, op10_secrets, op11_style_tree, op12_shared_rank, op13_orchard, pipeline,
+                                     twin_op1_base, twin_op3_sets, twin_op8_texts, twin_op10_counts)}
 
 
 def _orchard_sql(rounds: int = 5, k: int = 40, seed: int = 2) -> str:
@@ -169,7 +191,38 @@ FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
     return kept + "".join(placed(i) + moved(i) for i in range(rounds)) + placed(rounds) + last
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+#: crc32 of the decimal text of doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
 SQL = {
+    "twin_op1_base": f"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, ' ') AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 1) / CAST(n.n + n.v + 1 AS DOUBLE))), 4) AS base_score
+FROM t LEFT JOIN c USING (token), n GROUP BY doc_id""",
+    "twin_op3_sets": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 4 THEN 1 ELSE len(list_distinct(list_transform(
+       range(1, CAST(len(w) - 2 AS BIGINT)), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS BIGINT) AS n_shingles FROM d""",
+    "twin_op8_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nx
+           FROM documents)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, CAST(n - n // 2 AS BIGINT)) || substr(nx, 1, CAST(n // 2 AS BIGINT))) AS edited_sha256 FROM d""",
+    "twin_op10_counts": """
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''),
+         '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+FROM documents""",
     "op12_shared_rank": """
 WITH words AS (
   SELECT doc_id, n, unnest(w) AS term FROM (
