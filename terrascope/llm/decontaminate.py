@@ -17,10 +17,10 @@ item, so that two copies are never in one band.
 Windows with fewer than ``min_literals`` plain words are no templates: a row of
 numbers says nothing.  They are met as written (by a hash of their words), and as
 a template where one of ``LONGER`` words around them has enough plain words; so
-every item of ``min_words`` words has a key at each place.  ``total`` counts all
+every item has a key at each place.  ``total`` counts all
 places; the cover of the template windows alone decides too.  Items shorter than a window are one window of their own
-length (of ``min_words`` words at least; shorter items cannot be told from
-chance).  The first word of an item counts both as a word and as a name, since
+length; one of fewer than ``min_words`` words, which inside a text cannot be told from
+chance, is met by documents that are that item and nothing else.  The first word of an item counts both as a word and as a name, since
 its capital says nothing.
 
 Benchmark windows set bits of a bitmap of fixed size, which is sent to the tasks
@@ -57,6 +57,7 @@ degrees celsius fahrenheit volt volts watt watts joule joules newton newtons her
 #: Lengths of the longer windows where names and numbers are dense.
 LONGER = (12, 16, 24)
 _LITERAL = np.uint64(1004)
+_WHOLE = np.uint64(0x51ED270B9F3C6A85)
 #: Fixed value: words that an occurrence may be shifted by words put in or left out.
 BAND = 8
 
@@ -134,6 +135,11 @@ def _literal_windows(literal: np.ndarray, n: int) -> np.ndarray:
     return mix(sequence_hash(literal, n) ^ _LITERAL)
 
 
+def _whole_texts(literal: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` words as a whole text; no window has it."""
+    return mix(sequence_hash(literal, n) ^ _WHOLE)
+
+
 def benchmark_windows(items: DataFrame, window: int, min_literals: int, min_words: int, id_column: str,
                       text_column: str) -> DataFrame:
     """``(item_id, at, total, usable, n, h, plain, slots)``: the windows of every
@@ -147,7 +153,7 @@ def benchmark_windows(items: DataFrame, window: int, min_literals: int, min_word
                 for d in range(b - a):
                     s, e = bound[d], bound[d + 1]
                     n = min(window, e - s)
-                    if n < min_words:
+                    if not n:
                         continue
                     h, ok = _windows(canon[s:e], slot[s:e], n, min_literals)
                     size, usable = len(h), int(ok.sum())
@@ -156,6 +162,10 @@ def benchmark_windows(items: DataFrame, window: int, min_literals: int, min_word
                         words = literal[s + i:s + i + n]
                         rows.append((a + d, int(at), size, usable, int(n), int(key.view(np.int64)), plain,
                                      words[mark].view(np.int64)))
+                    if n < min_words:
+                        usable = 0
+                        add(0, 0, n, _whole_texts(literal[s:e], n)[0], np.zeros(n, dtype=bool), True)
+                        continue
                     for i in np.flatnonzero(ok):
                         words = slice(s + i, s + i + n)
                         add(i, i, n, h[i], slot[words])
@@ -208,7 +218,11 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
                 for n, plain in lengths:
                     if len(canon) < n:
                         continue
-                    if plain:
+                    if n < min_words:
+                        h = _whole_texts(literal, n)
+                        ok = np.zeros(len(h), dtype=bool)
+                        ok[bound[:-1][np.diff(bound) == n]] = True
+                    elif plain:
                         h = _literal_windows(literal, n)
                         ok = np.ones(len(h), dtype=bool)
                     else:

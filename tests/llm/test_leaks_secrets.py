@@ -37,6 +37,12 @@ def test_exact_and_changed_questions(spark, tmpdir_run, items):
     assert got[0, 1].cover == 1.0 and not got[2, 1].exact and got[2, 1].consistent == 1.0
 
 
+def test_items_of_few_words_are_met_as_whole_texts(spark, tmpdir_run):
+    short = spark.createDataFrame([(1, "a b"), (2, "Yes!"), (3, "Paris, 1999"), (4, "..."), (5, None)], "item_id long, text string")
+    texts = ["A  b.", "a b c", "yes", "yes yes", "x\na b", "paris 1999", "Paris 1998", "...", "", None]
+    assert set(found(spark, tmpdir_run + "/docs", short, texts)) == {(0, 1), (2, 2), (5, 3)}
+
+
 def test_slots_must_agree(spark, tmpdir_run, items):
     got = found(spark, tmpdir_run + "/docs", items, [MIXED], min_consistent=1.0)
     assert got == {}
