@@ -91,7 +91,9 @@ def pruned(spark: SparkSession, model, min_split: int):
         source, target = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}") for folder in (old, new))
         fs = source.getFileSystem(conf)
         jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, target, False, conf)
-    return type(model).load(new)
+    cut = type(model).load(new)
+    cut._node_folder = new          # its node table need not be saved again to score with it
+    return cut
 
 
 class Forest:
@@ -118,7 +120,8 @@ class Forest:
         stage = model.stages[-1] if hasattr(model, "stages") else model
         known = getattr(stage, "_node_arrays", None)
         if known is None:
-            known = cls(node_table(spark, _saved(spark, stage, "scoring-forest")).toArrow())
+            folder = getattr(stage, "_node_folder", None) or _saved(spark, stage, "scoring-forest")
+            known = cls(node_table(spark, folder).toArrow())
             stage._node_arrays = known
         return known
 
