@@ -26,8 +26,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from terrascope.session import scratch_path, ship
 
-#: Rows that walk through all trees together: bounds the arrays of a task.
-WALK = 4096
+#: Rows that walk through a tree together: bounds the arrays of a task.
+WALK = 16384
 
 
 def _saved(spark: SparkSession, model, name: str) -> str:
@@ -129,14 +129,18 @@ class Forest:
         """Class of every row: the largest sum of class shares, the first one of ties."""
         out = np.zeros(len(x), np.int32)
         for a in range(0, len(x), WALK):
-            part = x[a:a + WALK]
-            row = np.arange(len(part))[:, None]
-            node = np.broadcast_to(self.root, (len(part), len(self.root)))
-            while True:
-                below = np.where(part[row, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
-                if (below == node).all():
-                    break
-                node = below
+            part = np.ascontiguousarray(x[a:a + WALK])
+            flat, first = part.ravel(), np.arange(len(part)) * part.shape[1]
+            node = np.empty((len(part), len(self.root)), np.int32)
+            for t, root in enumerate(self.root):      # the nodes of one tree stay in the cache
+                at = np.full(len(part), root, np.int32)
+                while True:
+                    low = flat.take(first + self.feature.take(at)) <= self.threshold.take(at)
+                    below = np.where(low, self.left.take(at), self.right.take(at))
+                    if np.array_equal(below, at):
+                        break
+                    at = below
+                node[:, t] = at
             # trees in their order, one after the other: the sums are MLlib's to the last bit
             votes = np.stack([np.cumsum(self.share[node, c], axis=1)[:, -1] for c in range(self.share.shape[1])], axis=1)
             out[a:a + WALK] = votes.argmax(axis=1)
