@@ -1,10 +1,7 @@
 """Main text of web pages by a style tree per site.
 
-A page is parsed into block elements (``parse``).  Elements that name their purpose
-(``nav``, ``footer``, class ``ad`` ...) carry a weight too low to reach the threshold
-of importance, and the text of a page that names its article is that of the article;
-neither needs evidence from other pages.  Everything else goes through the style
-tree of its host: the elements of all such pages of the host are merged by their path of
+A page is parsed into block elements (``Page``).  Every page goes through the style
+tree of its host: the elements of all pages of the host are merged by their path of
 tags and class names, and every merged node gets an importance from two entropies:
 
 * presentation: a node whose children differ from page to page matters, one that
@@ -17,8 +14,19 @@ E)`` with ``l`` styles of ``E`` on the host and ``g = 0.9``.  Largest branches i
 every node stays below the threshold are removed (not if nothing would be left).
 Logarithms use base ``pages + 2``, so two pages alone prove no template.
 
-Spark merges the trees by aggregating (path, style or block) counts; only counts
-and the lists of branches to remove are shuffled.  Paths and blocks that hold many
+Names weigh in.  A branch named as no part of the article (``nav``, ``footer``, class
+``ad`` ...), or outside the article of a page that names one, has weight 0: a node of the
+tree whose importance is 0.  The prose of a named article (headings, paragraphs and such
+right in it) has importance 1: copies of an article on a host are no template.  Other
+elements in a named article are judged by their entropies (a notice that all articles of
+the host hold goes), unless most blocks of the article are shared by the host's pages:
+then the article as a whole is a copy.
+
+Spark merges the trees by aggregating (path, style or block) counts; only counts, the
+rows of pages with a block of too little importance, and the lists of branches to remove
+are shuffled, and the pages that have such a list.  (A block that few pages hold has an
+importance above the threshold and so have all elements around it, so on the other pages
+nothing can be removed beyond the branches of weight 0.)  Paths and blocks that hold many
 rows are joined from a small table (a key with more than a 20,000th of all rows
 is hot, so there are at most 20,000), the rest by a shuffle: a hot host
 does not land in one task.
@@ -38,11 +46,13 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import keep_table, ship, strings
+from terrascope.llm.common import ROW, hash_bitmap, in_bitmap, keep_table, number_rows, ship, stable_rows, strings
 
 DAMPING = 0.9
 THRESHOLD = 0.3
@@ -71,6 +81,7 @@ OFF_WORDS = frozenset("""ad ads adbox adsense adslot adv advert advertisement ad
     register related replies reply respond search searchbox share sharing sidebar signin signup skiplink social sponsor
     sponsored subscribe subscription toolbar topbar widget""".split())
 WRAPPER_WORDS = frozenset("banner footer form header menu modal nav navbar overlay sidebar widget".split())
+PROSE = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup li main ol p pre summary ul".split())
 ARTICLE_NAMES = frozenset("""article article-body article-content articlebody entry-content hentry post-body post-content
     story-body""".split())
 
@@ -130,7 +141,8 @@ class Page:
     ``parent[i]`` (-1: the page), ``name[i]`` (tag and class names, digits as ``#``),
     ``off[i]``: named as no part of the article (``header[i]``: outside one only, ``soft[i]``:
     unless it holds one), ``article[i]``: named as one, ``kids[i]``: names of element children
-    (``kids[-1]`` of the page); ``blocks``: (element, text) in page order."""
+    (``kids[-1]`` of the page); ``blocks``: (element, text) in page order, ``dropped``: those of
+    weight 0, see ``parts``."""
 
     def __init__(self, text: str):
         self.parent: list[int] = []
@@ -349,18 +361,32 @@ class Page:
             self.inside[i] = (inside_up or self.article[i]) and not gone[i]
             main[i] = ((up >= 0 and main[up]) or self.tag[i] == "main") and not gone[i]
         self.named = any(self.inside[i] for i, _ in self.blocks if i >= 0)
+        found = self.blocks
         self.blocks = [(i, t) for i, t in self.blocks if i < 0 or not gone[i]]
         if self.named:
             self.blocks = [(i, t) for i, t in self.blocks if i >= 0 and self.inside[i]]
         elif any(i >= 0 and main[i] for i, _ in self.blocks):
             self.blocks = [(i, t) for i, t in self.blocks if i >= 0 and main[i]]
+        kept = {i for i, _ in self.blocks}
+        self.dropped = [(i, t) for i, t in found if i not in kept]
+
+    def _prose(self, i: int) -> bool:
+        """Text of an article right in it: only elements of prose between."""
+        while not self.article[i]:
+            if self.tag[i] not in PROSE:
+                return False
+            i = self.parent[i]
+        return True
 
     def parts(self) -> list[tuple[int, int, int, int, int]]:
         """Rows of the style tree: ``(part, up, leaf, path, mark)``, parents first.
 
         Containers have the hash of their style as mark; a leaf is the run of blocks of one
-        path below one container, with a row per distinct block.  None where the page names its article."""
-        if self.named or not self.blocks:
+        path below one container, with a row per distinct block.  A largest branch of weight 0 is one
+        leaf.  ``weight`` holds 0 or 2 (prose of a named article) of leaves, else 1 (open to the tree), or
+        3 (likewise, in a named article)."""
+        self.run_of, self.weight = [], {}
+        if not self.blocks and not self.dropped:
             return []
         paths: dict[int, bytes] = {-1: b""}
         used = {-1}
@@ -371,7 +397,7 @@ class Page:
         has_kids = {self.parent[i] for i in used if i >= 0}
         for i in sorted(used - {-1}):
             paths[i] = _digest(paths[self.parent[i]] + self.name[i].encode("utf-8", "surrogatepass"))
-        out, self.run_of = [], []
+        out = []
         for i in sorted(used):
             if i in has_kids or i == -1:
                 style = _digest("\0".join(self.kids[i]).encode("utf-8", "surrogatepass"))
@@ -383,10 +409,25 @@ class Page:
             up, path = (i, _digest(paths[i] + b"#text")) if own else (self.parent[i], paths[i])
             run = runs.setdefault((up, path), len(self.parent) + len(runs))
             self.run_of.append(run)
+            self.weight[run] = 1 if not self.named else 2 if self._prose(i) else 3
             row = (run, up, 1, _number(path), _number(_digest(text.encode("utf-8", "surrogatepass"))))
             if row not in seen:
                 seen.add(row)
                 out.append(row)
+        low: dict[int, list[str]] = {}
+        for i, text in self.dropped:
+            while i not in used and self.parent[i] not in used:
+                i = self.parent[i]
+            low.setdefault(i, []).append(text)
+        for i, texts in low.items():
+            if i in used:      # text beside the article
+                part, up, path = len(self.parent) + len(runs), i, _digest(paths[i] + b"#text")
+                runs[(up, path + b"0")] = part
+            else:
+                part, up = i, self.parent[i]
+                path = _digest(paths[up] + self.name[i].encode("utf-8", "surrogatepass"))
+            self.weight[part] = 0
+            out.append((part, up, 1, _number(path), _number(_digest("\n".join(texts).encode("utf-8", "surrogatepass")))))
         return out
 
     def text(self, removed: list[int] | None = None) -> str:
@@ -421,44 +462,32 @@ def host(url: Column) -> Column:
     return low
 
 
-PART = "struct<part:int,up:int,leaf:int,path:long,mark:long,new_path:int,new_mark:int>"
+PARTS = ["part", "up", "leaf", "weight", "path", "mark", "new_path", "new_mark"]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """``(id, url, row, text, html, parts)`` of ``(id, url, html)``: pages that need no other pages
-    have their ``text``; the others keep ``html`` and their rows of the host's tree, in which
-    ``path`` names a node and ``new_*`` is 1 at the first such row of the page."""
-    kind = dict(pages.dtypes)["id"]
-
+    """The rows of every page, of ``(__row, url, html)``, in the style tree of its host: ``row`` of the
+    page and ``PARTS``; ``path`` names a node, ``new_*`` is 1 at the first such row of the page."""
     def run(batches):
         for batch in batches:
-            texts, left, flat, ends = [], [], [], [0]
-            for site, source in zip(strings(batch.column(4)), strings(batch.column(2))):
+            flat, of = [], []
+            for row, source, site in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strings(batch.column(2))):
                 page = Page(source)
-                parts = page.parts()
-                texts.append(None if parts else page.text())
-                left.append(source if parts else None)
-                if parts:
-                    salt = _number(_digest(site.encode()))
-                    first, marked = set(), set()
-                    for part, up, leaf, path, mark in parts:
-                        path ^= salt
-                        flat.append((part, up, leaf, path, mark, int(path not in first), int((path, mark) not in marked)))
-                        first.add(path)
-                        marked.add((path, mark))
-                ends.append(len(flat))
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            nested = pa.StructArray.from_arrays([pa.array([r[j] for r in flat], kinds[j]) for j in range(7)], names=PARTS)
+                salt = _number(_digest(site.encode()))
+                first, marked = set(), set()
+                for part, up, leaf, path, mark in page.parts():
+                    path ^= salt
+                    flat.append((part, up, leaf, page.weight.get(part, 1), path, mark, int(path not in first),
+                                 int((path, mark) not in marked)))
+                    of.append(row)
+                    first.add(path)
+                    marked.add((path, mark))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string()), pa.array(left, pa.string()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nested)],
-                names=["id", "url", "row", "text", "html", "parts"])
-
-    numbered = pages.select("id", "url", "html", F.monotonically_increasing_id().alias("row"), host(F.col("url")).alias("host"))
-    return numbered.mapInArrow(run, f"id {kind}, url string, row long, text string, html string, parts array<{PART}>")
+                [pa.array(of, pa.int64()), *[pa.array([r[j] for r in flat], _KINDS[j]) for j in range(8)]], names=["row", *PARTS])
 
-
-PARTS = ["part", "up", "leaf", "path", "mark", "new_path", "new_mark"]
+    fields = ", ".join(f"{name} {'long' if kind == pa.int64() else 'int'}" for name, kind in zip(PARTS, _KINDS))
+    return pages.select(ROW, "html", host(F.col("url")).alias("host")).mapInArrow(run, f"row long, {fields}")
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: list[str], size: str, hot: float) -> DataFrame:
@@ -474,57 +503,69 @@ def _attach(left: DataFrame, right: DataFrame, keys: list[str], size: str, hot:
         marked.where("__hot is null").select(*keys, *plain).join(few, keys).select(*columns))
 
 
-def tree(parts: DataFrame, hot_keys: int = HOT_KEYS) -> tuple[DataFrame, DataFrame]:
+def tree(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The merged trees: ``(marks, nodes)``.
 
     ``marks``: ``path, mark, k`` (pages that have it) and ``size``; ``nodes``: ``path, pages,
-    styles, spread`` (entropy of the styles, base ``pages + 2``) and ``size``."""
+    styles, spread`` (entropy of the styles, base ``pages + 2``), ``size``, and ``marks`` with ``k > 1``."""
     marks = parts.groupBy("path", "mark").agg(F.sum("new_mark").alias("k"), F.sum("new_path").alias("f"),
                                               F.count("*").alias("size"))
     marks = keep_table(marks, "style-marks")
     k = F.col("k").cast("double")
     nodes = marks.groupBy("path").agg(F.sum("f").alias("pages"), F.count("*").alias("styles"), F.sum(k).alias("total"),
-                                      F.sum(k * F.log(k)).alias("x"), F.sum("size").alias("size"))
+                                      F.sum(k * F.log(k)).alias("x"), F.sum("size").alias("size"), F.count_if(F.col("k") > 1).alias("marks"))
     spread = (F.log("total") - F.col("x") / F.col("total")) / F.log(F.col("pages") + 2.0)
-    return marks.drop("f"), nodes.select("path", "pages", "styles", F.greatest(spread, F.lit(0.0)).alias("spread"), "size")
+    return marks.drop("f"), nodes.select("path", "pages", "styles", F.greatest(spread, F.lit(0.0)).alias("spread"), "size", "marks")
 
 
-def judge(parts: list[tuple[int, int, int, float, int]], threshold: float = THRESHOLD) -> list[int]:
-    """Largest branches to remove of one page, from rows ``(part, up, leaf, value, styles)``:
-    ``value`` is a block's importance, or the spread of a container's styles."""
+def judge(parts: list[tuple[int, int, int, int, float, int]], threshold: float = THRESHOLD) -> list[int]:
+    """Largest branches to remove of one page beyond leaves of weight 0, from rows ``(part, up, leaf, weight,
+    value, styles)``: ``value`` is a block's importance, or the spread of a container's styles."""
     value: dict[int, list[float]] = {}
-    about: dict[int, tuple[int, int, int]] = {}
-    for part, up, leaf, x, styles in parts:
+    about: dict[int, tuple[int, int, int, int]] = {}
+    for part, up, leaf, weight, x, styles in parts:
         value.setdefault(part, []).append(x)
-        about[part] = (up, leaf, styles)
+        about[part] = (up, leaf, weight, styles)
     inner: dict[int, list[int]] = {}
-    for part, (up, _, _) in about.items():
+    for part, (up, _, _, _) in about.items():
         inner.setdefault(up, []).append(part)
+    own = sorted(x for part, xs in value.items() if about[part][2] >= 2 for x in xs)
+    copy = bool(own) and own[len(own) // 2] < threshold
     # elements are numbered parents first, runs of blocks after all elements
     noisy: dict[int, bool] = {}
     imp: dict[int, float] = {}
     for part in sorted(about, reverse=True):
-        _, leaf, styles = about[part]
+        _, leaf, weight, styles = about[part]
         x = sum(value[part]) / len(value[part])
+        if weight == 0:
+            x = 0.0
+        elif weight == 2 or (weight == 3 and copy):
+            x = 1.0
         if not leaf:
             below = inner.get(part, [])
             damp = DAMPING ** styles
             x = (1 - damp) * x + damp * (sum(imp[p] for p in below) / len(below) if below else 1.0)
         imp[part] = x
         noisy[part] = x < threshold and all(noisy[p] for p in inner.get(part, []))
-    if all(noisy[part] for part, (_, leaf, _) in about.items() if leaf):
+    if all(noisy[part] for part, (_, leaf, weight, _) in about.items() if leaf and weight):
         return []
-    return sorted(part for part, (up, _, _) in about.items() if noisy[part] and not noisy.get(up, False))
+    return sorted(part for part, (up, _, weight, _) in about.items() if weight and noisy[part] and not noisy.get(up, False))
 
 
 def removals(parts: DataFrame, threshold: float = THRESHOLD, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """``(row, removed)``: the branches to remove of every page that has any."""
+    """``(row, removed)``: the branches to remove of every page that has any beyond those of weight 0."""
     hot = parts.count() / hot_keys
-    marks, nodes = tree(parts, hot_keys)
-    known = _attach(_attach(parts.drop("new_path", "new_mark"), marks, ["path", "mark"], "size", hot), nodes, ["path"], "size", hot)
+    marks, nodes = tree(parts)
+    nodes = keep_table(nodes, "style-nodes")
     even = F.log(F.col("k").cast("double")) / F.log(F.col("pages") + 2.0)
+    # pages with a block of too little importance; one that a single page holds has importance 1
+    shared = _attach(marks.where("k > 1"), nodes.select("path", "pages", "marks"), ["path"], "marks", hot)
+    dull = keep_table(shared.where(1 - even < threshold).select("path", "mark", "size"), "style-dull")
+    found = _attach(parts.where("leaf = 1 and weight % 2 = 1").select("path", "mark", "row"), dull, ["path", "mark"], "size", hot)
+    judged = parts.join(keep_table(found.select("row").distinct(), "style-judged"), "row", "left_semi").drop("new_path", "new_mark")
+    known = _attach(_attach(judged, marks, ["path", "mark"], "size", hot), nodes.drop("marks"), ["path"], "size", hot)
     value = F.when(F.col("leaf") == 1, 1 - even).otherwise(F.col("spread"))
-    fields = ("part", "up", "leaf", "value", "styles")
+    fields = ("part", "up", "leaf", "weight", "value", "styles")
     grouped = known.withColumn("value", value).groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("parts"))
 
     def run(batches):
@@ -539,16 +580,30 @@ def removals(parts: DataFrame, threshold: float = THRESHOLD, hot_keys: int = HOT
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
             threshold: float = THRESHOLD, hot_keys: int = HOT_KEYS) -> DataFrame:
     """``(id, url, text, n_chars, removed)``: the main text of every page, its code points, and
-    how many branches the style tree removed."""
+    how many branches the style tree removed beyond those of weight 0."""
     ship(pages.sparkSession)
-    read = keep_table(read_pages(pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"),
-                                              F.col(html_column).cast("string").alias("html"))), "style-pages")
-    undecided = read.where("html is not null")
-    parts = undecided.select("row", F.explode("parts").alias("p")).select("row", "p.*")
-    gone = keep_table(removals(parts, threshold, hot_keys), "style-removals")
-    joined = undecided.select("id", "url", "html", "row").join(gone, "row", "left").select("id", "url", "html", "removed")
+    rows = number_rows(stable_rows(pages.select(
+        F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))), ROW)
+    gone = keep_table(removals(keep_table(read_pages(rows), "style-parts"), threshold, hot_keys), "style-removals")
+    bits = hash_bitmap(gone.select(F.xxhash64("row").alias("h")), "h")
+    kind = dict(rows.dtypes)["id"]
 
-    def run(batches):
+    def listed(batch) -> pa.Array:
+        return pa.array(in_bitmap(bits, batch.column(4).to_numpy().view(np.uint64)))
+
+    def plain(batches):
+        for batch in batches:
+            batch = batch.filter(pc.invert(listed(batch)))
+            texts = [Page(t).text() for t in strings(batch.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([0] * len(texts), pa.int32())],
+                names=["id", "url", "text", "removed"])
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(listed(batch))
+
+    def cut(batches):
         for batch in batches:
             lists = batch.column(3).to_pylist()
             texts = [Page(t).text(r) for t, r in zip(strings(batch.column(2)), lists)]
@@ -556,7 +611,9 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(r or ()) for r in lists], pa.int32())],
                 names=["id", "url", "text", "removed"])
 
-    kind = dict(read.dtypes)["id"]
-    decided = read.where("html is null").select("id", "url", "text", F.lit(0).alias("removed"))
-    out = decided.unionByName(joined.mapInArrow(run, f"id {kind}, url string, text string, removed int"))
+    columns = f"id {kind}, url string, text string, removed int"
+    hashed = rows.select("id", "url", "html", ROW, F.xxhash64(ROW).alias("h"))
+    left = hashed.mapInArrow(chosen, f"id {kind}, url string, html string, {ROW} long, h long")
+    joined = left.join(gone, F.col(ROW) == F.col("row"), "left").select("id", "url", "html", "removed")
+    out = hashed.mapInArrow(plain, columns).unionByName(joined.mapInArrow(cut, columns))
     return out.select("id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "removed")

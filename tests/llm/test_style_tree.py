@@ -148,3 +148,27 @@ def test_registered_query_gives_the_articles(spark):
         parts = re.split(r"<p>|</p>|<h1>|</h1>", re.sub(r"<[^>]*$", "", re.sub(r"</?b>", "", inner).replace("<br>", " ")))
         blocks = (" ".join(html.unescape(x).split()) for x in parts)
         assert got[r["page_id"]].text == "\n".join(b for b in blocks if b)
+
+
+def test_pages_that_name_their_article_go_through_the_tree(spark):
+    rnd = random.Random(7)
+    menu, notice = "<nav><a>Start</a></nav>", "<div class=q><div><p>We keep this short.</p></div>Ask us.</div>"
+
+    def page(art, tail=""):
+        return f"{menu}<article><h1>Same title</h1>{art}{notice}<div class=c>{sentence(rnd, 9)}</div></article>{tail}"
+    arts = ["".join(f"<p>{sentence(rnd, 12)}</p>" for _ in range(3)) + "<p>One line for all.</p>" for _ in range(20)]
+    rows = [(i, "http://h/", page(a, "<div>beside</div>" if i % 2 else "")) for i, a in enumerate(arts)]
+    # the same article on all pages of a host is no template
+    rows += [(100 + i, "http://g/", f"<article><h1>T {i}</h1>{arts[0]}<div class=d>{arts[1]}</div></article>") for i in range(20)]
+    # a page without a named article learns from the named ones of its host
+    rows += [(200, "http://h/", f"<div class=k><p>{sentence(rnd, 12)}</p></div>{menu}")]
+    got = {r.id: r for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, a in enumerate(arts):
+        lines = got[i].text.split("\n")
+        assert lines[:-1] == ["Same title", *re.findall("<p>(.*?)</p>", a)] and got[i].removed == 1
+    assert all(len(got[100 + i].text.split("\n")) == 9 and got[100 + i].removed == 0 for i in range(20))
+    assert len(got[200].text.split("\n")) == 1
+
+    one = st.Page(rows[1][2])
+    leaves = {p[0]: p for p in one.parts() if p[2]}
+    assert sorted(one.weight[p] for p in leaves) == [0, 0, 2, 2, 3, 3, 3]
