@@ -163,25 +163,28 @@ def bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
 def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, by intersecting their sets; ``reps``:
-    (entity, row), a row of each entity."""
+    (entity, row), a row of each entity.
+
+    A set names its entity, so the sets go straight from the texts to the pairs: one
+    shuffle of them serves both joins, and they are not written.  (A copy of a wanted
+    row that the bitmap lets pass too repeats a pair.)"""
     wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct()
-    wanted = keep_table(wanted.join(reps, "entity"), "wanted")
-    bits = hash_bitmap(wanted.select(F.xxhash64("row").alias("h")), "h")
+    bits = hash_bitmap(wanted.join(reps, "entity").select(F.xxhash64("row").alias("h")), "h", 25)
 
     def sets_of(batches):
         for batch in batches:
-            chosen = np.flatnonzero(in_bitmap(bits, batch.column(1).to_numpy().view(np.uint64)))
+            chosen = np.flatnonzero(in_bitmap(bits, batch.column(0).to_numpy().view(np.uint64)))
             if not len(chosen):
                 continue
             part = batch.take(pa.array(chosen))
-            for a, b, data, offs in text_slices(part.column(2)):
+            for a, b, data, offs in text_slices(part.column(1)):
                 w = Words(data, offs)
+                found = [w.shingles(d, k) for d in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(a, b - a),
-                     pa.array([w.shingles(d, k).tobytes() for d in range(b - a)], pa.binary())], names=["row", "s"])
+                    [pa.array([_entity(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    names=["entity", "s"])
 
-    found = rows.select(ROW, F.xxhash64(ROW).alias("h"), "text").mapInArrow(sets_of, "row long, s binary")
-    sets = keep_table(found.join(wanted, "row").select("entity", "s"), "sets")
+    sets = rows.select(F.xxhash64(ROW).alias("h"), "text").mapInArrow(sets_of, "entity long, s binary")
     # the pairs' first members are many, the second may be one leader of many
     one = pairs.join(sets.select(F.col("entity").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("entity").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")

@@ -155,3 +155,15 @@ def test_components_of_chains_hubs_and_later_links(spark):
     assert {tuple(r) for r in groups.collect()} == plain(first)
     assert {tuple(r) for r in joined(groups, spark.createDataFrame(later, "a long, b long"), "a", "b").collect()} == plain(first + later)
     assert {tuple(r) for r in joined(groups, spark.createDataFrame([], "a long, b long"), "a", "b").collect()} == plain(first)
+
+
+def test_sets_of_pairs_are_not_written(spark, monkeypatch):
+    from terrascope.llm import ngram_join as nj
+    written, keep = [], nj.keep_table
+    monkeypatch.setattr(nj, "keep_table", lambda df, name: written.append((name, df.columns)) or keep(df, name))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[:30]), "other words of a text", " ".join(words), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in nj.linked_groups(nj.stable_rows(docs), 4, 85).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0, 5: 5}
+    assert written and not [name for name, columns in written if "s" in columns]
