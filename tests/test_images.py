@@ -138,3 +138,22 @@ def test_tiff_decodes_like_png(spark, tmpdir_run):
     b = sorted((r.y, r.x, r.b, r.g, r.r) for r in px.filter("image_id = 2").collect())
     assert len(a) == 35 and a == b
     assert a[0] == (0, 0, 0, 0, 0) and (1, 2, 3, 53, 74) in a      # BGR of RGB (74, 53, 3)
+
+
+def test_training_samples_of_a_large_table_are_the_first_in_hash_order(spark, monkeypatch):
+    from terrascope.operators.sampling import sample_rows
+    px = spark.range(300).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p")).select(
+        "image_id", F.expr("cast(p div 4 AS int)").alias("y"), F.expr("cast(p % 4 AS int)").alias("x"), F.lit(4).alias("height"),
+        F.lit(4).alias("width"), *[F.expr(f"cast(pmod(xxhash64(image_id, p, {j}), 256) AS int)").alias(c) for j, c in enumerate("bgr")])
+    masks = px.select("image_id", "y", "x", "height", "width", F.col("g").alias("v"))
+    written, keep = [], SEG.materialize
+    monkeypatch.setattr(SEG, "materialize", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    for some, k in ((masks, 500), (masks, 10), (masks.where("image_id % 40 = 0"), 500)):
+        written.clear()
+        got = SEG.bounded_samples(px, some, 8, k, 40, 42)
+        want = sample_rows(SEG.training_pixels(px, some, 8, k, 42), 40, 42)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 40 and got.columns == want.columns
+        assert all(t.count() <= 400 for name, t in written if name == "segmenter_samples")
+    # fewer samples than wanted: all of them
+    few = SEG.bounded_samples(px, masks.where("image_id = 7"), 8, 30, 40, 42)
+    assert few.count() == 30
